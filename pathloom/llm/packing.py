@@ -191,9 +191,8 @@ def pack(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = base.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(1, -(-int(total) // p.shard_bytes))
-    spark = docs.sparkSession
     dealt = base.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
-    tasks = max(1, min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)))
+    tasks = min(shards, 50_000)
     dealt = dealt.repartition(tasks, "shard").sortWithinPartitions("shard", "doc_id", "text") if shards > 1 else dealt.repartition(1).sortWithinPartitions("doc_id", "text")
 
     def finish(shard: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
