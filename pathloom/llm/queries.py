@@ -17,12 +17,24 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.query(_read(spark, sf_dir, "pages"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    return chat.format_chats(_read(spark, sf_dir, "conversations"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffix_dedup
 
     return suffix_dedup.query(_read(spark, sf_dir, "documents"))
 
 
+def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import vector_dedup
+
+    return vector_dedup.link(_read(spark, sf_dir, "embeddings"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
