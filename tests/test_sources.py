@@ -87,3 +87,15 @@ def test_sinks(spark, tmp_path):
     assert rows(sinks.read_config(spark, str(tmp_path / "config.csv"))) == [("g1", ["a", "b"]), ("g2", ["a"])]
     sinks.write_pairs(spark.createDataFrame([(1, 2)], "src long, dst long"), str(tmp_path / "pairs"))
     assert spark.read.text(str(tmp_path / "pairs")).first()[0] == "1 2"
+
+
+def test_bench_command(spark, tmp_path):
+    from pathloom import bench
+
+    (tmp_path / "g.txt").write_text("0 a 1\n1 a 2\n2 b 3\n3 b 4\n")
+    grammar = "S -> a S b | a b"
+    for algo, n in (("reach", 1), ("shortest", 2), ("all_paths", 1), ("multi_source", 4)):
+        found = bench.measure(spark, str(tmp_path / "g.txt"), grammar, algo, rounds=2, chunks=(2,))
+        assert len(found) == n, algo
+    bench.main(["--graph", str(tmp_path / "g.txt"), "--grammar", grammar, "--rounds", "1", "--out", str(tmp_path / "out")])
+    assert spark.read.csv(str(tmp_path / "out"), header=True).first()["count_S"] == "2"
