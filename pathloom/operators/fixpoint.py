@@ -203,6 +203,9 @@ def solve_parts(edges: DataFrame, program: Program, a: Annotation, sources: Data
     schema = fact_schema(vertex, a)
     keyed = used.withColumn("__part", F.col(part) if part else F.lit(0))
     columns = ["__part", "src", "label", "dst"]
+    # one row more than allowed is enough to know that a whole graph is large; it is then not copied
+    if part is None and used.limit(strategy.local_edges + 1).count() > strategy.local_edges:
+        return solve(used.select("src", "label", "dst"), program, a, sources, strategy, scratch)
     rows = keyed.select(*columns)
     if sources is not None:
         v = sources.columns[0]
@@ -211,7 +214,7 @@ def solve_parts(edges: DataFrame, program: Program, a: Annotation, sources: Data
         own = ends.join(own, "src", "left_semi") if part else own.withColumn("__part", F.lit(0))
         rows = rows.unionByName(own.select("__part", "src", F.lit(None).cast("string").alias("label"), F.col("src").alias("dst")))
     rows = scratch.table(rows, "parts")
-    # a bounded look: one row more than allowed is enough to know; parts are counted without being gathered
+    # parts are counted without being gathered
     sizes = rows.groupBy("__part").count()
     large = sizes.where(F.col("count") > strategy.local_edges).select("__part")
     small = rows.join(large, rows["__part"].eqNullSafe(large["__part"]), "left_anti")

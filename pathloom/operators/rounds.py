@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_root(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; only where that is unset (tests) one is made here."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("pathloom.scratch.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("pathloom.scratch.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="pathloom-")
         spark.conf.set("pathloom.scratch.dir", root)
