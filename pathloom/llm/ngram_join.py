@@ -6,9 +6,10 @@
 2. *Groups.*  Documents of one set are one class; classes of one size and one prefix are one group (its hash is computed in place,
    and each split emits a group once, so copies are collapsed before anything is shuffled).
 3. *Candidates.*  Prefix tokens travel as packed arrays to token buckets; groups that share a token are candidates if
-   their sizes allow the threshold.  Up to ``short_list`` groups a token, all pairs; a longer list first pairs each group with the
-   list's centres only, and goes on to the rest in later rounds, for groups that the links found so far leave in different components.
-   So a group of near copies costs its size, not its square, and no pair that could join two components is skipped.
+   their sizes allow the threshold and they share enough of their prefixes for it.  Up to ``short_list`` groups a token, all pairs.  Longer lists that overlap form
+   clusters, and a cluster's sets meet once in one task, where an inverted index compares each set with all others at once, and only sets that no link has reached yet need that.  So many
+   near copies cost their number, not its square.  A cluster of more than ``cluster_shingles`` is not held in a task: its lists are compared by pairs, with
+   their centres first and in rounds after that, for groups that are still in different components.  No pair that could join two components is skipped.
 4. *Verification.*  Group pairs expand to classes; the classes' sets are rebuilt from the texts and compared exactly (64-bit shingle hashes).
 5. *Components* of the verified links, carried back to every document of a class.
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .components import components
-from .scratch import Scratch, release
+from .scratch import Scratch, release, small_batches
 
 
 @dataclass(frozen=True)
@@ -41,10 +42,12 @@ class JoinParams:
     percent: int = 75
     max_heavy: int = 1_000_000
     #: distinct sets of one split that must share a shingle for it to be counted
-    heavy_local: int = 4
+    heavy_local: int = 2
     short_list: int = 24
     #: text per token bucket
-    bucket_bytes: int = 64 << 20
+    bucket_bytes: int = 32 << 20
+    #: shingles of a cluster that one task may hold
+    cluster_shingles: int = 16_000_000
     max_rounds: int = 40
 
 
@@ -86,7 +89,7 @@ def _heavy(docs: DataFrame, p: JoinParams) -> tuple[np.ndarray, np.ndarray]:
                 own = h[np.repeat(fresh, np.diff(cut))]
                 held.append(own)
                 size += len(own)
-                if size > 4_000_000:  # bounds the task's memory; each part counts on its own
+                if size > 3_000_000:  # bounds the task's memory; each part counts on its own
                     yield flush()
                     held, size = [], 0
         if held:
@@ -174,7 +177,7 @@ def _index(docs: DataFrame, heavy, buckets: int, p: JoinParams) -> DataFrame:
                     [batch.column(0).slice(first, rows), batch.column(1).slice(first, rows), pa.array(n.astype(np.int64)), pa.array(classes, pa.binary()), pa.array(group.view(np.int64)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
                     schema=schema,
                 )
-                if size > 4_000_000:
+                if size > 1_500_000:
                     yield flush()
                     held, size = [], 0
         if held and size:
@@ -183,8 +186,8 @@ def _index(docs: DataFrame, heavy, buckets: int, p: JoinParams) -> DataFrame:
     return docs.select("row_key", "doc_id", "text").mapInArrow(run, INDEX)
 
 
-def _pairs(token: np.ndarray, group: np.ndarray, n: np.ndarray, p: JoinParams) -> tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
-    """Distinct candidate pairs of the short lists of one bucket, and its distinct long lists (groups, sizes), sorted by size."""
+def _pairs(token: np.ndarray, group: np.ndarray, n: np.ndarray, p: JoinParams) -> tuple[list[np.ndarray], list[list]]:
+    """Distinct candidate pairs (group, group, size, size, tokens) of the short lists of one bucket, and its distinct long lists (groups, sizes, tokens), sorted by size."""
     order = np.lexsort((group, n, token))
     token, group, n = token[order], group[order], n[order]
     new = np.ones(len(token), bool)
@@ -195,7 +198,8 @@ def _pairs(token: np.ndarray, group: np.ndarray, n: np.ndarray, p: JoinParams) -
     long_lists = {}
     for k in np.flatnonzero(length > p.short_list):
         own = group[edge[k] : edge[k + 1]]
-        long_lists.setdefault(xxhash.xxh3_128_digest(own.tobytes()), (own, n[edge[k] : edge[k + 1]]))
+        held = long_lists.setdefault(xxhash.xxh3_128_digest(own.tobytes()), [own, n[edge[k] : edge[k + 1]], 0])
+        held[2] += 1
     short = np.repeat((length > 1) & (length <= p.short_list), length)
     token, group, n = token[short], group[short], n[short]
     found = []
@@ -208,22 +212,25 @@ def _pairs(token: np.ndarray, group: np.ndarray, n: np.ndarray, p: JoinParams) -
             if not (token[d:] == token[:-d]).any():
                 break
             continue
-        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        turn = a > b
+        na, nb = n[:-d][ok].astype(np.uint64), n[d:][ok].astype(np.uint64)
+        found.append(np.stack([np.where(turn, b, a), np.where(turn, a, b), np.where(turn, nb, na), np.where(turn, na, nb)], 1))
     if found:
         both = np.concatenate(found)
         both = both[np.lexsort((both[:, 1], both[:, 0]))]
-        keep = np.ones(len(both), bool)
-        keep[1:] = (both[1:] != both[:-1]).any(1)
-        found = [both[keep]]
+        first = np.flatnonzero(np.concatenate([[True], (both[1:, :2] != both[:-1, :2]).any(1)]))
+        found = [np.concatenate([both[first], np.diff(np.append(first, len(both)))[:, None].astype(np.uint64)], 1)]
     return found, list(long_lists.values())
 
 
-CANDIDATES = "a long, b long, list array<struct<g: long, n: long>>"
+CANDIDATES = "a long, b long, na long, nb long, tokens long, list array<struct<g: long, n: long>>"
 
 
 def _candidates(index: DataFrame, buckets: int, p: JoinParams, cap: int = 8192) -> DataFrame:
     """Pairs (a, b) of groups from short lists, and the long lists; a list over ``cap`` comes as every pair of its parts."""
     kind = pa.list_(pa.struct([("g", pa.int64()), ("n", pa.int64())]))
+    schema = pa.schema([*((x, pa.int64()) for x in ("a", "b", "na", "nb", "tokens")), ("list", kind)])
+    void = pa.nulls(1, pa.int64())
 
     def as_list(g: np.ndarray, n: np.ndarray) -> list[dict]:
         return [{"g": x, "n": y} for x, y in zip(g.view(np.int64).tolist(), n.tolist())]
@@ -232,13 +239,13 @@ def _candidates(index: DataFrame, buckets: int, p: JoinParams, cap: int = 8192)
         token, group, n = (np.concatenate(x) for x in zip(*map(_unpack, blobs)))
         pairs, lists = _pairs(token, group, n, p)
         for x in pairs:
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].view(np.int64)), pa.array(x[:, 1].view(np.int64)), pa.nulls(len(x), kind)], names=["a", "b", "list"])
-        for g, m in lists:
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x[:, k]).view(np.int64)) for k in range(5)), pa.nulls(len(x), kind)], schema=schema)
+        for g, m, times in lists:
             half = cap // 2
             parts = [slice(k, k + half) for k in range(0, len(g), half)] if len(g) > cap else [slice(0, len(g))]
             for i, x in enumerate(parts):
                 for y in parts[i + 1 :] if len(parts) > 1 else [slice(0, 0)]:
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([as_list(np.concatenate([g[x], g[y]]), np.concatenate([m[x], m[y]]))], kind)], names=["a", "b", "list"])
+                    yield pa.RecordBatch.from_arrays([void, void, void, void, pa.array([times]), pa.array([as_list(np.concatenate([g[x], g[y]]), np.concatenate([m[x], m[y]]))], kind)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
@@ -257,18 +264,89 @@ def _candidates(index: DataFrame, buckets: int, p: JoinParams, cap: int = 8192)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, p: JoinParams) -> DataFrame:
-    """(class, set) of the classes in ``wanted`` (row_key, class), rebuilt from one document each."""
+    """(class, cluster, set) of the classes in ``wanted`` (row_key, class, cluster), rebuilt from one document each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[bytes] = set()  # repeated rows
         for batch in batches:
-            keys = batch.column(1).to_pylist()
+            keys, clusters = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for first, end, flat, offsets in tk.chunks(batch.column(0)):
                 h, cut = tk.shingle_sets(flat, offsets, p.words)
-                own = [(keys[first + r], h[cut[r] : cut[r + 1]].tobytes()) for r in range(end - first) if _set_key(h[cut[r] : cut[r + 1]]) == keys[first + r]]
+                own = []
+                for r in range(end - first):
+                    key, data = keys[first + r], h[cut[r] : cut[r + 1]]
+                    if key not in done and _set_key(data) == key:
+                        done.add(key)
+                        own.append((key, clusters[first + r], data.tobytes()))
                 if own:
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.binary()), pa.array([x for _, x in own], pa.binary())], names=["class", "set"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own), (pa.binary(), pa.int64(), pa.binary()))], names=["class", "cluster", "set"])
+
+    return docs.join(wanted, "row_key").select("text", "class", "cluster").mapInArrow(run, "class binary, cluster long, set binary")
+
+
+def tree_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join each component of the sets, and no more than it takes, by one-against-all overlaps through an inverted index."""
+    g = len(sets)
+    n = np.array([len(x) for x in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.repeat(np.arange(g), n)
+    order = np.argsort(code, kind="stable")
+    owners, first = own[order], np.searchsorted(code[order], np.arange(int(code.max()) + 2))
+    start = np.concatenate([[0], np.cumsum(n)])
+
+    def linked(k: int) -> np.ndarray:
+        c = code[start[k] : start[k + 1]]
+        size = first[c + 1] - first[c]
+        at = np.repeat(first[c] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        both = np.bincount(owners[at], minlength=g)
+        return 100 * both >= percent * (n + n[k] - both)
+
+    root = np.arange(g)
+    out: list[tuple[int, int]] = []
+    todo = np.ones(g, bool)
+    # spread from one set while that pays: sets of one component needn't be compared with each other
+    front, reached = [0], np.zeros(g, bool)
+    reached[0] = True
+    while front and not reached.all():
+        k = front.pop()
+        todo[k] = False
+        new = np.flatnonzero(linked(k) & ~reached)
+        out += [(k, int(x)) for x in new]
+        reached[new] = True
+        front += new.tolist()
+        if len(new) < 2:
+            break
+    root[reached] = 0
+    for k in np.flatnonzero(~reached).tolist():
+        for x in np.flatnonzero(linked(k)).tolist():
+            if root[x] != root[k]:
+                out.append((k, x))
+                root[root == root[k]] = root[x]
+    return out
+
+
+def _clustered(sets: DataFrame, p: JoinParams) -> DataFrame:
+    """Links (a, b) that join the components of each cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, []
+
+        def finish() -> pa.RecordBatch:
+            found = tree_links([np.frombuffer(x, np.uint64) for _, x in own], p.percent) if len(own) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([own[k][0] for k, _ in found], pa.binary()), pa.array([own[k][0] for _, k in found], pa.binary())], names=["a", "b"])
+
+        for batch in batches:
+            for c, key, data in zip(*(x.to_pylist() for x in batch.columns)):
+                if c != now and own:
+                    yield finish()
+                    own = []
+                now = c
+                own.append((key, data))
+        if own:
+            yield finish()
 
-    return docs.join(wanted, "row_key").select("text", "class").mapInArrow(run, "class binary, set binary")
+    dealt = sets.repartition("cluster").sortWithinPartitions("cluster", "class")
+    return dealt.select("cluster", "class", "set").mapInArrow(run, "a binary, b binary")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, p: JoinParams) -> DataFrame:
@@ -285,7 +363,22 @@ def _verify(pairs: DataFrame, sets: DataFrame, p: JoinParams) -> DataFrame:
 
     left = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
     both = left.join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _likely(pairs: DataFrame, lists: DataFrame, p: JoinParams) -> DataFrame:
+    """The pairs (a, b) whose shared prefix tokens can make up the overlap that the threshold asks for.
+
+    Of two prefixes one ends first; the set it belongs to can share with the other what both prefixes share and its own rest, no more.
+    Tokens of long lists aren't counted by pair, so as many as either group has of them are taken as shared.
+    """
+    shared = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("tokens").alias("tokens"))
+    common = lists.select("tokens", F.explode("list.g").alias("g")).groupBy("g").agg(F.sum("tokens").alias("more"))
+    for side in ("a", "b"):
+        shared = shared.join(common.select(F.col("g").alias(side), F.col("more").alias(f"more_{side}")), side, "left")
+    rest = lambda n: F.expr(f"({p.percent} * {n} + 99) div 100 - 1")  # noqa: E731  shingles after the prefix
+    most = F.col("tokens") + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0))) + F.greatest(rest("na"), rest("nb"))
+    return shared.where((100 + p.percent) * most >= p.percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def _centre_pairs(lists: DataFrame, p: JoinParams) -> DataFrame:
@@ -303,12 +396,18 @@ def _centre_pairs(lists: DataFrame, p: JoinParams) -> DataFrame:
                         b.append(max(centre["g"], x["g"]))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return lists.mapInArrow(run, "a long, b long")
+    return lists.select("list").mapInArrow(run, "a long, b long")
+
+
+def _star(lists: DataFrame) -> DataFrame:
+    """(a, b): each group of a long list with the list's first."""
+    return lists.select(F.element_at("list.g", 1).alias("a"), F.explode("list.g").alias("b")).where("a != b").distinct()
 
 
 def link(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """doc_id, n_shingles, component_id, class of every document."""
     p, spark = params, docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "ngram-join")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -320,38 +419,49 @@ def link(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
 
     rows = index.where(F.col("bucket").isNull() & (F.col("n") > 0)).select("row_key", "n", "class", "grp")
     classes = scratch.table(rows.groupBy("class", "grp", "n").agg(F.min("row_key").alias("row_key")), "classes")
-    group_pairs = found.where(F.col("list").isNull()).select("a", "b")
-    lists = scratch.table(found.where(F.col("list").isNotNull()).select("list").dropDuplicates(), "lists")
-    group_pairs = group_pairs.unionByName(_centre_pairs(lists, p)).distinct()
+    lists = scratch.table(found.where(F.col("list").isNotNull()).groupBy("list").agg(F.sum("tokens").alias("tokens")), "lists")
     member = classes.select("grp", "class")
 
+    # clusters: groups that long lists bind, and the classes of one group
+    several = member.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
+    bound = components(_star(lists), scratch)
+    cluster = several.unionByName(lists.select(F.explode("list.g").alias("grp"))).distinct().join(bound.withColumnRenamed("node", "grp"), "grp", "left").select("grp", F.coalesce("root", "grp").alias("cluster"))
+    sized = cluster.join(classes.select("grp", "n"), "grp").groupBy("cluster").agg(F.sum("n").alias("shingles"))
+    cluster = scratch.table(cluster.join(sized, "cluster").select("grp", "cluster", (F.col("shingles") > p.cluster_shingles).alias("large")), "clusters")
+
     def expand(pairs: DataFrame) -> DataFrame:
         x, y = member.select(F.col("grp").alias("a"), F.col("class").alias("ca")), member.select(F.col("grp").alias("b"), F.col("class").alias("cb"))
         both = pairs.join(x, "a").join(y, "b").where(F.col("ca") != F.col("cb"))
         return both.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
 
-    # classes of one group: each with the group's least, and later with what that leaves apart
-    several = member.groupBy("grp").agg(F.min("class").alias("a"), F.count("*").alias("k")).where("k > 1")
-    inner = member.join(several, "grp").where(F.col("class") != F.col("a")).select("a", F.col("class").alias("b"))
+    large = cluster.where("large").select("grp")
+    large_lists = lists.join(large, F.element_at("list.g", 1) == F.col("grp"), "left_semi")
+    group_pairs = _likely(found.where(F.col("list").isNull()), lists, p).unionByName(_centre_pairs(large_lists, p)).distinct()
+    small = cluster.where("not large").select("grp", "cluster")
+    for side in ("a", "b"):  # what one cluster holds is compared there
+        group_pairs = group_pairs.join(small.select(F.col("grp").alias(side), F.col("cluster").alias(f"c{side}")), side, "left")
+    group_pairs = group_pairs.where(F.col("ca").isNull() | F.col("cb").isNull() | (F.col("ca") != F.col("cb"))).select("a", "b")
+    large_inner = member.join(several, "grp", "left_semi").join(large, "grp", "left_semi")
+    least = large_inner.groupBy("grp").agg(F.min("class").alias("a"))
+    inner = large_inner.join(least, "grp").where(F.col("class") != F.col("a")).select("a", F.col("class").alias("b"))
     pairs = scratch.table(expand(group_pairs).unionByName(inner).distinct(), "pairs-0")
-    candidates_of = lambda df: df.select(F.col("a").alias("class")).unionByName(df.select(F.col("b").alias("class"))).distinct()
-
-    def sets_of(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = classes.select("class", "row_key").join(candidates_of(pairs), "class", "left_semi")
-        return scratch.table(_sets(base.select("row_key", "text"), wanted, p).dropDuplicates(["class"]), name)
 
-    sets = sets_of(pairs, "sets-0")
-    links = scratch.table(_verify(pairs, sets, p), "links-0")
+    # one pass over the texts gives the sets of whatever is compared now or in a later round
+    compared = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(member.join(cluster, "grp", "left_semi").select("class")).distinct()
+    wanted = classes.select("class", "grp", "row_key").join(compared, "class", "left_semi").join(small, "grp", "left").select("row_key", "class", "cluster")
+    sets = scratch.table(_sets(base.select("row_key", "text"), wanted, p), "sets")
     release(spark)
-    # groups that only lists bind, and classes of one group: what is still apart is compared in rounds
-    inner_lists = member.join(several.where("k > 2").select("grp"), "grp", "left_semi")
+    links = scratch.table(_verify(pairs, sets, p).unionByName(_clustered(sets.where(F.col("cluster").isNotNull()), p)), "links-0")
+    release(spark)
+    # lists and groups of large clusters: what is still apart is compared in rounds
     tested, roots = pairs, components(links, scratch)
     for k in range(1, p.max_rounds + 1):
-        more = _apart(lists, inner_lists, classes, roots, tested, p)
-        more = scratch.table(more, f"pairs-{k}")
+        if large.isEmpty():
+            break
+        more = scratch.table(_apart(large_lists, large_inner, classes, roots, tested, p), f"apart-{k}")
         if more.isEmpty():
             break
-        fresh = scratch.table(_verify(more, sets_of(more, f"sets-{k}"), p), f"links-{k}")
+        fresh = scratch.table(_verify(more, sets, p), f"links-{k}")
         tested = tested.unionByName(more)
         if fresh.isEmpty():
             continue
