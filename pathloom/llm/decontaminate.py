@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .scratch import small_batches
 
 SCHEMA = "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double"
 MAX = np.iinfo(np.uint64).max
@@ -135,6 +136,7 @@ class ItemIndex:
 
 def _blocks(items: DataFrame, p: DecontaminationParams) -> Iterator[list[tuple[object, str | None]]]:
     """The items in blocks of about ``block_bytes``."""
+    small_batches(items.sparkSession)
     base = items.select("item_id", "text").where(F.octet_length("text") > 0)
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // p.block_bytes))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import small_batches
+
 
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id's text is 1 modulo 3; false for a null id, whose row has no label either."""
@@ -18,6 +20,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int)
     Only the narrow ids are sorted for that.  At most ``max_rows`` of them reach the broadcast, which bounds
     it at 24 bytes a row; texts are read once and filtered in their scan.
     """
+    small_batches(docs.sparkSession)
     ids = (
         labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label"))
         .where(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("id")))

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .scratch import small_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _CACHES: dict[str, "UnitEncoder"] = {}
@@ -189,6 +190,7 @@ def pack(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     p, path = params, params.tokenizer or default_tokenizer()
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
     total = base.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(1, -(-int(total) // p.shard_bytes))
     dealt = base.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_root(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; only where that is unset (tests) one is made here."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("pathloom.scratch.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("pathloom.scratch.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="pathloom-")
         spark.conf.set("pathloom.scratch.dir", root)
@@ -23,6 +24,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+        path, fs = self._fs(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)  # what a result still reads lives as long as the session
+
+    def _fs(self, where: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -34,10 +42,9 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path, fs = self._fs(self.path(name))
+            fs.delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -46,3 +53,10 @@ def release(spark: SparkSession) -> None:
 
     gc.collect()
     spark._jvm.System.gc()
+
+
+def small_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Hold the Arrow batches that go to Python workers to ``size`` bytes: with long texts the default of rows is too much for two tasks an executor."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(key)) or 0) > size:
+        spark.conf.set(key, str(size))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .scratch import Scratch, release
+from .scratch import Scratch, release, small_batches
 
 
 @dataclass(frozen=True)
@@ -340,6 +340,7 @@ def _key(text) -> F.Column:
 def repeats(docs: DataFrame, params: DedupParams = DedupParams(), with_text: bool = False) -> DataFrame:
     """key, n_removed, n_spans, kept_sha256 (and kept) of every distinct text that loses bytes; ``key`` is the first half of the text's SHA-256."""
     p, spark = params, docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "suffix-dedup")
     base = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= p.length).select(_key("text").alias("key"), "text")
     name, buckets = f"pathloom_texts_{uuid.uuid4().hex}", max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -381,10 +382,11 @@ def query(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
 
 def remove(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
     """``docs`` with repeated bytes removed from ``text`` (and ``n_chars`` to match, if there); documents that lose all their bytes go."""
-    found = repeats(docs, params, with_text=True).select(F.col("key").alias("__key"), F.col("kept").alias("__kept"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("__own", _key(text)).join(found, F.col("__own") == F.col("__key"), "left").where(F.col("__kept").isNull() | (F.col("__kept") != ""))
-    changed = {"text": F.coalesce("__kept", "text")}
+    found = repeats(docs, params, with_text=True).select("key", "kept")
+    # the row travels as one struct, so its column names can't clash with ours
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _key(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"))
+    rows = rows.join(found, "key", "left").where(F.col("kept").isNull() | (F.col("kept") != ""))
+    changed = {"text": F.coalesce("kept", "row.text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.char_length("__kept").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+        changed["n_chars"] = F.when(F.col("kept").isNull(), F.col("row.n_chars")).otherwise(F.char_length("kept").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*((changed[c] if c in changed else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

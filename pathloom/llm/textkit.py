@@ -17,7 +17,7 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 U64 = np.uint64
 #: Text bytes worked on at once; a longer document is worked on alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 

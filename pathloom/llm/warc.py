@@ -30,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 
 MANIFEST = "shard long, part long, temp string, name string, records long, bytes long, sha1 string, first_id long, last_id long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -121,6 +121,7 @@ def _boundaries(sizes: DataFrame, p: WarcParams) -> np.ndarray:
 def write(pages: DataFrame, out: str, params: WarcParams = WarcParams()) -> DataFrame:
     """Write ``pages`` (page_id, url, html) to archives under the folder ``out``, a URI that all executors reach; returns the manifest."""
     p, spark = params, pages.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "warc")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     sizes = scratch.table(base.select("page_id", (F.octet_length("html") + 512).cast("long").alias("n"), F.unhex(F.sha1("html")).alias("digest")), "sizes")
