@@ -3,7 +3,8 @@
 Native: DataFrame functions and Spark's FP-growth only.  A url becomes a basket of tokens (host suffixes,
 host labels, path words, scheme; numbers become one token).  Labelled urls add a token for their label;
 FP-growth mines the frequent baskets, and those with the block token, of enough support, confidence and
-lift, are the rules.  At most ``max_rules`` are kept, so their inverted index (token to rules) has a proven size.
+lift, are the rules.  Of these all stay that are more confident than each rule on a part of their tokens: where another
+fires, one that stays fires too and is no less confident, so verdicts and confidences are those of all rules.
 Urls are judged once per distinct basket: the baskets' tokens meet the index, a rule fires where all
 its tokens are there, and the verdicts go back to the pages by the basket's hash.
 
@@ -19,6 +20,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 #: (host, path, verdict)
 GIVEN_RULES = (
     ("com", "/", "allow"),
@@ -36,7 +39,6 @@ class RuleParams:
     min_support: float = 0.001
     min_confidence: float = 0.6
     min_lift: float = 1.5
-    max_rules: int = 1000
     #: longer baskets keep their first tokens in text order for mining only; judging uses all
     max_basket: int = 24
 
@@ -80,24 +82,39 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 def mine(labelled: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
-    """Block rules (rule_id, items, confidence, support) from rows (items array<string>, blocked boolean); at most ``max_rules``."""
-    p = params
-    baskets = labelled.where(F.size("items") > 0).select(
-        F.concat(F.slice("items", 1, p.max_basket), F.array(F.when(F.col("blocked"), _BLOCK).otherwise(_ALLOW))).alias("items")
-    )
+    """Block rules (rule_id, items, confidence, support) from rows (items array<string>, blocked boolean), without those that a rule on a part of their tokens makes needless."""
+    p, scratch = params, Scratch(labelled.sparkSession, "url-rules")
+    rows = labelled.where(F.size("items") > 0).select(F.slice("items", 1, p.max_basket).alias("items"), "blocked")
+    baskets = rows.select(F.concat("items", F.array(F.when(F.col("blocked"), _BLOCK).otherwise(_ALLOW))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=p.min_support, minConfidence=p.min_confidence).fit(baskets)
-    return (
+    found = scratch.table(
         model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == _BLOCK) & (F.col("lift") >= p.min_lift))
-        .select(F.array_sort("antecedent").alias("items"), "confidence", "support")
-        .orderBy(F.desc("confidence"), F.desc("support"), "items").limit(p.max_rules)
-        .withColumn("rule_id", F.xxhash64("items"))
+        .select(F.array_sort("antecedent").alias("items"), "confidence", "support").withColumn("rule_id", F.xxhash64("items")),
+        "rules",
     )
+    return _needed(found, scratch)
+
+
+def _needed(rules: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rules that are more confident than every rule on a proper part of their tokens."""
+    sizes = sorted(r[0] for r in rules.select(F.size("items")).distinct().collect())
+    kept = None
+    for n in sizes:
+        own = rules.where(F.size("items") == n)
+        if kept is not None:
+            tokens_ = own.select("rule_id", "confidence", F.explode("items").alias("token"))
+            parts = kept.select(F.col("rule_id").alias("part"), F.col("confidence").alias("least"), F.size("items").alias("needed"), F.explode("items").alias("token"))
+            met = tokens_.join(parts, "token").where(F.col("least") >= F.col("confidence")).groupBy("rule_id", "part", "needed").count()
+            own = own.join(met.where(F.col("count") == F.col("needed")).select("rule_id").distinct(), "rule_id", "left_anti").select(*rules.columns)
+        own = scratch.table(own, f"rules-{n}")
+        kept = own if kept is None else kept.unionByName(own)
+    return rules if kept is None else kept
 
 
 def judge(baskets: DataFrame, rules: DataFrame) -> DataFrame:
     """(basket, rule_id, confidence): the strongest rule whose items the basket holds; baskets without one are absent."""
     index = rules.select("rule_id", "confidence", F.size("items").alias("needed"), F.explode("items").alias("token"))
-    hits = baskets.select("basket", F.explode("items").alias("token")).join(F.broadcast(index), "token")
+    hits = baskets.select("basket", F.explode("items").alias("token")).join(index, "token")
     fired = hits.groupBy("basket", "rule_id", "confidence", "needed").count().where(F.col("count") == F.col("needed"))
     best = F.max(F.struct("confidence", "rule_id")).alias("best")
     return fired.groupBy("basket").agg(best).select("basket", F.col("best.rule_id").alias("rule_id"), F.col("best.confidence").alias("confidence"))

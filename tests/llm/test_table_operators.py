@@ -199,3 +199,14 @@ def test_urls(spark):
             assert r["verdict"] == "allow", url
     assert {r["verdict"] for r in url_rules.filter_urls(df, labels.where("false")).collect()} <= {"allow", "block"}
     assert url_rules.filter_urls(df.where("false"), labels).count() == 0
+
+
+def test_url_rules_beyond_the_given_ones(spark):
+    # thousands of sets of tokens hold the pair that a given rule blocks; the mined rules on other urls are less confident than those
+    rows = [(k, "http://a.b.net/es/" + "/".join("one two three four five six seven eight nine ten".split())) for k in range(60)]
+    rows += [(100 + k, f"https://shop.spam.org/buy/{k}") for k in range(20)] + [(200 + k, f"https://fine.org/read/{k}") for k in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(100 + k, 1, int(k > 0)) for k in range(10)] + [(200 + k, 1, 0) for k in range(100)], "doc_id long, quality int, toxic int")
+    found = {r["page_id"]: r for r in url_rules.filter_urls(df, labels).collect()}
+    assert all(found[k]["verdict"] == "block" and abs(found[k]["confidence"] - 0.9) < 1e-9 for k in range(100, 120))
+    assert all(found[k]["verdict"] == "allow" for k in range(200, 400))
