@@ -5,10 +5,12 @@
    most ``block`` neighbours in that order give each class its ``k`` best.
 3. NN-descent rounds: a class meets, at every class that lists it or that it lists, the other neighbours there (neighbours of neighbours), and keeps
    the ``k`` best.  The join moves 2 k vectors a class and round; a hub's neighbours meet in blocks.  Rounds end when the lists hardly change.
-4. Listed pairs of cosine >= ``threshold`` are links; their components hold what a saturated list (every entry a link) had no room for, so the lists of
-   each component are enlarged to the whole component: all its pairs are compared, in blocks of ``block``, and counted without being listed.
-5. Audit: for a bounded set of queries, all links by brute force over the whole table; if under ``target`` of them are within components,
-   the graph is seeded with twice the tables and refined again.
+4. Listed pairs of cosine >= ``threshold`` are links, and these give components.  A saturated list (every entry a link) has no room for more, so classes
+   with one look in new tables for links to saturated classes of other components (a list that isn't saturated holds its links to both), until a round finds none.
+5. What saturated lists leave out within a component: its lists are enlarged to the whole component, all its pairs are compared, in blocks of ``block``,
+   and counted without being listed.
+6. Audit: for a bounded set of queries, all links by brute force over the whole table; if under ``target`` of them are within components,
+   the graph is seeded with twice the tables and refined again; if they still are after ``max_seedings``, the run fails.
 
 Cosines are in double precision, so no pair below the threshold is linked.  Rows: null labels, null or zero vectors, and vectors with null, NaN or
 infinite components link with nothing; vectors of different length never link; repeated rows count as further vectors; null ids are never the least id of a component; an empty table gives
@@ -17,6 +19,7 @@ no rows; extra columns aren't read.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -85,13 +88,14 @@ _LIST = "c long, near array<struct<s: double, u: long>>"
 _LIST_TYPE = pa.list_(pa.struct([("s", pa.float64()), ("u", pa.int64())]))
 
 
-def _best(ids: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray | None = None) -> pa.RecordBatch | None:
-    """The k nearest of each row of a block among the others, those above the row's ``floor``."""
+def _best(ids: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray | None = None, root: np.ndarray | None = None) -> pa.RecordBatch | None:
+    """The k nearest of each row of a block among the others (those of another ``root``), those above the row's ``floor``."""
     n = len(ids)
     if n < 2:
         return None
     s = x @ x.T
-    s[ids[:, None] == ids[None, :]] = -2
+    same = ids if root is None else root
+    s[same[:, None] == same[None, :]] = -2
     k = min(k, n - 1)
     near = np.argpartition(-s, k - 1, axis=1)[:, :k]
     value = np.round(np.take_along_axis(s, near, 1), 7)
@@ -111,8 +115,14 @@ def _merge(lists: DataFrame, k: int) -> DataFrame:
     return lists.groupBy("c").agg(F.slice(F.sort_array(both, asc=False), 1, k).alias("near"))
 
 
-def _seeded(v: DataFrame, sizes: DataFrame, tables: range, p: VectorParams) -> DataFrame:
-    """Neighbour lists from blocks along random-hyperplane orders."""
+def _sizes(v: DataFrame, p: VectorParams) -> DataFrame:
+    """Bits of the buckets of each group."""
+    return v.groupBy("grp").agg(F.greatest(F.lit(0), F.least(F.lit(24), F.ceil(F.log2(F.count("*") / p.leaf)))).cast("long").alias("bits"))
+
+
+def _seeded(v: DataFrame, sizes: DataFrame, tables: range, p: VectorParams, across: bool = False) -> DataFrame:
+    """Neighbour lists from blocks along random-hyperplane orders; with ``across``, of links to classes of another ``root`` only."""
+    extra = ["root"] if across else []
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
@@ -125,18 +135,19 @@ def _seeded(v: DataFrame, sizes: DataFrame, tables: range, p: VectorParams) -> D
                     planes[t, dim] = np.random.default_rng([p.seed, t, dim]).standard_normal((dim, 32))
                 code = ((x @ planes[t, dim] > 0) @ (1 << np.arange(31, -1, -1, dtype=np.int64))).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(b - a, t, np.int64)), rows.column("grp"), pa.array(code >> (32 - bits)), pa.array(code), rows.column("c"), rows.column("vec")],
-                    names=["t", "grp", "bucket", "code", "c", "vec"],
+                    [pa.array(np.full(b - a, t, np.int64)), rows.column("grp"), pa.array(code >> (32 - bits)), pa.array(code), rows.column("c"), rows.column("vec"), *(rows.column(x) for x in extra)],
+                    names=["t", "grp", "bucket", "code", "c", "vec", *extra],
                 )
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, b in grouped(batches, ["t", "grp", "bucket"], p.block):
-            if (out := _best(batch.column("c").slice(a, b - a).to_numpy(), matrix(batch, a, b), p.k)) is not None:
+            ids, root = batch.column("c").slice(a, b - a).to_numpy(), batch.column("root").slice(a, b - a).to_numpy() if across else None
+            if (out := _best(ids, matrix(batch, a, b), p.k, np.full(b - a, p.threshold - 1e-6) if across else None, root)) is not None:
                 yield out
 
-    coded = v.join(sizes, "grp").select("grp", "dim", "bits", "c", "vec").mapInArrow(codes, "t long, grp long, bucket long, code long, c long, vec array<float>")
+    coded = v.join(sizes, "grp").select("grp", "dim", "bits", "c", "vec", *extra).mapInArrow(codes, "t long, grp long, bucket long, code long, c long, vec array<float>" + (", root long" if across else ""))
     dealt = coded.repartition("t", "grp", "bucket").sortWithinPartitions("t", "grp", "bucket", "code", "c")
-    return dealt.select("t", "grp", "bucket", "c", "vec").mapInArrow(lists, _LIST)
+    return dealt.select("t", "grp", "bucket", "c", "vec", *extra).mapInArrow(lists, _LIST)
 
 
 def _descend(graph: DataFrame, v: DataFrame, p: VectorParams) -> DataFrame:
@@ -155,6 +166,25 @@ def _descend(graph: DataFrame, v: DataFrame, p: VectorParams) -> DataFrame:
     return members.repartition("at").sortWithinPartitions("at", "c").select("at", "c", "floor", "vec").mapInArrow(local_join, _LIST)
 
 
+def _bridged(graph: DataFrame, v: DataFrame, links: DataFrame, roots: DataFrame, first: int, scratch: Scratch, name: int, p: VectorParams) -> DataFrame:
+    """``roots`` after links between saturated classes of different components are added, in rounds of new tables until one finds none."""
+    full = scratch.table(graph.where((F.size("near") >= p.k) & (F.element_at("near", -1)["s"] >= p.threshold - 1e-6)).select("c").join(v.select("c", "grp"), "c"), f"full-{name}")
+    for k in itertools.count():
+        rooted = full.join(roots, F.col("c") == F.col("node"), "left").select("c", "grp", F.coalesce("root", "c").alias("root"))
+        mixed = rooted.groupBy("grp").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("grp")
+        open_ = scratch.table(rooted.join(mixed, "grp", "left_semi").select("c", "root"), f"open-{name}-{k}")
+        if open_.isEmpty():
+            return roots
+        own = v.join(open_, "c")
+        found = _seeded(own, _sizes(own, p), range(first + k * p.tables, first + (k + 1) * p.tables), p, across=True)
+        fresh = scratch.table(_exact(found.select(F.col("c").alias("a"), F.explode("near.u").alias("b")), v, p), f"bridges-{name}-{k}")
+        release(v.sparkSession)
+        if fresh.isEmpty():
+            return roots
+        links = links.unionByName(fresh)
+        roots = scratch.table(components(links, scratch), f"roots-{name}-{k}")
+
+
 def _complete(v: DataFrame, roots: DataFrame, p: VectorParams) -> DataFrame:
     """(c, links): the weight of the classes linked with each class of a component, all pairs compared in blocks."""
 
@@ -219,7 +249,7 @@ def link(vectors: DataFrame, params: VectorParams = VectorParams()) -> DataFrame
     good = base.where(F.coalesce(valid, F.lit(False)))
     classes = good.groupBy("label", "vec").agg(F.count("*").alias("w"), F.min("vec_id").alias("least"))
     v = scratch.table(classes.withColumns({"c": F.monotonically_increasing_id(), "dim": F.size("vec").cast("long")}).withColumn("grp", F.xxhash64("label", "dim")), "classes")
-    sizes = v.groupBy("grp").agg(F.greatest(F.lit(0), F.least(F.lit(24), F.ceil(F.log2(F.count("*") / p.leaf)))).cast("long").alias("bits"))
+    sizes = _sizes(v, p)
     n = v.count()
     graph, done, name = None, 0, 0
     for attempt in range(p.max_seedings):
@@ -238,9 +268,12 @@ def link(vectors: DataFrame, params: VectorParams = VectorParams()) -> DataFrame
         links = graph.select("c", F.explode("near").alias("e")).where(F.col("e.s") >= p.threshold - 1e-6).select(F.col("c").alias("a"), F.col("e.u").alias("b"))
         links = scratch.table(_exact(links, v, p), f"links-{name}")
         roots = scratch.table(components(links, scratch), f"roots-{name}")
+        roots = _bridged(graph, v, links, roots, done, scratch, name, p)
         name += 1
-        if _recall(v, roots, p, n) >= p.target:
+        if (recall := _recall(v, roots, p, n)) >= p.target:
             break
+    else:
+        raise RuntimeError(f"the audit finds {recall:.4f} of the links within components after {p.max_seedings} seedings, under {p.target}")
     counted = _complete(v, roots, p)
     least = v.select("c", "least").join(roots, F.col("c") == F.col("node")).groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = v.select("c", "label", "vec", "w", "least").join(roots, F.col("c") == F.col("node"), "left").join(least, "root", "left").join(counted, "c", "left").select(

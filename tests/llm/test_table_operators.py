@@ -210,3 +210,17 @@ def test_url_rules_beyond_the_given_ones(spark):
     found = {r["page_id"]: r for r in url_rules.filter_urls(df, labels).collect()}
     assert all(found[k]["verdict"] == "block" and abs(found[k]["confidence"] - 0.9) < 1e-9 for k in range(100, 120))
     assert all(found[k]["verdict"] == "allow" for k in range(200, 400))
+
+
+def test_vectors_of_tight_groups_in_a_loose_one(spark):
+    # each list is full of its own group of 12, all groups are linked
+    rng = np.random.default_rng(6)
+    axes = np.linalg.qr(rng.standard_normal((64, 21)))[0].T
+    group = np.sqrt(0.95) * axes[0] + np.sqrt(0.05) * axes[1:]
+    noise = rng.standard_normal((20, 12, 64))
+    x = (group[:, None] + np.sqrt(0.001) * noise / np.linalg.norm(noise, axis=2, keepdims=True)).reshape(240, 64).astype(np.float32)
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = (y @ y.T >= 0.93).sum(1) - 1
+    df = spark.createDataFrame([(k, [float(v) for v in x[k]], 0) for k in range(240)], "vec_id long, embedding array<float>, label int")
+    found = vector_dedup.link(df).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in found} == {(k, int(links[k]), 0, k == 0) for k in range(240)}
