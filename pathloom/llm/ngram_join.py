@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -404,12 +404,16 @@ def _star(lists: DataFrame) -> DataFrame:
     return lists.select(F.element_at("list.g", 1).alias("a"), F.explode("list.g").alias("b")).where("a != b").distinct()
 
 
+def _row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def link(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """doc_id, n_shingles, component_id, class of every document."""
+    """doc_id, n_shingles, component_id, class, row_key, root of every document; documents without shingles have no class and no root."""
     p, spark = params, docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "ngram-join")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("row_key", _row_key())
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-int(total) // p.bucket_bytes))
     heavy = spark.sparkContext.broadcast(_heavy(base, p))
@@ -470,12 +474,12 @@ def link(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     else:
         raise RuntimeError(f"lists are still apart after {p.max_rounds} rounds")
 
-    named = index.where(F.col("bucket").isNull()).select("doc_id", F.col("n").alias("n_shingles"), "class")
+    named = index.where(F.col("bucket").isNull()).select("row_key", "doc_id", F.col("n").alias("n_shingles"), "class")
     least = named.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"))
     of_root = least.join(roots, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     by_root = of_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = of_root.join(by_root, "root").select("class", "component_id")
-    out = named.join(final, "class", "left").select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class")
+    final = of_root.join(by_root, "root").select("class", "component_id", "root")
+    out = named.join(final, "class", "left").select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class", "row_key", "root")
     out = Scratch(spark, "ngram-join-result").table(out, "documents")
     scratch.drop("")
     return out
@@ -515,7 +519,16 @@ def query(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """``docs`` with one row of each component: that of the component's least id (of repeated rows with it, all are the same document and one stays)."""
+    """``docs`` with exactly one row of each component: of the least id the one with the least set of shingles, then the least row key; of rows alike in id and text any.
+
+    Documents without shingles are a component for each id.
+    """
     found = link(docs, params)
-    kept = found.where(F.col("doc_id").isNull() & F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    component = F.coalesce("root", F.col("doc_id").cast("string").cast("binary"), F.lit("null").cast("binary"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "class", "row_key"))["row_key"].alias("__keep_one_row_key")
+    kept = found.groupBy(F.col("root").isNull().alias("bare"), component.alias("component")).agg(first).select("__keep_one_row_key")
+    repeated = found.groupBy(F.col("row_key").alias("__keep_one_row_key")).count().where("count > 1").select("__keep_one_row_key")
+    keyed = docs.withColumn("__keep_one_row_key", _row_key())
+    once = keyed.join(kept.join(repeated, "__keep_one_row_key", "left_anti"), "__keep_one_row_key", "left_semi")
+    several = keyed.join(kept.join(repeated, "__keep_one_row_key", "left_semi"), "__keep_one_row_key", "left_semi").dropDuplicates(["__keep_one_row_key"])
+    return once.unionByName(several).select(*docs.columns)

@@ -80,6 +80,17 @@ def test_ngram_join_keeps_one(spark, docs, rows):
     assert {r["doc_id"] for r in kept.collect()} == least
 
 
+def test_ngram_join_keeps_one_row(spark):
+    rng = random.Random(21)
+    a, b, c = (text_of(rng, 200) for _ in range(3))
+    # id 2 has a copy of id 1's text, its own text three times, and an empty one; rows without an id are linked by text alone
+    own = [(1, a), (2, a), (2, b), (2, b), (2, b), (3, b + " x"), (4, c), (4, c), (None, c), (None, a[:-2]), (5, None), (5, ""), (2, ""), (None, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(own)], "doc_id long, text string, __key long")
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"] or "") for r in kept.collect()), key=str) == sorted([(1, a), (2, b), (4, c), (5, ""), (2, ""), (None, "")], key=str)
+
+
 def test_tree_links_join_the_right_sets():
     rng = np.random.default_rng(1)
     for _ in range(20):
