@@ -1,6 +1,7 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, then exact shingle containment.
 
-Test items are partitioned by the size of their set of distinct five-word shingles.  In partition ``c``, with
+Test items are partitioned by the size of their set of distinct five-word shingles.  Of items with under 16, too few for signatures,
+every shingle is looked up in the whole document, so none is missed.  In any other partition ``c``, with
 sizes below ``2u``, a document is seen as windows of two neighbouring runs of ``2u`` shingles, so any contiguous
 copy of an item lies within one window of like size, however long the document is.  Items and windows get
 one-permutation MinHash signatures; a window whose minimum agrees with an item's in any bin makes the
@@ -30,6 +31,8 @@ from .scratch import small_batches
 
 SCHEMA = "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double"
 MAX = np.iinfo(np.uint64).max
+#: items with fewer distinct shingles are looked up shingle by shingle
+FEW, LOW = 16, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -56,6 +59,11 @@ class ItemIndex:
     sets: list = field(default_factory=list)
     #: partition: (run length, sorted minima, their items)
     parts: dict = field(default_factory=dict)
+    #: of items of few shingles: sorted hashes, their items, and by item how many must be shared
+    few: tuple = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    need: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: places of the low bits of those hashes
+    maybe: np.ndarray = field(default_factory=lambda: np.zeros(LOW, bool))
 
     @classmethod
     def build(cls, rows: list[tuple[object, str | None]], params: DecontaminationParams) -> "ItemIndex":
@@ -69,13 +77,24 @@ class ItemIndex:
         if not texts:
             return self
         found: dict[int, list[tuple[int, int]]] = {}
+        few: list[tuple[np.ndarray, np.ndarray]] = []
+        self.need = np.zeros(len(texts))
         h, cut = tk.shingle_sets(*tk.text_buffer(pa.array(texts, pa.large_string())), params.words)
         for k in range(len(texts)):
             own = h[cut[k] : cut[k + 1]]
-            part = max(int(np.log2(len(own))), 3)
+            if len(own) < FEW:
+                few.append((own, np.full(len(own), k, np.int64)))
+                self.need[k] = params.threshold * len(own)
+                continue
+            part = int(np.log2(len(own)))
             low = np.full(params.bins, MAX, np.uint64)
             np.minimum.at(low, cls.bin_of(own, params.bins), own)
             found.setdefault(part, []).extend((int(v), k) for v in low[low != MAX])
+        if few:
+            own, k = (np.concatenate(x) for x in zip(*few))
+            order = np.argsort(own, kind="stable")
+            self.few = own[order], k[order]
+            self.maybe[(own & tk.U64(LOW - 1)).astype(np.int64)] = True
         for part, pairs in found.items():
             pairs.sort()
             self.parts[part] = (2 << part, np.array([v for v, _ in pairs], np.uint64), np.array([k for _, k in pairs], np.int64))
@@ -87,15 +106,19 @@ class ItemIndex:
         return ((h >> tk.U64(20)) % tk.U64(bins)).astype(np.int64)
 
     def candidates(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, item) of every signature agreement."""
+        """(row, item) of every signature agreement, and of every item of few shingles that shares enough of them."""
         n_rows, bins = len(offsets) - 1, self.params.bins
         h, rows = tk.shingles(*tk.words(flat, offsets), n_rows, self.params.words)
         if not len(h):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        out_rows, out_items = [], []
+        if len(self.few[0]):
+            r, k = self._few(h, rows)
+            out_rows.append(r)
+            out_items.append(k)
         count = np.bincount(rows, minlength=n_rows)
         place = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
         slot = self.bin_of(h, bins)
-        out_rows, out_items = [], []
         for run, minima, items in self.parts.values():
             runs = -(-count // run)
             base = np.cumsum(runs) - runs
@@ -119,6 +142,21 @@ class ItemIndex:
         key = np.unique((np.concatenate(out_rows) << 32) | np.concatenate(out_items)) if out_rows else np.zeros(0, np.int64)
         return key >> 32, key & 0xFFFFFFFF
 
+    def _few(self, h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, item) of the items of few shingles of which a row has as many distinct ones as the threshold asks for."""
+        hashes, items = self.few
+        at = np.flatnonzero(self.maybe[(h & tk.U64(LOW - 1)).astype(np.int64)])
+        first, last = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
+        hit = last > first
+        # a row meets a hash once, however often it repeats it
+        place, row = first[hit], rows[at][hit]
+        _, one = np.unique(row * len(hashes) + place, return_index=True)
+        first, n, row = place[one], (last - first)[hit][one], row[one]
+        k = items[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        key, shared = np.unique((np.repeat(row, n) << 32) | k, return_counts=True)
+        key = key[shared >= self.need[key & 0xFFFFFFFF]]
+        return key >> 32, key & 0xFFFFFFFF
+
     def matches(self, column: pa.Array) -> list[tuple[int, int, int]]:
         """(row, item, shared shingles) of every item that a text of the column holds to the threshold."""
         out = []

@@ -172,6 +172,24 @@ def test_decontamination(spark):
     assert decontaminate.find(docs, table.where("false")).count() == 0
 
 
+def test_decontamination_of_smallest_items(spark):
+    rng = random.Random(22)
+    noise = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    items = [(k, noise(n)) for k, n in enumerate([5, 5, 5, 6, 6, 7, 9, 12, 19])] + [(9, "only three words")]
+    own = []
+    for i in range(150):
+        a, b = items[i % 9][1], items[(i * 4 + 1) % 9][1].split()
+        own.append((i, " ".join([noise(2000), a, noise(1000), *b[: max(len(b) - 2, 5)], noise(20), a])))
+    own += [(200, noise(3000)), (201, "Only three\tWORDS"), (202, noise(50) + " only three words"), (None, items[0][1])]
+    docs, table = spark.createDataFrame(own, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    sets = [(k, shingle_set(q)) for k, q in items]
+    expected = sorted(((i, k, len(q), len(q & t)) for i, t in ((i, shingle_set(t)) for i, t in own) for k, q in sets if len(q & t) >= 0.75 * len(q)), key=str)
+    assert len(expected) > 150
+    assert sorted((tuple(r)[:4] for r in decontaminate.find(docs, table).collect()), key=str) == expected
+    left = {r["doc_id"] for r in decontaminate.drop_contaminated(docs, table).collect()}
+    assert left == {i for i, _ in own} - {x[0] for x in expected}
+
+
 def test_packing_round_trip(spark, docs, rows):
     from tokenizers import Tokenizer
 
