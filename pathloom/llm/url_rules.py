@@ -39,8 +39,6 @@ class RuleParams:
     min_support: float = 0.001
     min_confidence: float = 0.6
     min_lift: float = 1.5
-    #: longer baskets keep their first tokens in text order for mining only; judging uses all
-    max_basket: int = 24
 
 
 def host_of(url: Column) -> Column:
@@ -84,7 +82,7 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 def mine(labelled: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
     """Block rules (rule_id, items, confidence, support) from rows (items array<string>, blocked boolean), without those that a rule on a part of their tokens makes needless."""
     p, scratch = params, Scratch(labelled.sparkSession, "url-rules")
-    rows = labelled.where(F.size("items") > 0).select(F.slice("items", 1, p.max_basket).alias("items"), "blocked")
+    rows = labelled.where(F.size("items") > 0).select("items", "blocked")
     baskets = rows.select(F.concat("items", F.array(F.when(F.col("blocked"), _BLOCK).otherwise(_ALLOW))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=p.min_support, minConfidence=p.min_confidence).fit(baskets)
     found = scratch.table(

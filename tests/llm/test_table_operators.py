@@ -224,3 +224,12 @@ def test_vectors_of_tight_groups_in_a_loose_one(spark):
     df = spark.createDataFrame([(k, [float(v) for v in x[k]], 0) for k in range(240)], "vec_id long, embedding array<float>, label int")
     found = vector_dedup.link(df).collect()
     assert {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in found} == {(k, int(links[k]), 0, k == 0) for k in range(240)}
+
+
+def test_url_rules_of_long_urls(spark):
+    # the token that tells is beyond the 24 first in text order; the words before it are of one url each
+    words = lambda k: "/".join(f"{chr(97 + j)}{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k // 100]}" for j in range(26))
+    df = spark.createDataFrame([(k, f"https://x.org/{words(k)}?{'zspam' if k % 2 else 'zfine'}={k}") for k in range(400)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(300)], "doc_id long, quality int, toxic int")
+    found = url_rules.filter_urls(df, labels, url_rules.RuleParams(min_support=0.02)).collect()
+    assert all(r["verdict"] == ("block" if r["page_id"] % 2 else "allow") for r in found)
