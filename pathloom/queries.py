@@ -48,7 +48,7 @@ def events_graph(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def places_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Suppliers and customers in nations in regions, with inverse edges."""
+    """Suppliers in nations in regions, with inverse edges."""
     v = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
     edge = lambda a, b: (a.alias("src"), F.lit("in").alias("label"), b.alias("dst"))
     s = read(spark, sf_dir, "supplier").select(*edge(v("S", "s_suppkey"), v("N", "s_nationkey")))
