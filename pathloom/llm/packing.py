@@ -7,7 +7,7 @@ after another, and each is placed whole or cut where the window ends, its rest o
 So only the last window of a shard is padded.
 
 Token ids come from the named tokenizer.  A text is cut before runs of white space, where that tokenizer
-always cuts too, and each distinct piece is encoded once per worker.
+always cuts too, and a worker encodes a distinct piece once while it remembers it.
 
 Rows: null and empty texts are one end-of-document id; null ids and repeated rows are packed like any others;
 a text longer than a window fills several; extra columns aren't read.
@@ -15,6 +15,7 @@ a text longer than a window fills several; extra columns aren't read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -31,6 +32,8 @@ from .scratch import small_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _CACHES: dict[str, "UnitEncoder"] = {}
+#: what fills a 64-bit word of so many bytes up with 0xFF
+_PAD = np.array([(0xFFFFFFFFFFFFFFFF << (8 * n)) & 0xFFFFFFFFFFFFFFFF for n in range(9)], np.uint64)
 
 
 def default_tokenizer() -> str:
@@ -48,44 +51,131 @@ class PackParams:
     k1: float = 1.2
     b: float = 0.75
     #: a seed asks with its rarest so many words
-    query_words: int = 32
+    query_words: int = 64
+
+
+class PieceTable:
+    """Token ids of pieces, found by the pieces' own bytes for whole arrays of them at once.
+
+    A piece of up to 16 bytes is two 64-bit words, filled up with 0xFF, which no UTF-8 text holds; an open-addressed table finds its entry.  Longer
+    pieces are rare and lie in a dictionary.  Entries that were not used for longest go when there are too many.
+    """
+
+    def __init__(self, most: int = 1_000_000):
+        self.most, self.epoch, self.n, self.bits = most, 0, 0, 18
+        self.long: dict[bytes, int] = {}
+        self.low, self.high = np.empty(1 << 16, np.uint64), np.empty(1 << 16, np.uint64)
+        self.start, self.length, self.last = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
+        self.pool, self.used = np.empty(1 << 20, np.uint32), 0
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        h = low * tk.U64(0x9E3779B97F4A7C15) ^ high * tk.U64(0xC2B2AE3D27D4EB4F)
+        return (((h ^ (h >> tk.U64(31))) * tk.U64(0xBF58476D1CE4E5B9)) >> tk.U64(64 - self.bits)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Entry of each short piece, -1 if it has none."""
+        found = np.full(len(low), -1, np.int32)
+        slot, left = self._slot(low, high), None
+        while left is None or len(left):
+            entry = self.slots[slot]
+            same = (entry >= 0) & (self.low[entry] == low) & (self.high[entry] == high)
+            more = (entry >= 0) & ~same
+            if left is None:
+                found[same] = entry[same]
+                left = np.flatnonzero(more)
+            else:
+                found[left[same]] = entry[same]
+                left = left[more]
+            low, high, slot = low[more], high[more], (slot[more] + 1) & ((1 << self.bits) - 1)
+        return found
+
+    def _place(self, entries: np.ndarray) -> None:
+        slot = self._slot(self.low[entries], self.high[entries])
+        while len(entries):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = entries[free]
+            lost = self.slots[slot] != entries
+            entries, slot = entries[lost], (slot[lost] + 1) & ((1 << self.bits) - 1)
+
+    def add(self, low: np.ndarray, high: np.ndarray, long: np.ndarray, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """New entries with ``count`` ids each; the caller names those that are ``long``."""
+        m = len(count)
+        while self.n + m > len(self.start):
+            for name in ("low", "high", "start", "length", "last"):
+                setattr(self, name, np.concatenate([getattr(self, name), np.empty_like(getattr(self, name))]))
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        entries = np.arange(self.n, self.n + m, dtype=np.int32)
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.length[entries] = count
+        self.start[entries] = self.used + np.cumsum(count) - count
+        self.used += len(ids)
+        # no short piece has two words of 0xFF
+        self.low[entries], self.high[entries] = np.where(long, _PAD[0], low), np.where(long, _PAD[0], high)
+        self.n += m
+        if 2 * self.n > 1 << self.bits:
+            self._rebuild()
+        else:
+            self._place(entries[~long])
+        return entries
+
+    def _rebuild(self) -> None:
+        while 3 * self.n > 1 << self.bits:
+            self.bits += 1
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self._place(np.flatnonzero(self.low[: self.n] != _PAD[0]).astype(np.int32))
+
+    def trim(self) -> None:
+        """Begin a shard; drop the entries that were not used for longest, if there are too many."""
+        self.epoch += 1
+        if self.n <= self.most:
+            return
+        last = self.last[: self.n]
+        kept = np.flatnonzero(last >= np.partition(last, self.n - self.most // 2)[self.n - self.most // 2])
+        if len(kept) > self.most:  # all of one shard
+            kept = kept[: self.most // 2]
+        new = np.full(self.n, -1, np.int64)
+        new[kept] = np.arange(len(kept))
+        length = self.length[kept].astype(np.int64)
+        at = np.repeat(self.start[kept] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        ids = self.pool[at]
+        self.pool[: len(ids)] = ids
+        self.used = len(ids)
+        for name in ("low", "high", "length", "last"):
+            column = getattr(self, name)
+            column[: len(kept)] = column[kept]
+        self.start[: len(kept)] = np.cumsum(length) - length
+        self.long = {k: int(new[v]) for k, v in self.long.items() if new[v] >= 0}
+        self.n = len(kept)
+        self._rebuild()
 
 
 class UnitEncoder:
-    """Encodes texts through a cache of their white-space-led pieces; ids as ``tokenizers`` gives for the whole text."""
+    """Encodes texts through a table of their white-space-led pieces; ids as ``tokenizers`` gives for the whole text.
 
-    MOST = 1_000_000
+    New pieces go to the tokenizer by the hundred, one after another in one string: byte-level tokens tell by their number of bytes where each piece ends.
+    A tokenizer that isn't a plain byte-level one gets whole texts.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.reset()
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)
+        before = kind.get("pre_tokenizer") or {}
+        self.plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not kind.get("normalizer")
+        self.size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.size[i] = len(token)
+        self.table = PieceTable()
 
     @classmethod
     def shared(cls, path: str) -> "UnitEncoder":
         return _CACHES.setdefault(path, cls(path)) if path not in _CACHES else _CACHES[path]
 
-    def reset(self) -> None:
-        self.known: dict[int, int] = {}
-        self.pool, self.used = np.empty(1 << 20, np.uint32), 0
-        self.start, self.length = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int32)
-
-    def _add(self, hashes: list[int], pieces: list[str]) -> None:
-        n = len(self.known)
-        while n + len(hashes) > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-        for h, e in zip(hashes, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            ids = e.ids
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.resize(self.pool, 2 * len(self.pool))
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.start[n], self.length[n] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[h] = n
-            n += 1
-
     @staticmethod
     def units(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Start of every piece: each row's first byte, and each white-space run that follows a character which can't be white space."""
@@ -94,34 +184,88 @@ class UnitEncoder:
         cut[1:] &= ~blank[:-1] & (flat[:-1] >= 0x20)
         cut[:1] = False
         # white space beyond ASCII ends in C2 xx or in E1-E3 xx xx: no cut after anything that looks like it
-        if len(flat) > 2:
-            cut[2:] &= ~((flat[:-2] == 0xC2) & (flat[1:-1] >= 0x80))
-        if len(flat) > 3:
-            cut[3:] &= ~((flat[:-3] >= 0xE1) & (flat[:-3] <= 0xE3) & (flat[2:-1] >= 0x80))
+        at = np.flatnonzero(cut)
+        if len(at):
+            two, three = flat[np.maximum(at - 2, 0)], flat[np.maximum(at - 3, 0)]
+            odd = (flat[at - 1] >= 0x80) & ((two == 0xC2) | (three >= 0xE1) & (three <= 0xE3))
+            cut[at[odd & (at >= 2)]] = False
         cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         return np.flatnonzero(cut)
 
+    def _tokens(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids a piece) of the pieces at ``start``; those that ``joined`` marks may stand one after another, and come first."""
+        encode = lambda texts: [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        n = int(joined.sum())
+        end = np.cumsum(size[:n])
+        data = flat[np.repeat(start[:n] - (end - size[:n]), size[:n]) + np.arange(end[-1] if n else 0)].tobytes()
+        edge = [0, *end[127:-1:128].tolist(), int(end[-1])] if n else [0]
+        found = encode([data[a:b].decode() for a, b in zip(edge, edge[1:])])
+        ids = np.concatenate([np.zeros(0, np.uint32), *found])
+        reach = np.cumsum(self.size[ids])
+        cut = np.searchsorted(reach, end)
+        count = np.diff(cut + 1, prepend=0)
+        if n and not (cut[-1] == len(ids) - 1 and (reach[cut] == end).all()):  # some token crosses pieces after all
+            ids, n = np.zeros(0, np.uint32), 0
+        view = memoryview(flat)
+        rest = encode([bytes(view[a : a + k]).decode() for a, k in zip(start[n:].tolist(), size[n:].tolist())])
+        return np.concatenate([ids, *rest]), np.concatenate([count[:n], np.array([len(x) for x in rest], np.int64)]).astype(np.int64)
+
     def encode(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all rows, offsets of rows in them, hash of every piece, row of every piece)."""
-        if len(self.known) > self.MOST:
-            self.reset()
-        starts = self.units(flat, offsets)
-        ends = np.append(starts[1:], len(flat))[: len(starts)]
+        """(ids of all rows, offsets of rows in them, table entry of every piece, row of every piece)."""
+        table, starts = self.table, self.units(flat, offsets)
+        size = np.diff(np.append(starts, len(flat)))
+        padded = np.concatenate([flat, np.zeros(16, np.uint8)])
+        word = np.ndarray((len(padded) - 7,), "<u8", buffer=padded, strides=(1,))
+        low, high = word[starts] | _PAD[np.minimum(size, 8)], np.full(len(starts), _PAD[0])
+        second = size > 8
+        high[second] = word[starts[second] + 8] | _PAD[np.minimum(size[second] - 8, 8)]
+        entry = np.full(len(starts), -1, np.int32)
+        is_short = size <= 16
+        if is_short.all():
+            entry = table.find(low, high)
+        else:
+            entry[is_short] = table.find(low[is_short], high[is_short])
+            view = memoryview(flat)
+            long = np.flatnonzero(~is_short)
+            names = [bytes(view[a : a + n]) for a, n in zip(starts[long].tolist(), size[long].tolist())]
+            entry[long] = [table.long.get(x, -1) for x in names]
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            new = missing[is_short[missing]]
+            order = np.lexsort((new, high[new], low[new]))
+            a, b = low[new][order], high[new][order]
+            head = np.ones(len(order), bool)
+            head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            first = new[order[head]]
+            fresh_long: dict[bytes, int] = {}
+            if len(new) < len(missing):
+                for k, x in zip(long.tolist(), names):
+                    if entry[k] < 0:
+                        fresh_long.setdefault(x, k)
+            at = np.concatenate([first, np.fromiter(fresh_long.values(), np.int64, len(fresh_long))]).astype(np.int64)
+            e = starts[at] + size[at]
+            # as in units(): a white-space-led piece may follow one whose end can't be white space
+            joined = tk.BLANK[flat[starts[at]]] & ~tk.BLANK[flat[e - 1]] & (flat[e - 1] >= 0x20)
+            two, three = flat[np.maximum(e - 2, 0)], flat[np.maximum(e - 3, 0)]
+            joined &= ~((flat[e - 1] >= 0x80) & ((two == 0xC2) | (three >= 0xE1) & (three <= 0xE3)))
+            turn = np.argsort(~joined, kind="stable")
+            ids, count = self._tokens(flat, starts[at][turn], size[at][turn], joined)
+            added = np.empty(len(at), np.int32)
+            added[turn] = table.add(low[at][turn], high[at][turn], size[at][turn] > 16, ids, count)
+            table.long.update(zip(fresh_long, added[len(first) :].tolist()))
+            entry[new[order]] = added[: len(first)][np.cumsum(head) - 1]
+            if fresh_long:
+                entry[long] = [table.long[x] for x in names]
+        table.last[entry] = table.epoch
         rows = np.searchsorted(offsets, starts, "right") - 1
-        hashes = tk.span_hash(tk.prefix_hash(flat), starts, ends)
-        code, distinct = pd.factorize(hashes)
-        distinct = distinct.tolist()
-        missing = [k for k, h in enumerate(distinct) if h not in self.known]
-        if missing:
-            first = np.empty(len(distinct), np.int64)
-            first[code[::-1]] = np.arange(len(code))[::-1]
-            data = flat.tobytes()
-            self._add([distinct[k] for k in missing], [data[starts[i] : ends[i]].decode() for i in first[missing]])
-        entry = np.fromiter((self.known[h] for h in distinct), np.int64, len(distinct))[code] if len(distinct) else np.zeros(0, np.int64)
-        length = self.length[entry].astype(np.int64)
+        length = table.length[entry].astype(np.int64)
         before = np.concatenate([[0], np.cumsum(length)])
-        ids = self.pool[np.repeat(self.start[entry] - before[:-1], length) + np.arange(before[-1])]
-        return ids, before[np.searchsorted(rows, np.arange(len(offsets)))], hashes, rows
+        if self.plain:
+            ids = table.pool[np.repeat(table.start[entry] - before[:-1], length) + np.arange(before[-1])]
+            return ids, before[np.searchsorted(rows, np.arange(len(offsets)))], entry, rows
+        data = flat.tobytes()
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([data[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])], add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in found])]), entry, rows
 
 
 class Bm25:
@@ -199,6 +343,7 @@ def pack(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
 
     def finish(shard: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         encoder = UnitEncoder.shared(path)
+        encoder.table.trim()
         ids, cuts, terms, owners, rows = [], [np.zeros(1, np.int64)], [], [], 0
         for part in parts:
             for first, end, flat, offsets in tk.chunks(part.column(1)):
