@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; only where that is unset (tests) one is made here."""
+    """Folder named by ``spark.checkpoint.dir``; where that is unset, one is made here for a single machine, and a cluster fails."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("pathloom.scratch.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set; executors of {master or 'a cluster'} need a folder that they all share")
         root = "file://" + tempfile.mkdtemp(prefix="pathloom-")
         spark.conf.set("pathloom.scratch.dir", root)
     return root.rstrip("/")
