@@ -30,11 +30,11 @@ class FtrlParams:
     ``l1`` is the L1 strength per row of label 1, so that it means the same at every size of the sample."""
 
     bits: int = 22
-    alpha: float = 2.0
+    alpha: float = 4.0
     beta: float = 1.0
-    l1: float = 0.006
+    l1: float = 0.018
     l2: float = 0.1
-    epochs: int = 4
+    epochs: int = 8
     min_rows: int = 3
     max_train_rows: int = 20_000
     threshold: float = 0.7
@@ -65,24 +65,35 @@ def fit_arrays(examples: list[tuple[int, np.ndarray]], p: FtrlParams) -> tuple[n
         seen[ix] += 1
     positive = sum(y for y, _ in examples)
     l1 = p.l1 * positive
-    z, n = np.zeros(size), np.zeros(size)
     rate = (positive + 0.5) / (len(examples) + 1.0)
-    bias, bias_n = float(np.log(rate / (1 - rate))), 1.0
-    if 0 < positive < len(examples):
-        kept = [(y, ix[seen[ix] >= p.min_rows]) for y, ix in examples]
-        for _ in range(p.epochs):
-            for y, ix in kept:
-                zi, ni = z[ix], n[ix]
-                root = np.sqrt(ni)
-                w = np.where(np.abs(zi) > l1, (np.sign(zi) * l1 - zi) / ((p.beta + root) / p.alpha + p.l2), 0.0)
-                g = 1.0 / (1.0 + np.exp(-np.clip(bias + w.sum(), -35, 35))) - y
-                sigma = (np.sqrt(ni + g * g) - root) / p.alpha
-                z[ix] = zi + g - sigma * w
-                n[ix] = ni + g * g
-                bias_n += g * g
-                bias -= p.alpha * g / (p.beta + np.sqrt(bias_n)) * 0.1
-    w = np.where(np.abs(z) > l1, (np.sign(z) * l1 - z) / ((p.beta + np.sqrt(n)) / p.alpha + p.l2), 0.0)
-    return w, bias
+    # the bias is one more coordinate, without penalties, that starts at the label rate's log odds
+    bias, bias_n = float(np.log(rate / (1 - rate))), 0.0
+    bias_z = -bias * p.beta / p.alpha
+    dense = np.zeros(size)
+    if not 0 < positive < len(examples):
+        return dense, bias
+    # only features in enough rows have a coordinate
+    own = np.flatnonzero(seen >= p.min_rows)
+    place = np.full(size, -1, np.int32)
+    place[own] = np.arange(len(own))
+    flat = np.concatenate([place[ix[seen[ix] >= p.min_rows]] for _, ix in examples])
+    cut = np.concatenate([[0], np.cumsum([int((seen[ix] >= p.min_rows).sum()) for _, ix in examples])])
+    del place, seen
+    z, n = np.zeros(len(own)), np.zeros(len(own))
+    for _ in range(p.epochs):
+        for k, (y, _) in enumerate(examples):
+            ix = flat[cut[k] : cut[k + 1]]
+            zi, ni = z[ix], n[ix]
+            root = np.sqrt(ni)
+            w = np.where(np.abs(zi) > l1, (np.sign(zi) * l1 - zi) / ((p.beta + root) / p.alpha + p.l2), 0.0)
+            g = 1.0 / (1.0 + np.exp(-np.clip(bias + w.sum(), -35, 35))) - y
+            z[ix] = zi + g - (np.sqrt(ni + g * g) - root) / p.alpha * w
+            n[ix] = ni + g * g
+            bias_z += g - (np.sqrt(bias_n + g * g) - np.sqrt(bias_n)) / p.alpha * bias
+            bias_n += g * g
+            bias = float(-bias_z * p.alpha / (p.beta + np.sqrt(bias_n)))
+    dense[own] = np.where(np.abs(z) > l1, (np.sign(z) * l1 - z) / ((p.beta + np.sqrt(n)) / p.alpha + p.l2), 0.0)
+    return dense, bias
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams(), label: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
@@ -95,12 +106,14 @@ def fit(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams(), l
             order, y = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for first, end, flat, offsets in tk.chunks(batch.column(2)):
                 ix, rows = _distinct(*features(flat, offsets, p.bits), p.bits)
-                cut = np.searchsorted(rows, np.arange(end - first + 1))
+                ix, cut = ix.astype(np.int32), np.searchsorted(rows, np.arange(end - first + 1))
                 for r in range(end - first):
-                    own = ix[cut[r] : cut[r + 1]].astype(np.int32)
-                    found.append((order[first + r], y[first + r], own.tobytes()[:64], own))
+                    own = ix[cut[r] : cut[r + 1]]
+                    found.append((order[first + r], y[first + r], own[:16].tobytes(), own))
         found.sort(key=lambda x: x[:3])
         w, bias = fit_arrays([(y, ix) for _, y, _, ix in found], p)
+        del found
+        tk.give_back()
         nz = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(nz, -1), pa.int64()), pa.array(np.append(w[nz], bias), pa.float64())], names=["i", "w"])
 
