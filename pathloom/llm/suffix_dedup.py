@@ -148,7 +148,8 @@ def runs(flat: np.ndarray, offsets: np.ndarray, p: DedupParams) -> tuple[np.ndar
     _, down = tk.powers(n)
     h = tk.mix((prefix[p.gram :] - prefix[: n - p.gram + 1]) * down[: n - p.gram + 1])
     del prefix
-    mask = tk.U64((1 << n.bit_length()) - 1)
+    # the upper half of the hash, then the place: what a window's anchor is depends on the window's bytes alone
+    mask = tk.U64(0xFFFFFFFF)
     packed = (h & ~mask) | np.arange(len(h), dtype=np.uint64)
     size = -(-len(packed) // w) * w
     grid = np.full(size, np.iinfo(np.uint64).max, np.uint64)
@@ -187,6 +188,7 @@ def _runs(texts: DataFrame, p: DedupParams) -> DataFrame:
                     [pa.array(h.view(np.int64)), pa.array(ctx, pa.binary()), keys, pa.array(x0 - offsets[row]), pa.array((anchor - x0).astype(np.int32)), pa.array(m.astype(np.int32))],
                     names=["h", "ctx", "key", "x0", "d", "m"],
                 )
+        tk.give_back()
 
     return texts.select("key", "text").mapInArrow(run, RUNS)
 
@@ -274,6 +276,8 @@ def _shared(contexts: DataFrame, p: DedupParams) -> DataFrame:
         finish()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+        rows, own = [], []
+        tk.give_back()
 
     found = contexts.repartition("h").sortWithinPartitions("h", "ctx").select("h", "ctx", "d", "data").mapInArrow(run, FOUND)
     return found
@@ -341,13 +345,21 @@ def repeats(docs: DataFrame, params: DedupParams = DedupParams(), with_text: boo
     """key, n_removed, n_spans, kept_sha256 (and kept) of every distinct text that loses bytes; ``key`` is the first half of the text's SHA-256."""
     p, spark = params, docs.sparkSession
     small_batches(spark)
-    scratch = Scratch(spark, "suffix-dedup")
     base = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= p.length).select(_key("text").alias("key"), "text")
-    name, buckets = f"pathloom_texts_{uuid.uuid4().hex}", max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # bucketed by key, so the two joins with texts below move only the narrow side
-    base.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies")).write.bucketBy(buckets, "key").sortBy("key").option("compression", "zstd").format("parquet").saveAsTable(name)
-    release(spark)
-    texts = spark.table(name)
+    scratch, name, buckets = Scratch(spark, "suffix-dedup"), f"pathloom_texts_{uuid.uuid4().hex}", max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    try:
+        # bucketed by key, so the two joins with texts below move only the narrow side
+        base.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies")).write.bucketBy(buckets, "key").sortBy("key").option("compression", "zstd").format("parquet").saveAsTable(name)
+        release(spark)
+        return _repeats(spark.table(name), scratch, p, with_text)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        scratch.drop("")
+
+
+def _repeats(texts: DataFrame, scratch: Scratch, p: DedupParams, with_text: bool) -> DataFrame:
+    """``repeats`` of distinct texts (key, text, copies)."""
+    spark = texts.sparkSession
     run = scratch.table(_runs(texts, p), "runs")
     classes = run.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("key", "x0", "d", "m")).alias("rep"))
     several = classes.groupBy("h").agg(F.count("*").alias("classes"), F.sum("n").alias("members")).where("members > 1")
@@ -364,10 +376,7 @@ def repeats(docs: DataFrame, params: DedupParams = DedupParams(), with_text: boo
     many = run.select("h", "ctx", "key", "x0", "m").join(found.where("n > 1").select("h", "ctx"), ["h", "ctx"]).select("key", F.col("x0").alias("s"), (F.col("x0") + F.col("m") - 1 + p.length).alias("e"))
     copied = texts.where("copies > 1").select("key", F.lit(0).cast("long").alias("s"), F.octet_length("text").cast("long").alias("e"))
     spans = single.unionByName(many).unionByName(copied).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    out = Scratch(spark, "suffix-dedup-result").table(_cut(texts, spans, with_text), "texts")
-    spark.sql(f"DROP TABLE {name}")
-    scratch.drop("")
-    return out
+    return Scratch(spark, "suffix-dedup-result").table(_cut(texts, spans, with_text), "texts")
 
 
 def query(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
