@@ -94,6 +94,9 @@ def _heavy(docs: DataFrame, p: JoinParams) -> tuple[np.ndarray, np.ndarray]:
                     held, size = [], 0
         if held:
             yield flush()
+        seen.clear()
+        held.clear()
+        tk.give_back()
 
     total = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = total.orderBy(F.desc("n"), "h").limit(p.max_heavy).toArrow()
@@ -182,6 +185,8 @@ def _index(docs: DataFrame, heavy, buckets: int, p: JoinParams) -> DataFrame:
                     held, size = [], 0
         if held and size:
             yield flush()
+        held.clear()
+        tk.give_back()
 
     return docs.select("row_key", "doc_id", "text").mapInArrow(run, INDEX)
 
@@ -258,6 +263,8 @@ def _candidates(index: DataFrame, buckets: int, p: JoinParams, cap: int = 8192)
                 blobs.append(blob)
         if blobs:
             yield from finish(blobs)
+        blobs.clear()
+        tk.give_back()
 
     packed = index.where(F.col("bucket").isNotNull()).select("bucket", "blob")
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, CANDIDATES)
@@ -288,10 +295,16 @@ def tree_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that join each component of the sets, and no more than it takes, by one-against-all overlaps through an inverted index."""
     g = len(sets)
     n = np.array([len(x) for x in sets])
-    _, code = np.unique(np.concatenate(sets), return_inverse=True)
-    own = np.repeat(np.arange(g), n)
-    order = np.argsort(code, kind="stable")
-    owners, first = own[order], np.searchsorted(code[order], np.arange(int(code.max()) + 2))
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    rank = np.zeros(len(flat), np.int32)
+    rank[1:] = np.cumsum(flat[1:] != flat[:-1])
+    del flat
+    code = np.empty(len(rank), np.int32)
+    code[order] = rank
+    owners, first = np.repeat(np.arange(g, dtype=np.int32), n)[order], np.searchsorted(rank, np.arange(int(rank[-1]) + 2))
+    del rank, order
     start = np.concatenate([[0], np.cumsum(n)])
 
     def linked(k: int) -> np.ndarray:
@@ -344,6 +357,8 @@ def _clustered(sets: DataFrame, p: JoinParams) -> DataFrame:
                 own.append((key, data))
         if own:
             yield finish()
+        own.clear()
+        tk.give_back()
 
     dealt = sets.repartition("cluster").sortWithinPartitions("cluster", "class")
     return dealt.select("cluster", "class", "set").mapInArrow(run, "a binary, b binary")

@@ -3,48 +3,10 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-
-def shared_root(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; only where that is unset (tests) one is made here."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("pathloom.scratch.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="pathloom-")
-        spark.conf.set("pathloom.scratch.dir", root)
-    return root.rstrip("/")
-
-
-class Scratch:
-    """Names the tables of one operator run and deletes those that are no longer read."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-        path, fs = self._fs(self.root)
-        fs.mkdirs(path)
-        fs.deleteOnExit(path)  # what a result still reads lives as long as the session
-
-    def _fs(self, where: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and read it again: lineage ends here and survives a lost executor."""
-        path = self.path(name)
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            path, fs = self._fs(self.path(name))
-            fs.delete(path, True)
+from ..operators.rounds import Scratch, shared_root  # noqa: F401
 
 
 def release(spark: SparkSession) -> None:
@@ -55,7 +17,7 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Hold the Arrow batches that go to Python workers to ``size`` bytes: with long texts the default of rows is too much for two tasks an executor."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(re.sub(r"\D", "", spark.conf.get(key)) or 0) > size:

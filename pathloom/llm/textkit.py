@@ -7,6 +7,8 @@ prefix hashes with a final avalanche; equal words always hash alike, on every wo
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +46,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: a Python worker outlives its task, and what it keeps for later counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit avalanche."""
     h = h ^ (h >> U64(30))
