@@ -19,16 +19,18 @@ def build(spark, folder):
     docs = [(k, text(80) + (" vile vile" if k % 5 == 0 else "")) for k in range(300)]
     docs += [(400 + k, docs[1][1]) for k in range(6)] + [(410 + k, docs[2][1] + f" tail{k}") for k in range(4)]
     docs += [(420 + k, text(60) + " " + passage + " " + text(60)) for k in range(5)]
+    short = [text(51 + 3 * k) for k in range(4)]
+    docs += [(450 + k, text(70) + " " + short[k % 4] + " " + text(40 + k)) for k in range(12)]
     docs += [(430 + k, text(300) + " " + items[k] + " " + text(100)) for k in range(4)]
     docs += [(440, None), (441, ""), (442, text(9000))]
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
-    return docs, items
+    return docs, items, short
 
 
 def test_stages(spark, tmp_path):
-    docs, items = build(spark, str(tmp_path))
+    docs, items, short = build(spark, str(tmp_path))
     first = spark.read.parquet(f"{tmp_path}/documents.parquet")
     columns, before = first.columns, {i: t for i, t in docs}
     kept = [before]
@@ -47,8 +49,9 @@ def test_stages(spark, tmp_path):
     assert set(near) == {c for _, _, c in brute_components(sorted(toxic.items()))}
     ids = sorted(near)
     texts = [(near[i] or "").encode() for i in ids]
-    left = {i: bytes(x for x, m in zip(b, c) if not m).decode() for i, b, c in zip(ids, texts, brute_repeats(texts, 400)) if not (b and all(c))}
+    left = {i: bytes(x for x, m in zip(b, c) if not m).decode() for i, b, c in zip(ids, texts, brute_repeats(texts, corpus_pipeline.PASSAGE_BYTES)) if not (b and all(c))}
     assert {i: t or "" for i, t in cut.items()} == left
+    assert all(len(x.encode()) < 400 for x in short) and not any(x in (t or "") for t in cut.values() for x in short)
     hit = {i for i, t in cut.items() if any(len(shingle_set(q) & shingle_set(t)) >= 0.75 * len(shingle_set(q)) for q in items)}
     assert hit and set(clean) == set(cut) - hit
 
@@ -65,3 +68,27 @@ def test_stages(spark, tmp_path):
     assert set(found.doc_id) == set(clean)
     whole = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert sorted(map(tuple, whole[found.columns].to_numpy())) == sorted(map(tuple, found.to_numpy()))
+
+
+def test_stages_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, an id with two texts, columns whose names the operators use themselves; then no rows at all."""
+    docs, _, _ = build(spark, str(tmp_path))
+    names = ["key", "row", "runs", "kept", "score", "predicted", "class", "root", "row_key", "shard", "component_id"]
+    rows = [(i, t, "en", None if i % 2 else "s", None, *("x" for _ in names)) for i, t in docs[1:60:5]]
+    rows += [rows[0]] * 3 + [(rows[1][0], rows[2][1], *rows[1][2:]), (None, rows[3][1], *[None] * (3 + len(names))), (None, None, *[None] * (3 + len(names))), (7001, "", "en", "s", 0, *names), (7002, " \n ", "en", "s", 3, *names)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    odd = spark.createDataFrame(rows, schema)
+    for given in (odd, odd.limit(0)):
+        frame = given
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            frame = stage(spark, frame, str(tmp_path))
+            assert frame.columns == odd.columns, name
+        kept = frame.collect()
+        packed = corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path)).collect()
+        assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in kept}
+        if given is odd:
+            # of one text under ids 6 and 11 the row of 6 stays, beside the other text of 6; the null id's copy goes, its null text stays
+            assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted([*({r[0] for r in rows if r[0] is not None} - {11}), 6])
+            assert sum(r["doc_id"] is None for r in kept) == 1
+            assert all(r["key"] in (None, "x", "key") for r in kept)
+    assert not kept and not packed
