@@ -1,50 +1,86 @@
-"""Annotations of facts: what a fact carries, how two facts' values combine, and which value is kept."""
+"""Annotations of facts: what a fact carries, how two facts' values combine, and which value is kept.
+
+Three are built in; ``semiring`` makes others from three expressions.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: the columns that name a fact's split; the others are values
+SPLIT = ("mid", "r1", "r2")
+
 
 @dataclass(frozen=True)
 class Annotation:
-    """``columns`` are (name, Spark type).  ``improves``: a fact may be derived again with a better value."""
+    """``columns`` are (name, Spark type; ``vertex``: that of the graph's vertices).
+
+    ``edge`` and ``empty`` give the columns of an edge's fact and of the empty walk's, ``times`` those of two facts that follow each other (as columns l_*, r_*,
+    mid, r1 and r2), ``plus`` the aggregates that keep the best.  ``better``: a fact may be derived again, and takes the new value if this holds of (new, old).
+    """
 
     name: str
     columns: tuple[tuple[str, str], ...] = ()
-    improves: bool = False
+    edge: Callable[[], list[Column]] = list
+    empty: Callable[[], list[Column]] = list
+    times: Callable[[], list[Column]] = list
+    plus: Callable[[], list[Column]] = list
+    better: Callable[[Column, Column], Column] | None = None
+    #: known to the solver that works within one task
+    local: bool = False
+
+    @property
+    def values(self) -> list[str]:
+        return [n for n, _ in self.columns if n not in SPLIT]
+
+
+def semiring(name: str, kind: str, edge: Column, empty: Column, times: Callable[[Column, Column], Column], least: bool = True, column: str = "value") -> Annotation:
+    """A value for each walk, of which the least (or greatest) is kept.
+
+    ``edge`` is an expression over src, label and dst, ``times`` combines the values of two walks that follow each other, ``empty`` is the empty walk's value.
+    A longer walk must not be better than each of its parts, or the rounds need not end.
+    """
+    best = F.min if least else F.max
+    return Annotation(
+        name, ((column, kind),),
+        edge=lambda: [edge.cast(kind).alias(column)],
+        empty=lambda: [empty.cast(kind).alias(column)],
+        times=lambda: [times(F.col(f"l_{column}"), F.col(f"r_{column}")).cast(kind).alias(column)],
+        plus=lambda: [best(column).alias(column)],
+        better=(lambda new, old: new < old) if least else (lambda new, old: new > old),
+    )
+
+
+REACH = Annotation("reach", local=True)
 
 
-REACH = Annotation("reach")
 #: least number of edges
-SHORTEST = Annotation("shortest", (("length", "long"),), improves=True)
-#: one witness, of least derivation height; ties by length, midpoint and rule
-SINGLE = Annotation("single", (("height", "long"), ("length", "long"), ("mid", "vertex"), ("r1", "int"), ("r2", "int")))
+SHORTEST = Annotation(
+    "shortest", (("length", "long"),),
+    edge=lambda: [F.lit(1).cast("long").alias("length")],
+    empty=lambda: [F.lit(0).cast("long").alias("length")],
+    times=lambda: [(F.col("l_length") + F.col("r_length")).alias("length")],
+    plus=lambda: [F.min("length").alias("length")],
+    better=lambda new, old: new < old,
+    local=True,
+)
 
 
-def seed_values(a: Annotation, edge: bool) -> list[Column]:
-    """Values of an edge's fact, or of a source's."""
-    one = F.lit(1 if edge else 0).cast("long")
+def _single(one: int) -> list[Column]:
     none = F.lit(None)
-    return {"reach": [], "shortest": [one.alias("length")], "single": [one.alias("height"), one.alias("length"), none.alias("mid"), none.cast("int").alias("r1"), none.cast("int").alias("r2")]}[a.name]
-
-
-def joined_values(a: Annotation) -> list[Column]:
-    """Values of the fact that joins ``l`` and ``r``; the join offers columns l_*, r_*, mid, r1 and r2."""
-    length = (F.col("l_length") + F.col("r_length")).alias("length")
-    if a == SHORTEST:
-        return [length]
-    if a == SINGLE:
-        return [(F.greatest("l_height", "r_height") + 1).alias("height"), length, "mid", "r1", "r2"]
-    return []
-
-
-def best(a: Annotation) -> list[Column]:
-    """Aggregates that keep the best value of a fact."""
-    if a == SHORTEST:
-        return [F.min("length").alias("length")]
-    if a == SINGLE:
-        return [F.min(F.struct("height", "length", "mid", "r1", "r2")).alias("value")]
-    return []
+    return [F.lit(one).cast("long").alias("height"), F.lit(one).cast("long").alias("length"), none.alias("mid"), none.cast("int").alias("r1"), none.cast("int").alias("r2")]
+
+
+#: one witness, of least derivation height; ties by length, midpoint and rule
+SINGLE = Annotation(
+    "single", (("height", "long"), ("length", "long"), ("mid", "vertex"), ("r1", "int"), ("r2", "int")),
+    edge=lambda: _single(1),
+    empty=lambda: _single(0),
+    times=lambda: [(F.greatest("l_height", "r_height") + 1).alias("height"), (F.col("l_length") + F.col("r_length")).alias("length"), F.col("mid"), F.col("r1"), F.col("r2")],
+    plus=lambda: [F.min(F.struct("height", "length", "mid", "r1", "r2")).alias("value")],
+    local=True,
+)

@@ -1,126 +1,258 @@
 """Semi-naive evaluation of rule programs over an edge table.
 
-Distributed: each round joins the last round's new facts with all facts, on the vertex between them, through broadcast rule tables (their size is
-that of the query).  New facts are what an anti join leaves; they are written as Parquet to the shared folder, which cuts
-lineage and survives lost executors.  All facts are the union of the rounds' tables, so a round writes what it found and no more.
+Distributed: a round joins the last round's new facts with what they can follow or precede, on the vertex between them, through broadcast rule tables (their
+size is that of the query).  Where the other side of a rule is an edge, that is the table of edges alone, so a regular language never joins its growing facts.
+New facts are measured: up to ``broadcast_bytes`` they are broadcast, and the known facts are scanned where they lie; beyond, both sides are shuffled,
+and a round that costs that has brought as much.  What is new is written as Parquet to the shared folder, which cuts lineage and survives lost executors.
+Known facts are a few tables of geometrically growing size, merged as rounds go on, so neither files nor rewriting grow with the number of rounds.
+
+A program without recursion is one plan of joins, without rounds.
 
 Local: a graph, or the part of a graph under one key, whose edges are counted and found few is solved by the same rounds
-within one task; a part whose facts outgrow the task is handed back and solved by the distributed rounds.  Neither way drops anything.
+within one task; a part whose facts outgrow the task is handed back and solved by the distributed rounds.  No way drops anything.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.annotations import REACH, SHORTEST, SINGLE, Annotation, best, joined_values, seed_values
+from ..functions.annotations import REACH, SINGLE, Annotation
 from ..plans.program import Program
 from .rounds import Scratch
 
+KEY = ["sym", "src", "dst"]
+
 
 @dataclass(frozen=True)
 class Strategy:
-    """``local_edges``: edges of a part that one task may solve; ``local_facts``: facts at which it gives up."""
+    """``local_edges``: edges of a part that one task may solve; ``local_facts``: facts at which it gives up.  ``broadcast_bytes``: measured size up to which a round's
+    facts are broadcast.  ``direct_facts``: known facts up to which a round's finds are compared with all of them at once, without being written and measured first."""
 
     local_edges: int = 100_000
     local_facts: int = 3_000_000
+    broadcast_bytes: int = 32 << 20
+    direct_facts: int = 2_000_000
     max_rounds: int = 100_000
 
 
+@dataclass
+class Trace:
+    """How a query was evaluated."""
+
+    counts: list[Callable[[], int]] = field(default_factory=list)
+
+    @property
+    def rounds(self) -> int:
+        """Rounds of the longest part, the last one, which found nothing, included."""
+        return max((c() for c in self.counts), default=0)
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of the query's own size (rules, states); broadcast by its users."""
     return spark.createDataFrame(rows, schema)
 
 
+def _kinds(a: Annotation, vertex: T.DataType) -> dict[str, str]:
+    return {n: vertex.simpleString() if k == "vertex" else k for n, k in a.columns}
+
+
+def _values(columns, a: Annotation, vertex: T.DataType) -> list:
+    kinds = _kinds(a, vertex)
+    return [c.cast(kinds[n]).alias(n) for c, (n, _) in zip(columns, a.columns)]
+
+
+def kept(facts: DataFrame, a: Annotation) -> DataFrame:
+    """One row for each fact, with its best value."""
+    if not a.columns:
+        return facts.distinct()
+    out = facts.groupBy(*KEY).agg(*a.plus())
+    return out.select(*KEY, "value.*") if "value" in out.columns and a == SINGLE else out
+
+
 def seeds(edges: DataFrame, program: Program, a: Annotation) -> DataFrame:
     """Facts of edges: each edge under every symbol that is seeded by its label."""
     rules = small_table(edges.sparkSession, list(program.seeds), "sym int, label string")
-    vertex = edges.schema["src"].dataType
-    values = [c if n != "mid" else F.lit(None).cast(vertex).alias("mid") for c, (n, _) in zip(seed_values(a, True), a.columns)]
-    return edges.where(F.col("label").isin(program.labels)).join(F.broadcast(rules), "label").select("sym", "src", "dst", *values).distinct()
+    values = _values(a.edge(), a, edges.schema["src"].dataType)
+    return kept(edges.where(F.col("label").isin(program.labels)).join(F.broadcast(rules), "label").select("sym", "src", "dst", *values), a)
 
 
 def source_facts(sources: DataFrame, program: Program, a: Annotation) -> DataFrame:
     v = sources.columns[0]
-    vertex = sources.schema[v].dataType
-    values = [c if n != "mid" else F.lit(None).cast(vertex).alias("mid") for c, (n, _) in zip(seed_values(a, False), a.columns)]
     own = sources.select(F.col(v).alias("src")).where(F.col("src").isNotNull()).distinct()
-    return own.select(F.explode(F.array(*(F.lit(s).cast("int") for s in program.sources))).alias("sym"), "src", F.col("src").alias("dst"), *values)
+    symbols = F.explode(F.array(*(F.lit(s).cast("int") for s in program.sources))).alias("sym")
+    return own.select(symbols, "src", F.col("src").alias("dst"), *_values(a.empty(), a, sources.schema[v].dataType))
+
+
+def _join(left: DataFrame, right: DataFrame, rules: list[tuple], a: Annotation, new_is_left: bool, hint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What facts of ``left`` followed by facts of ``right`` derive; the new ones are small if ``hint`` broadcasts."""
+    table = F.broadcast(small_table(left.sparkSession, rules, "head int, r1 int, r2 int"))
+    firsts, seconds = sorted({r[1] for r in rules}), sorted({r[2] for r in rules})
+    l = left.where(F.col("sym").isin(firsts)).select(F.col("sym").alias("r1"), F.col("src").alias("src"), F.col("dst").alias("mid"), *(F.col(n).alias(f"l_{n}") for n in a.values))
+    r = right.where(F.col("sym").isin(seconds)).select(F.col("sym").alias("r2"), F.col("src").alias("mid"), F.col("dst").alias("dst"), *(F.col(n).alias(f"r_{n}") for n in a.values))
+    both = r.join(hint(l.join(table, "r1")), ["r2", "mid"]) if new_is_left else l.join(hint(r.join(table, "r2")), ["r1", "mid"])
+    return both.select(F.col("head").alias("sym"), "src", "dst", *a.times())
+
+
+def _unary(facts: DataFrame, program: Program, a: Annotation, vertex: T.DataType) -> list[DataFrame]:
+    """What unary rules derive from ``facts``."""
+    out = []
+    for want in (False, True):
+        if rules := [(h, b) for h, b, loop in program.unary if loop == want]:
+            own = facts.join(F.broadcast(small_table(facts.sparkSession, rules, "head int, sym int")), "sym")
+            out.append(own.select(F.col("head").alias("sym"), F.col("dst" if want else "src").alias("src"), "dst", *(_values(a.empty(), a, vertex) if want else a.values)))
+    return out
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for x in frames[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _measured(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes in memory at most about) of a written table of facts."""
+    text = [c for c in ("src", "dst") if isinstance(df.schema[c].dataType, T.StringType)]
+    row = df.agg(F.count("*").alias("n"), *(F.sum(F.octet_length(c)).alias(c) for c in text)).first()
+    return row["n"], row["n"] * 16 * len(df.columns) + 2 * sum(row[c] or 0 for c in text)
+
+
+class Known:
+    """All facts so far, as tables of the shared folder of which each is larger than all that came after it together."""
+
+    MOST = 8
+
+    def __init__(self, scratch: Scratch, a: Annotation):
+        self.scratch, self.a, self.tables, self.rows, self.merges, self.old = scratch, a, [], 0, 0, []
+
+    def add(self, name: str, table: DataFrame, rows: int) -> None:
+        """A table that was just written; it is not dropped before the next one is added."""
+        self.scratch.drop(*self.old)
+        self.schema, self.old = table.schema, []
+        self.tables.append((name, rows))
+        self.rows += rows
+        if len(self.tables) > self.MOST:
+            own = [self.tables.pop()]
+            while self.tables and self.tables[-1][1] <= 2 * sum(n for _, n in own):
+                own.append(self.tables.pop())
+            if len(own) > 1:
+                self.merges += 1
+                merged = self._read([n for n, _ in own])
+                self.scratch.table(kept(merged, self.a) if self.a.better else merged.coalesce(max(1, sum(n for _, n in own) // 1_000_000)), f"merged-{self.merges}")
+                self.tables.append((f"merged-{self.merges}", sum(n for _, n in own)))
+                self.old = [n for n, _ in own]
+            else:
+                self.tables.extend(own)
 
+    def _read(self, names: list[str]) -> DataFrame:
+        return self.scratch.spark.read.schema(self.schema).parquet(*(self.scratch.path(n) for n in names))
 
-def _join(left: DataFrame, right: DataFrame, rules: DataFrame, a: Annotation, new_is_left: bool) -> DataFrame:
-    value = [n for n, _ in a.columns if n in ("height", "length")]
-    l = left.select(F.col("sym").alias("r1"), F.col("src").alias("src"), F.col("dst").alias("mid"), *(F.col(n).alias(f"l_{n}") for n in value))
-    r = right.select(F.col("sym").alias("r2"), F.col("src").alias("mid"), F.col("dst").alias("dst"), *(F.col(n).alias(f"r_{n}") for n in value))
-    if new_is_left:
-        both = l.join(F.broadcast(rules), "r1").join(r, ["r2", "mid"])
-    else:
-        both = r.join(F.broadcast(rules), "r2").join(l, ["r1", "mid"])
-    return both.select(F.col("head").alias("sym"), "src", "dst", *joined_values(a))
+    def frame(self) -> DataFrame:
+        """The facts; those whose value was improved are there with older ones too."""
+        return self._read([n for n, _ in self.tables])
 
 
-def solve(edges: DataFrame, program: Program, a: Annotation = REACH, sources: DataFrame | None = None, strategy: Strategy = Strategy(), scratch: Scratch | None = None) -> DataFrame:
-    """(sym, src, dst and the annotation's columns): all facts of the program, by distributed rounds."""
-    spark = edges.sparkSession
+def _new(found: DataFrame, facts: DataFrame, a: Annotation) -> DataFrame:
+    """What of ``found`` isn't among the facts, or is better than there."""
+    if not a.better:
+        return found.join(facts, KEY, "left_anti")
+    (value,) = a.values
+    old = kept(facts, a).select(*KEY, F.col(value).alias("old"))
+    return found.join(old, KEY, "left").where(F.col("old").isNull() | a.better(F.col(value), F.col("old"))).drop("old")
+
+
+def solve(
+    edges: DataFrame, program: Program, a: Annotation = REACH, sources: DataFrame | None = None, strategy: Strategy = Strategy(), scratch: Scratch | None = None,
+    trace: Trace | None = None, known: DataFrame | None = None,
+) -> DataFrame:
+    """(sym, src, dst and the annotation's columns): all facts of the program, by distributed rounds.
+
+    With ``known``, facts of earlier edges under the same program, ``edges`` are new ones and only the facts that they add come back.
+    """
+    spark, vertex = edges.sparkSession, edges.schema["src"].dataType
     scratch = scratch or Scratch(spark, "facts")
-    derived = {r[0] for r in program.binary} | {r[0] for r in program.unary}
-    table = lambda rows: small_table(spark, rows, "head int, r1 int, r2 int") if rows else None
-    all_rules, first_new, second_new = (table([r for r in program.binary if k is None or r[k] in derived]) for k in (None, 1, 2))
-    copies, loops = ([(h, b) for h, b, loop in program.unary if loop == want] for want in (False, True))
-    columns = ["sym", "src", "dst", *(n for n, _ in a.columns)]
-    key = ["sym", "src", "dst"]
     if a == SINGLE and program.unary:
         raise ValueError("heights are defined for grammars only")
+    derived = {r[0] for r in program.binary} | {r[0] for r in program.unary}
+    columns = [*KEY, *(n for n, _ in a.columns)]
+    small = lambda size: F.broadcast if size <= strategy.broadcast_bytes else lambda df: df
     start = seeds(edges, program, a)
     if sources is not None and program.sources:
         start = start.unionByName(source_facts(sources, program, a))
-    delta = scratch.table(start, "round-0")
-    paths, facts = [scratch.path("round-0")], delta
+    if known is not None:
+        start = _new(start, known.select(*columns), a)
+    facts, delta = Known(scratch, a), scratch.table(start.select(*columns), "round-0")
+    rows, size = _measured(delta)
+    facts.add("round-0", delta, rows)
+    every = lambda: facts.frame() if known is None else facts.frame().unionByName(known.select(*columns))
+    # what is no rule's head has only the facts of edges
+    base = scratch.table(delta.where(~F.col("sym").isin(sorted(derived))), "base") if derived else delta
+    if known is not None:
+        base = base.unionByName(known.select(*columns).where(~F.col("sym").isin(sorted(derived))))
     for k in range(1, strategy.max_rounds + 1):
-        found = []
-        left, right = (all_rules, all_rules) if k == 1 else (first_new, second_new)
-        if left is not None:
-            found.append(_join(delta, facts, left, a, True))
-        # in the first round everything is new, so one side of the join sees all pairs
-        if right is not None and k > 1:
-            found.append(_join(facts, delta, right, a, False))
-        value = [n for n, _ in a.columns]
-        for rules, loop in ((copies, False), (loops, True)):
-            if rules:
-                one = small_table(spark, rules, "head int, sym int")
-                found.append(delta.join(F.broadcast(one), "sym").select(F.col("head").alias("sym"), F.col("dst" if loop else "src").alias("src"), "dst", *((F.lit(0).cast("long").alias(n) if loop else F.col(n)) for n in value)))
+        if trace is not None and k == 1:
+            trace.counts.append(lambda: rounds)
+        rounds, found = k, _unary(delta, program, a, vertex) if rows else []
+        for one, new_is_left in ((1, True), (2, False)):
+            if known is None and k == 1 and not new_is_left:
+                continue  # in the first round everything is new, so one side of the join sees all pairs
+            own = [r for r in program.binary if k == 1 or r[one] in derived]
+            for growing in (True, False):
+                rules = [r for r in own if (r[3 - one] in derived) == growing]
+                if rules and rows:
+                    other = every() if growing else base
+                    found.append(_join(delta, other, rules, a, True, small(size)) if new_is_left else _join(other, delta, rules, a, False, small(size)))
         if not found:
-            return facts
-        new = found[0]
-        for x in found[1:]:
-            new = new.unionByName(x)
-        if a == REACH:
-            new = new.distinct().join(facts, key, "left_anti")
-        else:
-            new = new.groupBy(*key).agg(*best(a))
-            if a == SINGLE:
-                new = new.select(*key, "value.*").join(facts, key, "left_anti")
-            else:
-                old = facts.select(*key, F.col("length").alias("old"))
-                new = new.join(old, key, "left").where(F.col("old").isNull() | (F.col("length") < F.col("old"))).drop("old")
-        delta = scratch.table(new.select(*columns), f"round-{k}")
-        if delta.isEmpty():
-            return facts
-        if a.improves:
-            kept = facts.join(delta, key, "left_anti").unionByName(delta)
-            facts = scratch.table(kept, f"facts-{k}")
-            scratch.drop(f"facts-{k - 1}")
-        else:
-            paths.append(scratch.path(f"round-{k}"))
-            facts = spark.read.schema(delta.schema).parquet(*paths)
+            return facts.frame()
+        new = kept(_union(found), a)
+        seen = every()
+        if facts.rows > strategy.direct_facts or known is not None:
+            # what was found is measured; if it is small the facts are scanned for it where they lie
+            new = scratch.table(new, f"found-{k}")
+            count, found_size = _measured(new)
+            if not count:
+                return kept(facts.frame(), a) if a.better else facts.frame()
+            seen = seen.join(small(found_size)(new.select(*KEY)), KEY, "left_semi")
+        delta = scratch.table(_new(new, seen, a).select(*columns), f"round-{k}")
+        scratch.drop(f"found-{k}")
+        rows, size = _measured(delta)
+        if not rows:
+            return kept(facts.frame(), a) if a.better else facts.frame()
+        facts.add(f"round-{k}", delta, rows)
     raise RuntimeError(f"no fixpoint after {strategy.max_rounds} rounds")
 
 
+def solve_straight(edges: DataFrame, program: Program, a: Annotation, scratch: Scratch) -> DataFrame:
+    """All facts of a program without recursion: every symbol once, after those it is made of.  Symbols that several rules use are written."""
+    order, vertex = program.order(), edges.schema["src"].dataType
+    columns = [*KEY, *(n for n, _ in a.columns)]
+    uses: dict[int, int] = {}
+    for r in program.binary:
+        for s in r[1:]:
+            uses[s] = uses.get(s, 0) + 1
+    start, facts = seeds(edges, program, a), {}
+    seeded = {s for s, _ in program.seeds}
+    for s in order:
+        own = [start.where(F.col("sym") == s).select(*columns)] if s in seeded else []
+        for r in program.binary:
+            if r[0] == s and r[1] in facts and r[2] in facts:
+                own.append(_join(facts[r[1]], facts[r[2]], [r], a, True, lambda df: df).select(*columns))
+        for h, b, loop in program.unary:
+            if h == s and b in facts:
+                own += [x.select(*columns) for x in _unary(facts[b], program.only_unary((h, b, loop)), a, vertex)]
+        if own:
+            made = kept(_union(own), a).select(*columns) if len(own) > 1 or s not in seeded else own[0]
+            facts[s] = scratch.table(made, f"symbol-{s}") if uses.get(s, 0) > 1 and s not in seeded else made
+    return scratch.table(_union(list(facts.values())), "facts") if facts else start.where(F.lit(False))
+
+
 # ---- one task ------------------------------------------------------------------------------------------------------------
 
 
@@ -128,8 +260,8 @@ class TooLarge(Exception):
     """The facts of a part outgrow one task."""
 
 
-def solve_local(edges: list[tuple], program: Program, a: Annotation, sources: list | None, most: int) -> dict[tuple, tuple]:
-    """The same rounds over (src, label, dst) tuples: facts (sym, src, dst) with their values."""
+def solve_local(edges: list[tuple], program: Program, a: Annotation, sources: list | None, most: int, rounds: list[int] | None = None) -> dict[tuple, tuple]:
+    """The same rounds over (src, label, dst) tuples: facts (sym, src, dst) with their values; ``rounds`` gets their number."""
     by_label: dict[str, list[int]] = {}
     for s, t in program.seeds:
         by_label.setdefault(t, []).append(s)
@@ -141,7 +273,7 @@ def solve_local(edges: list[tuple], program: Program, a: Annotation, sources: li
         second.setdefault(y, []).append((h, x))
     for h, b, loop in program.unary:
         unary.setdefault(b, []).append((h, loop))
-    single, shortest = a == SINGLE, a == SHORTEST
+    single, shortest = a.name == "single", a.name == "shortest"
     edge_value = (1, 1, None, None, None) if single else (1,) if shortest else ()
     delta = {(s, u, v): edge_value for u, t, v in edges for s in by_label.get(t, ())}
     if sources is not None:
@@ -151,7 +283,9 @@ def solve_local(edges: list[tuple], program: Program, a: Annotation, sources: li
     out: dict[tuple, set] = {}
     into: dict[tuple, set] = {}
     empty: set = set()
+    count = 0
     while delta:
+        count += 1
         for (s, u, v), value in delta.items():
             facts[s, u, v] = value
             out.setdefault((s, u), set()).add(v)
@@ -187,6 +321,8 @@ def solve_local(edges: list[tuple], program: Program, a: Annotation, sources: li
         delta = new
         if len(facts) + len(new) > most:
             raise TooLarge
+    if rounds is not None:
+        rounds.append(max(count, 1))
     return facts
 
 
@@ -195,17 +331,16 @@ def fact_schema(vertex: T.DataType, a: Annotation) -> T.StructType:
     return T.StructType([T.StructField("sym", T.IntegerType()), T.StructField("src", vertex), T.StructField("dst", vertex), *(T.StructField(n, kinds[k]) for n, k in a.columns)])
 
 
-def solve_parts(edges: DataFrame, program: Program, a: Annotation, sources: DataFrame | None, part: str | None, strategy: Strategy, scratch: Scratch) -> DataFrame:
-    """All facts: parts that are small are solved in one task each, the others by distributed rounds.  Sources belong to every part that has them."""
-    spark = edges.sparkSession
+#: rows of a task's output that are no facts: a part that outgrew the task, and, that much lower, the number of rounds
+OUTGROWN, ROUNDS = -1, -2
+
+
+def solve_parts(edges: DataFrame, program: Program, a: Annotation, sources: DataFrame | None, part: str | None, strategy: Strategy, scratch: Scratch, trace: Trace | None = None) -> DataFrame:
+    """All facts: parts that are small are solved in one task each, the others by distributed rounds.  Edges of a null part are a part.  Sources belong to every part that has them."""
     used = edges.where(F.col("label").isin(program.labels))
     vertex = edges.schema["src"].dataType
-    schema = fact_schema(vertex, a)
     keyed = used.withColumn("__part", F.col(part) if part else F.lit(0))
     columns = ["__part", "src", "label", "dst"]
-    # one row more than allowed is enough to know that a whole graph is large; it is then not copied
-    if part is None and used.limit(strategy.local_edges + 1).count() > strategy.local_edges:
-        return solve(used.select("src", "label", "dst"), program, a, sources, strategy, scratch)
     rows = keyed.select(*columns)
     if sources is not None:
         v = sources.columns[0]
@@ -215,25 +350,29 @@ def solve_parts(edges: DataFrame, program: Program, a: Annotation, sources: Data
         rows = rows.unionByName(own.select("__part", "src", F.lit(None).cast("string").alias("label"), F.col("src").alias("dst")))
     rows = scratch.table(rows, "parts")
     # parts are counted without being gathered
-    sizes = rows.groupBy("__part").count()
-    large = sizes.where(F.col("count") > strategy.local_edges).select("__part")
-    small = rows.join(large, rows["__part"].eqNullSafe(large["__part"]), "left_anti")
-    arrow = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string()}
-    kinds = pa.schema([(f.name, arrow[type(f.dataType)]) for f in schema])
-    most, with_sources = strategy.local_facts, sources is not None
+    large = scratch.table(rows.groupBy("__part").count().where(F.col("count") > strategy.local_edges).select(F.col("__part").alias("large")), "large")
+    small = rows.join(large, rows["__part"].eqNullSafe(large["large"]), "left_anti")
+    schema = T.StructType([*fact_schema(vertex, a).fields, T.StructField("__part", rows.schema["__part"].dataType)])
+    kinds = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
+    most, with_sources, width = strategy.local_facts, sources is not None, len(schema) - 1
 
     def own_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: list[int] = []
+
+        def remark(sym: int, key: object = None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([sym], pa.int32()), *(pa.nulls(1, f.type) for f in list(kinds)[1:width]), pa.array([key], kinds.field(width).type)], schema=kinds)
+
         def finish(key: object, own: list[tuple]) -> Iterator[pa.RecordBatch]:
             origin = [u for u, t, _ in own if t is None] if with_sources else None
             try:
-                facts = solve_local([x for x in own if x[1] is not None], program, a, origin, most)
+                facts = solve_local([x for x in own if x[1] is not None], program, a, origin, most, counts)
             except TooLarge:
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([own[0][0]], kinds.field(1).type), *(pa.nulls(1, f.type) for f in list(kinds)[2:])], schema=kinds)
+                yield remark(OUTGROWN, key)
                 return
             found = list(facts.items())
             for k in range(0, len(found), 100_000):
                 step = found[k : k + 100_000]
-                columns = [*zip(*(key for key, _ in step)), *zip(*(value for _, value in step))]
+                columns = [*zip(*(key for key, _ in step)), *zip(*(value for _, value in step)), [None] * len(step)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
 
         now, own = None, []
@@ -246,17 +385,17 @@ def solve_parts(edges: DataFrame, program: Program, a: Annotation, sources: Data
                 own.append((u, t, v))
         if own:
             yield from finish(now, own)
+        if counts:
+            yield remark(ROUNDS - max(counts))
 
     dealt = small.select(*columns).repartition("__part").sortWithinPartitions("__part") if part else small.select(*columns).repartition(1)
-    facts = scratch.table(dealt.mapInArrow(own_part, schema), "local")
-    outgrown = facts.where(F.col("sym") == -1).select("src")
-    facts = facts.where(F.col("sym") != -1)
-    if part:
-        over = rows.join(outgrown, "src", "left_semi").select("__part")
-        rest = rows.join(large.unionByName(over).distinct(), "__part", "left_semi")
-    else:
-        rest = rows if not outgrown.isEmpty() or not large.isEmpty() else None
-    if rest is None or rest.isEmpty():
+    made = scratch.table(dealt.mapInArrow(own_part, schema), "local")
+    facts = made.where(F.col("sym") >= 0).drop("__part")
+    if trace is not None:
+        trace.counts.append(lambda: ROUNDS - (made.where(F.col("sym") < ROUNDS).agg(F.min("sym")).first()[0] or ROUNDS))
+    over = large.select("large").unionByName(made.where(F.col("sym") == OUTGROWN).select(F.col("__part").alias("large")))
+    if over.isEmpty():
         return facts
-    again = solve(rest.where(F.col("label").isNotNull()).select("src", "label", "dst"), program, a, rest.where(F.col("label").isNull()).select("src") if with_sources else None, strategy, scratch)
+    rest = rows.join(over, rows["__part"].eqNullSafe(over["large"]), "left_semi")
+    again = solve(rest.where(F.col("label").isNotNull()).select("src", "label", "dst"), program, a, rest.where(F.col("label").isNull()).select("src") if with_sources else None, strategy, scratch, trace)
     return facts.unionByName(again)

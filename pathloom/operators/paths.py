@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.automaton import RecursiveAutomaton
 from ..plans.program import Program
 from .fixpoint import small_table
 from .rounds import Scratch
@@ -27,15 +28,13 @@ def needed(facts: DataFrame, program: Program, roots: DataFrame, scratch: Scratc
     spark = facts.sparkSession
     key = ["sym", "src", "dst"]
     front = scratch.table(facts.select(*key).join(roots.select(*key).distinct(), key, "left_semi"), "need-0")
-    paths, ways = [scratch.path("need-0")], []
-    seen = front
+    paths, seen = [scratch.path("need-0")], front
     for k in range(1, max_rounds + 1):
-        way = scratch.table(derivations(facts, program, front), f"ways-{k}")
-        ways.append(scratch.path(f"ways-{k}"))
-        below = way.select(F.col("r1").alias("sym"), "src", F.col("mid").alias("dst")).unionByName(way.select(F.col("r2").alias("sym"), F.col("mid").alias("src"), "dst")).distinct()
-        front = scratch.table(below.join(seen, key, "left_anti"), f"need-{k}")
+        way = derivations(facts, program, front)
+        ends = F.explode(F.array(F.struct(F.col("r1").alias("sym"), "src", F.col("mid").alias("dst")), F.struct(F.col("r2").alias("sym"), F.col("mid").alias("src"), "dst"))).alias("e")
+        front = scratch.table(way.select(ends).select("e.*").distinct().join(seen, key, "left_anti"), f"need-{k}")
         if front.isEmpty():
-            return seen, spark.read.schema(way.schema).parquet(*ways)
+            return seen, derivations(facts, program, seen)
         paths.append(scratch.path(f"need-{k}"))
         seen = spark.read.schema(front.schema).parquet(*paths)
     raise RuntimeError(f"no closure after {max_rounds} rounds")
@@ -85,29 +84,55 @@ def derivation_counts(edges: DataFrame, need: DataFrame, ways: DataFrame, progra
     return found
 
 
-def witnesses(edges: DataFrame, facts: DataFrame, roots: DataFrame, program: Program, scratch: Scratch, max_rounds: int = 10_000) -> DataFrame:
-    """(root_src, root_dst, pos, src, label, dst): the edges of the witness kept for each root pair, unfolded level by level.
+def count_walks(edges: DataFrame, automaton: RecursiveAutomaton, pairs: DataFrame, max_len: int, scratch: Scratch) -> DataFrame:
+    """(src, dst, n_paths) of the pairs with an accepted walk of 1 to ``max_len`` - 1 edges, for a deterministic regular automaton.
+
+    A word has one run there, so walks are counted without being listed: how many lead from each source to each (state, vertex), length by length.
+    """
+    spark, box = edges.sparkSession, automaton.boxes[automaton.start]
+    to_go = automaton.distances(box.finals)
+    wanted = pairs.select("src", "dst").distinct()
+    step = edges.select("src", "label", "dst").distinct()
+    (start,) = box.starts
+    front = wanted.select("src").distinct().select("src", F.lit(start).alias("q"), F.col("src").alias("v"), F.lit(1).cast("long").alias("n"))
+    paths = []
+    for k in range(1, max_len):
+        # moves into states from which no final one can be reached within the bound are left out
+        moves = [m for m in automaton.moves if to_go.get(m[2], max_len) + k < max_len]
+        if not moves:
+            break
+        table = F.broadcast(small_table(spark, moves, "q int, label string, q2 int"))
+        ahead = front.join(table, "q").join(step.select(F.col("src").alias("v"), "label", "dst"), ["v", "label"])
+        front = scratch.table(ahead.groupBy("src", F.col("q2").alias("q"), F.col("dst").alias("v")).agg(F.sum("n").alias("n")), f"ahead-{k}")
+        paths.append(scratch.path(f"ahead-{k}"))
+    if not paths:
+        return wanted.where(F.lit(False)).withColumn("n_paths", F.lit(0).cast("long"))
+    every = spark.read.schema(front.schema).parquet(*paths).where(F.col("q").isin(sorted(box.finals)))
+    return every.groupBy("src", F.col("v").alias("dst")).agg(F.sum("n").alias("n_paths")).join(wanted, ["src", "dst"], "left_semi")
+
+
+def witnesses(edges: DataFrame, facts: DataFrame, roots: DataFrame, program: Program, scratch: Scratch, max_rounds: int = 10_000, levels: int = 4) -> DataFrame:
+    """(root_src, root_dst, pos, src, label, dst): the edges of the witness kept for each root pair, unfolded by ``levels`` levels a round.
 
     ``facts`` carry (mid, r1, r2); a fact without midpoint is an edge.  Positions come from the lengths of left parts.
     """
     key = ["sym", "src", "dst"]
-    value = facts.select(*key, "length", "mid", "r1", "r2")
-    left_length = facts.select(F.col("sym").alias("r1"), F.col("src"), F.col("dst").alias("mid"), F.col("length").alias("left"))
-    front = scratch.table(roots.select("sym", "src", "dst", F.col("src").alias("root_src"), F.col("dst").alias("root_dst"), F.lit(0).cast("long").alias("pos")), "unfold-0")
+    left = facts.select(F.col("sym").alias("r1"), "src", F.col("dst").alias("mid"), F.col("length").alias("left"))
+    split = scratch.table(facts.select(*key, "mid", "r1", "r2").join(left, ["r1", "src", "mid"], "left"), "splits")
+    front = roots.select(*key, F.col("src").alias("root_src"), F.col("dst").alias("root_dst"), F.lit(0).cast("long").alias("pos"))
+    piece = lambda sym, src, dst, pos, leaf: F.struct(F.col(sym).alias("sym"), F.col(src).alias("src"), F.col(dst).alias("dst"), pos.alias("pos"), F.lit(leaf).alias("leaf"))
+    whole = F.array(piece("sym", "src", "dst", F.col("pos"), True))
+    halves = F.array(piece("r1", "src", "mid", F.col("pos"), False), piece("r2", "mid", "dst", F.col("pos") + F.col("left"), False))
     done = []
     for k in range(1, max_rounds + 1):
-        own = scratch.table(front.join(value, key), f"own-{k}")
-        leaf = own.where(F.col("mid").isNull())
-        done.append(leaf.select("root_src", "root_dst", "pos", "sym", "src", "dst"))
-        inner = own.where(F.col("mid").isNotNull()).join(left_length, ["r1", "src", "mid"])
-        left = inner.select(F.col("r1").alias("sym"), "src", F.col("mid").alias("dst"), "root_src", "root_dst", "pos")
-        right = inner.select(F.col("r2").alias("sym"), F.col("mid").alias("src"), "dst", "root_src", "root_dst", (F.col("pos") + F.col("left")).alias("pos"))
-        front = scratch.table(left.unionByName(right), f"unfold-{k}")
+        for _ in range(levels):
+            front = front.join(split, key).select("root_src", "root_dst", F.explode(F.when(F.col("mid").isNull(), whole).otherwise(halves)).alias("e")).select("root_src", "root_dst", "e.*")
+        own = scratch.table(front, f"unfold-{k}")
+        done.append(scratch.path(f"unfold-{k}"))
+        front = own.where(~F.col("leaf")).drop("leaf")
         if front.isEmpty():
-            leaves = done[0]
-            for x in done[1:]:
-                leaves = leaves.unionByName(x)
+            leaves = edges.sparkSession.read.schema(own.schema).parquet(*done).where("leaf")
             rules = small_table(edges.sparkSession, list(program.seeds), "sym int, label string")
             labelled = leaves.join(F.broadcast(rules), "sym").join(edges.select("src", "label", "dst").distinct(), ["src", "label", "dst"])
             return labelled.groupBy("root_src", "root_dst", "pos", "src", "dst").agg(F.min("label").alias("label"))
-    raise RuntimeError(f"witnesses are deeper than {max_rounds} levels")
+    raise RuntimeError(f"witnesses are deeper than {levels * max_rounds} levels")

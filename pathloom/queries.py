@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.annotations import semiring
 from .functions.stats import summarise
 from .operators import product
+from .operators.fixpoint import Strategy
+from .operators.registry import ALGORITHMS
+from .operators.rounds import Scratch
+from .plans import catalog
 from .plans.automaton import RecursiveAutomaton
 from .plans.grammar import Grammar
 from .query import PathQuery, SourceSession
-from .sources import etl, graphs
+from .sources import etl, graphs, sinks
 from .sources.graphs import Graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +27,8 @@ ANBN = "S -> view S click | view click"
 DYCK = "S -> S S | view S click | view click"
 SAME = "S -> in S in_r | in in_r"
 HOPS = "in in_r in in_r"
+#: everything by distributed rounds, as on graphs and parts that no task can hold
+ROUNDS = Strategy(local_edges=0)
 
 
 def query(sql: str | None = None):
@@ -312,3 +319,194 @@ def witness_edges_events(spark, sf_dir):
 def measurement_stats(spark, sf_dir):
     found = summarise(read(spark, sf_dir, "events"), ["event_type"], "value")
     return found.select("event_type", F.round("time", 4).alias("time"), F.round("variance", 4).alias("variance"))
+
+
+# ---- distributed rounds --------------------------------------------------------------------------------------------------
+
+
+def whole(spark: SparkSession, sf_dir: str) -> Graph:
+    """The events' graph without its parts: nothing says that it falls apart."""
+    return Graph.from_frame(events_graph(spark, sf_dir).edges.select("src", "label", "dst"))
+
+
+@query(ORACLES["cfpq_events_anbn"])
+def rounds_cfpq_events_anbn(spark, sf_dir):
+    return PathQuery(whole(spark, sf_dir), ANBN, strategy=ROUNDS).reach()
+
+
+@query(ORACLES["cfpq_events_dyck"])
+def rounds_cfpq_events_dyck(spark, sf_dir):
+    """Every join broadcast-free and every find measured: the plan of rounds that bring more than may be broadcast."""
+    return PathQuery(whole(spark, sf_dir), DYCK, strategy=Strategy(local_edges=0, broadcast_bytes=0, direct_facts=0)).reach()
+
+
+@query(ORACLES["cfpq_same_generation"])
+def rounds_same_generation(spark, sf_dir):
+    return PathQuery(places_graph(spark, sf_dir), SAME, strategy=ROUNDS).reach()
+
+
+@query(ORACLES["rpq_events_view_plus"])
+def rounds_rpq_events_view_plus(spark, sf_dir):
+    return PathQuery(whole(spark, sf_dir), "view +", strategy=ROUNDS).reach()
+
+
+@query(ORACLES["shortest_events_anbn"])
+def rounds_shortest_events_anbn(spark, sf_dir):
+    return PathQuery(whole(spark, sf_dir), ANBN, strategy=ROUNDS).shortest()
+
+
+@query(ORACLES["single_events_anbn"])
+def rounds_single_events_anbn(spark, sf_dir):
+    return PathQuery(whole(spark, sf_dir), ANBN, strategy=ROUNDS).single_path()
+
+
+@query(ORACLES["multi_source_events_anbn"])
+def rounds_multi_source_events_anbn(spark, sf_dir):
+    sources = read(spark, sf_dir, "events").where("value > 50").select("event_id")
+    return PathQuery(whole(spark, sf_dir), ANBN, strategy=ROUNDS).from_sources(sources)
+
+
+@query(ORACLES["rpq_conversation"])
+def straight_rpq_conversation(spark, sf_dir):
+    """No recursion: one plan of joins."""
+    g = Graph.from_frame(talk_graph(spark, sf_dir).edges.select("src", "label", "dst"))
+    return PathQuery(g, "user assistant user", strategy=ROUNDS).reach()
+
+
+@query(f"WITH RECURSIVE {_E}, {_S} SELECT src, dst, CAST(4 * min(n) AS BIGINT) AS value FROM s GROUP BY src, dst")
+def cheapest_events_anbn(spark, sf_dir):
+    """A semiring of one's own: a view costs 1, anything else 3."""
+    cost = semiring("cost", "long", F.when(F.col("label") == "view", 1).otherwise(3), F.lit(0), lambda l, r: l + r)
+    return PathQuery(events_graph(spark, sf_dir), ANBN).annotated(cost)
+
+
+# ---- files in and out ----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_E} SELECT src, label, dst FROM e")
+def text_triples_events(spark, sf_dir):
+    path = Scratch(spark, "triples").path("edges.txt")
+    events_graph(spark, sf_dir).write_text(path)
+    return Graph.from_text(spark, path).edges
+
+
+@query(f"WITH {_E} SELECT (SELECT max(greatest(src, dst)) + 1 FROM e) AS n_vertices, (SELECT count(*) FROM e) AS n_lines")
+def text_domain_events(spark, sf_dir):
+    path = Scratch(spark, "triples").path("edges.txt")
+    events_graph(spark, sf_dir).write_text(path)
+    return spark.createDataFrame([(Graph.from_text(spark, path).vertex_count(), graphs.line_count(spark, path))], "n_vertices long, n_lines long")
+
+
+@query(f"WITH {_E} SELECT src, label, dst FROM e WHERE label = 'view'")
+def label_graph_events(spark, sf_dir):
+    """Edges stored by label: a query of one label reads its files alone."""
+    path = Scratch(spark, "labels").path("edges")
+    Graph.from_frame(events_graph(spark, sf_dir).edges).write(path)
+    return Graph.from_parquet(spark, path).edges.where("label = 'view'").select("src", "label", "dst")
+
+
+@query(f"WITH {_E} SELECT src, label, dst, src AS mid, CAST(1 AS BIGINT) AS length FROM e")
+def length_edges_events(spark, sf_dir):
+    return events_graph(spark, sf_dir).with_length_columns()
+
+
+@query(ORACLES["cfpq_events_anbn"])
+def normal_form_events_anbn(spark, sf_dir):
+    return PathQuery(events_graph(spark, sf_dir), Grammar.from_cnf_text("S\n\nS -> A T\nS -> A B\nT -> S B\nA -> view\nB -> click\n")).reach()
+
+
+@query(ORACLES["cfpq_events_anbn"])
+def automaton_file_events_anbn(spark, sf_dir):
+    a = RecursiveAutomaton.from_counted_text("3\n1\n4\nview\n1\n0 1\nS\n1\n1 2\nclick\n2\n1 3\n2 3\nS\n1\n0 3\n", "S")
+    return PathQuery(events_graph(spark, sf_dir), a).reach()
+
+
+@query(ORACLES["cfpq_same_generation"])
+def catalogue_same_generation(spark, sf_dir):
+    return PathQuery(places_graph(spark, sf_dir), catalog.grammar("binomial", "sg")).reach()
+
+
+@query("SELECT event_type AS graph, 'g' AS grammar, CAST(round(avg(value), 4) AS VARCHAR) AS time, CAST(count(*) AS VARCHAR) AS \"count_S\", CAST(round(var_samp(value), 4) AS VARCHAR) AS variance FROM events GROUP BY event_type")
+def csv_results_events(spark, sf_dir):
+    found = summarise(read(spark, sf_dir, "events").withColumns({"graph": F.col("event_type"), "grammar": F.lit("g")}), ["graph", "grammar"], "value")
+    counts = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("graph")).agg(F.count("*").alias("count_S"))
+    path = Scratch(spark, "results").path("index")
+    rounded = found.join(counts, "graph").withColumns({"time": F.round("time", 4), "variance": F.round("variance", 4)})
+    sinks.append_csv(rounded, path, "index")
+    return spark.read.csv(path, header=True)
+
+
+@query("SELECT event_type AS graph, array_to_string(list_sort(list(DISTINCT strftime(ts, '%Y'))), ' ') AS grammars FROM events GROUP BY event_type")
+def configuration_events(spark, sf_dir):
+    path = Scratch(spark, "configuration").path("pairs")
+    rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("Graph"), F.date_format("ts", "yyyy").alias("Grammar")).distinct()
+    rows.write.option("header", True).csv(path)
+    return sinks.read_config(spark, path).select("graph", F.array_join("grammars", " ").alias("grammars"))
+
+
+@query(ORACLES["cfpq_events_anbn"])
+def pair_dump_events_anbn(spark, sf_dir):
+    path = Scratch(spark, "pairs").path("pairs.txt")
+    sinks.write_pairs(PathQuery(events_graph(spark, sf_dir), ANBN).reach(), path)
+    ends = F.split("value", " ")
+    return spark.read.text(path).select(ends[0].cast("long").alias("src"), ends[1].cast("long").alias("dst"))
+
+
+# ---- sources and sessions of automata ------------------------------------------------------------------------------------
+
+
+@query(ORACLES["multi_source_events_anbn"])
+def automaton_multi_source_events_anbn(spark, sf_dir):
+    sources = read(spark, sf_dir, "events").where("value > 50").select("event_id")
+    return PathQuery(events_graph(spark, sf_dir), RecursiveAutomaton.from_grammar(Grammar.from_text(ANBN))).from_sources(sources)
+
+
+@query(f"""WITH RECURSIVE {_E}, {_S}, n AS (SELECT event_id AS v FROM events WHERE value > 50 UNION SELECT e.dst FROM n JOIN e ON e.src = n.v AND e.label = 'view')
+SELECT DISTINCT src, dst FROM s WHERE src IN (SELECT v FROM n)""")
+def needed_facts_events_anbn(spark, sf_dir):
+    """Unmasked: also the pairs from vertices that the sources' walks need."""
+    sources = read(spark, sf_dir, "events").where("value > 50").select("event_id")
+    return PathQuery(events_graph(spark, sf_dir), RecursiveAutomaton.from_grammar(Grammar.from_text(ANBN))).needed_facts(sources)
+
+
+@query(f"WITH RECURSIVE {_E}, {_S} SELECT DISTINCT src, dst FROM s WHERE src IN (SELECT event_id FROM events WHERE value > 80)")
+def session_reset_events_anbn(spark, sf_dir):
+    events = read(spark, sf_dir, "events")
+    session = SourceSession(PathQuery(events_graph(spark, sf_dir), ANBN))
+    session.solve(events.where("value > 50").select("event_id"))
+    session.reset()
+    session.solve(events.where("value > 80").select("event_id"))
+    return session.cached()
+
+
+# ---- algebra -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_E} SELECT CAST(src AS VARCHAR) AS src, label, CAST(dst AS VARCHAR) AS dst FROM e WHERE label IN ('view', 'click')")
+def union_graphs_events(spark, sf_dir):
+    edges = events_graph(spark, sf_dir).edges.select(F.col("src").cast("string"), "label", F.col("dst").cast("string"))
+    views = Graph.from_frame(edges.where("label = 'view'"))
+    views += Graph.from_frame(edges.where("label in ('view', 'click')"))
+    return views.edges
+
+
+@query(f"WITH RECURSIVE {_E}, s AS (SELECT src, dst FROM e WHERE label = 'view' UNION SELECT s.src, e.dst FROM s JOIN e ON e.src = s.dst AND e.label = 'view') SELECT 'S' AS nt, src, dst FROM s")
+def closure_block_events(spark, sf_dir):
+    """The block of a closed product graph from a box's start to its final states: vertices of that graph are (state, vertex)."""
+    a = RecursiveAutomaton.from_regexes({"S": "view +"})
+    steps = product.product_edges(events_graph(spark, sf_dir).edges, a)
+    g = Graph.from_frame(steps.select(F.concat_ws(":", "q", "src").alias("src"), F.lit("x").alias("label"), F.concat_ws(":", "q2", "dst").alias("dst")))
+    end = lambda c, k, kind: F.split(c, ":")[k].cast(kind)
+    closed = PathQuery(g, "x +", strategy=ROUNDS).reach().select(end("src", 0, "int").alias("q"), end("src", 1, "long").alias("src"), end("dst", 0, "int").alias("q2"), end("dst", 1, "long").alias("dst"))
+    return product.block(closed, a)
+
+
+@query(ORACLES["cfpq_events_anbn"])
+def registry_automaton_events_anbn(spark, sf_dir):
+    return ALGORITHMS["automaton"][1](PathQuery(events_graph(spark, sf_dir), ANBN))
+
+
+@query(f"WITH {_E} SELECT src, label, dst FROM e")
+def split_chain_events(spark, sf_dir):
+    """Users of over 20 events count as hot: their events are sorted in several tasks."""
+    return etl.chain(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_id", "event_type", part=False, hot_rows=20)

@@ -8,24 +8,30 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import cached_property
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.annotations import REACH, SHORTEST, SINGLE, Annotation
 from .operators import paths
-from .operators.fixpoint import Strategy, small_table, solve, solve_parts
+from .operators.fixpoint import Strategy, Trace, small_table, solve, solve_parts, solve_straight
 from .operators.rounds import Scratch
 from .plans.automaton import RecursiveAutomaton
 from .plans.grammar import Grammar
 from .plans.program import Program
 from .sources.graphs import Graph
 
-Language = Grammar | RecursiveAutomaton | str
+Language = Grammar | RecursiveAutomaton | str | Path
 
 
 def parse(language: Language, start: str | None = None) -> Grammar | RecursiveAutomaton:
-    """Text with an arrow is a grammar; without, a regular expression."""
+    """Text with an arrow is a grammar; without, a regular expression.  A path is a file: ``.cnf`` in normal form, with arrows a grammar, else an automaton."""
+    if isinstance(language, Path):
+        text = language.read_text(encoding="utf-8")
+        if language.suffix == ".cnf":
+            return Grammar.from_cnf_text(text)
+        return Grammar.from_text(text, start) if "->" in text else RecursiveAutomaton.from_counted_text(text, start or "S")
     if not isinstance(language, str):
         return language
     return Grammar.from_text(language, start) if "->" in language else RecursiveAutomaton.from_regexes({start or "S": language})
@@ -39,6 +45,9 @@ class PathQuery:
     language: Language
     start: str | None = None
     strategy: Strategy = field(default_factory=Strategy)
+    #: how the last evaluation went
+    trace: Trace = field(default_factory=Trace, repr=False)
+    _held: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
         self.language = parse(self.language, self.start)
@@ -51,28 +60,54 @@ class PathQuery:
     def program(self, keep: set[str] = frozenset()) -> Program:
         return self.language.compile(self.start, keep)
 
-    def _facts(self, program: Program, a: Annotation, sources: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
-        scratch = scratch or Scratch(self.graph.edges.sparkSession, "query")
+    def _facts(self, program: Program, a: Annotation, sources: DataFrame | None = None) -> DataFrame:
+        """All facts of the program, as tables of the shared folder; those that need no sources are kept for this query's other results."""
+        key = (a, program.symbols, program.seeds, program.binary, program.unary)
+        if sources is None and key in self._held:
+            return self._held[key]
+        spark, edges = self.graph.edges.sparkSession, self.graph.edges.select("src", "label", "dst")
+        scratch, self.trace = Scratch(spark, "query"), Trace()
         if not program.labels:
-            edges = self.graph.edges.where(F.lit(False))
-            return solve(edges, program, a, sources, self.strategy, scratch)
-        if self.strategy.local_edges <= 0:
-            return solve(self.graph.edges.select("src", "label", "dst"), program, a, sources, self.strategy, scratch)
-        return solve_parts(self.graph.edges, program, a, sources, self.graph.part, self.strategy, scratch)
+            facts = solve(edges.where(F.lit(False)), program, a, sources, self.strategy, scratch, self.trace)
+        elif a.local and self._in_tasks(program):
+            facts = solve_parts(self.graph.edges, program, a, sources, self.graph.part, self.strategy, scratch, self.trace)
+        elif sources is None and not program.recursive:
+            facts = solve_straight(edges, program, a, scratch)
+        else:
+            facts = solve(edges, program, a, sources, self.strategy, scratch, self.trace)
+            facts = scratch.table(facts, "best") if a.better else facts
+        if sources is None:
+            self._held[key] = facts
+        return facts
+
+    def _in_tasks(self, program: Program) -> bool:
+        """Whether the graph comes in parts, or is found small itself: one row more than allowed is enough to know that it isn't."""
+        most = self.strategy.local_edges
+        if most <= 0 or self.graph.part is not None:
+            return most > 0
+        return self.graph.edges.where(F.col("label").isin(program.labels)).limit(most + 1).count() <= most
+
+    @property
+    def rounds(self) -> int:
+        """Rounds of the last evaluation: of its longest part, the last one, which found nothing, included; 0 for a plan without rounds."""
+        return self.trace.rounds
 
     def _result(self, facts: DataFrame, program: Program, name: str, a: Annotation, sources: DataFrame | None = None) -> DataFrame:
         """Facts of one nonterminal with its empty walks."""
         sym = program.names[name]
-        columns = [n for n, _ in a.columns if n in ("height", "length")]
-        found = facts.where(F.col("sym") == sym).select("src", "dst", *columns)
+        found = facts.where(F.col("sym") == sym).select("src", "dst", *a.values)
         if sym not in program.nullable:
             return found
         domain = self.graph.domain()
         if sources is not None:
             domain = domain.join(sources.select(F.col(sources.columns[0]).alias("v")).distinct(), "v", "left_semi")
-        empty = domain.select(F.col("v").alias("src"), F.col("v").alias("dst"), *(F.lit(0).cast("long").alias(c) for c in columns))
-        if not columns:
+        nothing = [c for c, (n, _) in zip(a.empty(), a.columns) if n in a.values]
+        empty = domain.select(F.col("v").alias("src"), F.col("v").alias("dst"), *nothing)
+        if not nothing:
             return found.unionByName(empty).distinct()
+        if a.better and a.name != "shortest":  # a walk may be better than the empty one
+            (value,) = a.values
+            return found.unionByName(empty).groupBy("src", "dst").agg(*a.plus()).select("src", "dst", value)
         return found.join(empty, ["src", "dst"], "left_anti").unionByName(empty)
 
     def reach(self) -> DataFrame:
@@ -99,6 +134,11 @@ class PathQuery:
         p = self.grammar.compile(self.start)
         return self._result(self._facts(p, SHORTEST), p, self.start, SHORTEST)
 
+    def annotated(self, a: Annotation) -> DataFrame:
+        """(src, dst and the annotation's value) of the best walk under an annotation of one's own (``functions.annotations.semiring``)."""
+        p = self.grammar.compile(self.start)
+        return self._result(self._facts(p, a), p, self.start, a)
+
     def single_path(self) -> DataFrame:
         """(src, dst, height, length) of one witness: least height, then least length."""
         p = self.grammar.compile(self.start)
@@ -108,7 +148,7 @@ class PathQuery:
         """(root_src, root_dst, pos, src, label, dst): the edges of the witnesses of ``pairs`` (src, dst), all pairs by default."""
         scratch = Scratch(self.graph.edges.sparkSession, "witness")
         p = self.grammar.compile(self.start)
-        facts = scratch.table(self._facts(p, SINGLE, scratch=scratch), "facts")
+        facts = self._facts(p, SINGLE)
         roots = facts.where(F.col("sym") == p.names[self.start])
         if pairs is not None:
             roots = roots.join(pairs.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
@@ -131,7 +171,7 @@ class PathQuery:
 
     def _beneath(self, pairs: DataFrame, scratch: Scratch) -> tuple[Program, DataFrame, DataFrame]:
         p = self.grammar.compile(self.start)
-        facts = scratch.table(self._facts(p, REACH, scratch=scratch), "facts")
+        facts = self._facts(p, REACH)
         roots = pairs.select("src", "dst").distinct().withColumn("sym", F.lit(p.names[self.start]))
         return p, *paths.needed(facts, p, roots, scratch)
 
@@ -152,8 +192,16 @@ class PathQuery:
         return found
 
     def count_paths(self, pairs: DataFrame, max_len: int) -> DataFrame:
-        """(src, dst, n_paths) of the pairs with a walk below the bound."""
-        return self.all_paths(pairs, max_len).groupBy("src", "dst").agg(F.count("*").alias("n_paths"))
+        """(src, dst, n_paths) of the pairs with a walk below the bound; for a regular language the walks are counted without being listed."""
+        a = self.language
+        if not (isinstance(a, RecursiveAutomaton) and a.start == self.start and a.deterministic):
+            return self.all_paths(pairs, max_len).groupBy("src", "dst").agg(F.count("*").alias("n_paths"))
+        scratch = Scratch(self.graph.edges.sparkSession, "walk-counts")
+        found = paths.count_walks(self.graph.edges, a, pairs, max_len, scratch)
+        if a.boxes[a.start].starts & a.boxes[a.start].finals and max_len > 0:
+            own = pairs.select("src", "dst").distinct().where(F.col("src") == F.col("dst")).join(self.graph.domain(), F.col("src") == F.col("v"), "left_semi")
+            found = found.unionByName(own.select("src", "dst", F.lit(1).cast("long").alias("n_paths"))).groupBy("src", "dst").agg(F.sum("n_paths").alias("n_paths"))
+        return found
 
     def count_derivations(self, pairs: DataFrame, max_len: int) -> DataFrame:
         """(src, dst, length, n): derivations of the normalised grammar by length; as many as walks if it is unambiguous."""
@@ -171,8 +219,7 @@ class PathQuery:
     def midpoints(self) -> DataFrame:
         """(nonterminal, src, dst, mids): all midpoints of every fact of a named nonterminal; null for a fact that is an edge."""
         p = self.grammar.compile(self.start, self.grammar.nonterminals & self.grammar.productive())
-        scratch = Scratch(self.graph.edges.sparkSession, "midpoints")
-        facts = scratch.table(self._facts(p, REACH, scratch=scratch), "facts")
+        facts = self._facts(p, REACH)
         names = small_table(facts.sparkSession, [(n, s) for n, s in p.names.items()], "nonterminal string, sym int")
         split = paths.derivations(facts, p).select("sym", "src", "dst", "mid")
         edge = paths._terminal(facts, self.graph.edges, p).select("sym", "src", "dst", F.lit(None).cast(split.schema["mid"].dataType).alias("mid"))

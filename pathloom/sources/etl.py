@@ -40,9 +40,30 @@ def _numbered(names: DataFrame) -> DataFrame:
     return held.join(F.broadcast(before.select("p", "before")), "p").select("name", (F.col("before") + F.col("i")).alias("id"))
 
 
-def chain(rows: DataFrame, by: str, order: list[str], vertex: str | Column, label: str, part: bool = True) -> DataFrame:
-    """Edges from each row to the next of its group; the label is the source row's.  ``part`` keeps the group, which no walk crosses."""
-    w = Window.partitionBy(by).orderBy(*order)
+def chain(rows: DataFrame, by: str, order: list[str], vertex: str | Column, label: str, part: bool = True, hot_rows: int | None = None) -> DataFrame:
+    """Edges from each row to the next of its group; the label is the source row's.  ``part`` keeps the group, which no walk crosses.
+
+    A group is sorted in one task, unless ``hot_rows`` is given: then groups are counted, and one of more rows is dealt out by ranges of its order and sorted range by range.
+    """
     v = F.col(vertex) if isinstance(vertex, str) else vertex
-    own = rows.select(v.alias("src"), F.col(label).alias("label"), F.lead(v).over(w).alias("dst"), F.col(by).alias("part"))
-    return own.where(F.col("dst").isNotNull()).select("src", "label", "dst", *(["part"] if part else []))
+    own = rows.select(v.alias("src"), F.col(label).alias("label"), F.col(by).alias("part"), *(F.col(c).alias(f"o{k}") for k, c in enumerate(order)))
+    sort = [f"o{k}" for k in range(len(order))]
+    columns = ["src", "label", "dst", *(["part"] if part else [])]
+    plain = own
+    if hot_rows is not None:
+        hot = own.groupBy("part").count().where(F.col("count") > hot_rows).select(F.col("part").alias("hot"))
+        plain = own.join(hot, own["part"].eqNullSafe(hot["hot"]), "left_anti")
+    out = plain.withColumn("dst", F.lead("src").over(Window.partitionBy("part").orderBy(*sort))).where(F.col("dst").isNotNull()).select(*columns)
+    if hot_rows is None:
+        return out
+    from ..operators.rounds import Scratch
+
+    # the range of a row is written down, so it is the same for all that read it
+    large = own.join(hot, own["part"].eqNullSafe(hot["hot"]), "left_semi").repartitionByRange("part", *sort)
+    held = Scratch(rows.sparkSession, "chain").table(large.withColumn("range", F.spark_partition_id()), "ranges")
+    ranged = held.withColumn("dst", F.lead("src").over(Window.partitionBy("part", "range").orderBy(*sort)))
+    # one row for each range of a group: where the next one begins
+    first = held.groupBy("part", "range").agg(F.min_by("src", F.struct(*sort)).alias("src"))
+    follow = first.select(F.col("part").alias("p"), F.col("range").alias("r"), F.lead("src").over(Window.partitionBy("part").orderBy("range")).alias("begin"))
+    joined = ranged.join(follow, ranged["part"].eqNullSafe(follow["p"]) & (ranged["range"] == follow["r"]))
+    return out.unionByName(joined.withColumn("dst", F.coalesce("dst", "begin")).where(F.col("dst").isNotNull()).select(*columns))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Graph:
-    """``edges`` (src, label, dst), a set.  ``vertices`` (v) overrides the vertex domain; ``part`` names a column that no walk crosses."""
+    """``edges`` (src, label, dst), a set.  ``vertices`` (v) overrides the vertex domain; ``part`` names a column that no walk crosses: edges of different
+    parts share no vertex.  The edges whose part is null are one part."""
 
     edges: DataFrame
     vertices: DataFrame | None = None

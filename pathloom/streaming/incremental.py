@@ -6,43 +6,90 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.fixpoint import Strategy
+from ..functions.annotations import REACH
+from ..operators.fixpoint import Strategy, solve
 from ..operators.rounds import Scratch
-from ..query import PathQuery
+from ..query import PathQuery, parse
 from ..sources.graphs import Graph
 
 
 class ReachView:
-    """Keeps (edges, pairs) as tables of the shared folder; ``apply`` takes a batch, and ``start`` a stream of them.
+    """Keeps the pairs of a language over all edges that came; ``apply`` takes a batch, and ``start`` a stream of them.
 
-    A batch id that was applied is skipped, so a restarted stream changes nothing twice.  Insertions only: a pair stays once it is there.
+    The state lies in the folder ``path``, on storage that all executors share: what a batch adds to the edges, facts and pairs, under its number, and a mark once all of
+    that is written.  A batch without mark counts as not applied and is written anew, one with a mark is skipped.  So a view that is made again on the same
+    folder, after any failure, goes on where the last one ended.  A batch writes what it adds and nothing else.
+
+    With ``part`` the parts that got edges are solved anew, each in one task while it is small; without, the new edges' facts start rounds over those known.
+    Insertions only: a pair stays once it is there.
     """
 
-    def __init__(self, spark: SparkSession, language: str, part: str | None = None, strategy: Strategy = Strategy()):
-        self.spark, self.language, self.part, self.strategy = spark, language, part, strategy
-        self.scratch = Scratch(spark, "view")
-        self.edges: DataFrame | None = None
-        self.pairs: DataFrame | None = None
-        self.version, self.last = 0, -1
+    def __init__(self, spark: SparkSession, language: str, path: str, part: str | None = None, strategy: Strategy = Strategy()):
+        self.spark, self.language, self.path, self.part, self.strategy = spark, parse(language), path.rstrip("/"), part, strategy
+        self.program = self.language.compile(self.language.start)
+        folder, fs = self._fs("marks")
+        self.last = max((int(f.getPath().getName()) for f in fs.listStatus(folder)), default=-1) if fs.exists(folder) else -1
+
+    def _fs(self, name: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _read(self, name: str) -> DataFrame | None:
+        """What the marked batches added; None before any has."""
+        folder, fs = self._fs(name)
+        own = sorted(n for f in (fs.listStatus(folder) if fs.exists(folder) else ()) if (n := int(f.getPath().getName())) <= self.last)
+        return self.spark.read.parquet(*(f"{self.path}/{name}/{n}" for n in own)) if own else None
+
+    def _add(self, df: DataFrame, name: str, batch_id: int) -> DataFrame:
+        where = f"{self.path}/{name}/{batch_id}"
+        df.write.mode("overwrite").option("compression", "zstd").parquet(where)
+        return self.spark.read.schema(df.schema).parquet(where)
+
+    @property
+    def edges(self) -> DataFrame | None:
+        return self._read("edges")
+
+    @property
+    def pairs(self) -> DataFrame | None:
+        """(src, dst) of all pairs so far; vertices without edges have no empty walk."""
+        return self._read("pairs")
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id <= self.last:
             return
         columns = ["src", "label", "dst", *([self.part] if self.part else [])]
-        new = batch.select(*columns)
-        every = new if self.edges is None else self.edges.unionByName(new)
-        edges = self.scratch.table(every.distinct(), f"edges-{self.version}")
-        if self.part and self.edges is not None:  # parts without new edges keep their pairs
-            touched = new.select(self.part).distinct()
-            own = edges.join(touched, self.part, "left_semi")
-            fresh = PathQuery(Graph.from_frame(own, part=self.part), self.language, strategy=self.strategy).reach()
-            pairs = self.pairs.unionByName(fresh).distinct()
-        else:
-            pairs = PathQuery(Graph.from_frame(edges, part=self.part), self.language, strategy=self.strategy).reach()
-        self.pairs = self.scratch.table(pairs, f"pairs-{self.version}")
-        self.edges, self.last = edges, batch_id
-        self.version += 1
+        old, pairs = self.edges, self.pairs
+        new = batch.select(*columns).where(F.col("src").isNotNull() & F.col("label").isNotNull() & F.col("dst").isNotNull()).distinct()
+        if old is not None:
+            same = [old[c].eqNullSafe(new[c]) for c in columns]
+            new = new.join(old, same, "left_anti")
+        new = self._add(new, "edges", batch_id)
+        fresh = self._of_parts(new, old) if self.part else self._of_facts(new, batch_id)
+        if pairs is not None:
+            fresh = fresh.join(pairs, ["src", "dst"], "left_anti")
+        self._add(fresh.select("src", "dst").distinct(), "pairs", batch_id)
+        mark, fs = self._fs(f"marks/{batch_id}")
+        fs.create(mark, True).close()
+        self.last = batch_id
+
+    def _of_parts(self, new: DataFrame, old: DataFrame | None) -> DataFrame:
+        """All pairs of the parts that got edges."""
+        touched = new.select(F.col(self.part).alias("touched")).distinct()
+        every = new if old is None else new.unionByName(old.join(touched, old[self.part].eqNullSafe(touched["touched"]), "left_semi"))
+        return PathQuery(Graph.from_frame(every, part=self.part), self.language, strategy=self.strategy).reach()
+
+    def _of_facts(self, new: DataFrame, batch_id: int) -> DataFrame:
+        """The pairs that the new edges add, from the facts kept so far."""
+        known = self._read("facts")
+        edges = new.select("src", "label", "dst").where(F.col("label").isin(self.program.labels)) if self.program.labels else new.where(F.lit(False))
+        facts = self._add(solve(edges, self.program, REACH, None, self.strategy, Scratch(self.spark, "view"), known=known), "facts", batch_id)
+        sym = self.program.start
+        found = facts.where(F.col("sym") == sym).select("src", "dst")
+        if sym in self.program.nullable:
+            ends = new.select(F.explode(F.array("src", "dst")).alias("src")).distinct()
+            found = found.unionByName(ends.select("src", F.col("src").alias("dst")))
+        return found
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
-        """``stream`` is a streaming DataFrame of (src, label, dst and the part)."""
+        """``stream`` is a streaming DataFrame of (src, label, dst and the part); its checkpoint belongs to this view's folder and to no other."""
         return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
