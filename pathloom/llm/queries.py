@@ -58,7 +58,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import url_rules
 
-    return url_rules.filter_urls(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
+    return url_rules.filter_urls(_read(spark, sf_dir, "pages"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,10 +181,9 @@ def judged(url):
 
 def test_urls(spark):
     extra = [(100 + k, f"http://spam{k % 3}.test.org/buy/{k}" if k % 2 else f"http://fine.test.org/read/{k}") for k in range(40)]
-    rows = [*enumerate(URLS), *extra, (0, URLS[0]), (None, URLS[6])]
-    df = spark.createDataFrame([(i, u, None, 1) for i, u in rows], "page_id long, url string, html string, host int")
-    labels = spark.createDataFrame([(100 + k, k % 2, 0) for k in range(0, 30)] + [(100 + k, 1 - k % 2, k % 2) for k in range(0, 30)] + [(None, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int")
-    labels = labels.where("quality is null or toxic = 1 or quality = 1").where("doc_id is null or doc_id < 100 or (doc_id % 2 = toxic)")
+    rows = [*enumerate(URLS), *extra, (0, URLS[0]), (None, URLS[6]), (7000, "https://a.b/" + "x/" * 50_000)]
+    df = spark.createDataFrame([(i, u, None, 1, "x", "y", "z") for i, u in rows], "page_id long, url string, html string, host int, items string, basket string, rule string")
+    labels = spark.createDataFrame([(u, bool(i % 2)) for i, u in extra[:30]] + [(None, True), (URLS[0], None), ("no url", True)], "url string, blocked boolean")
     found = url_rules.filter_urls(df, labels).collect()
     assert len(found) == len(rows)
     for r in found:
@@ -197,17 +196,57 @@ def test_urls(spark):
             assert r["verdict"] == "block" and r["mined_rule"] is not None, url
         elif "fine" in host or not host:
             assert r["verdict"] == "allow", url
-    assert {r["verdict"] for r in url_rules.filter_urls(df, labels.where("false")).collect()} <= {"allow", "block"}
-    assert url_rules.filter_urls(df.where("false"), labels).count() == 0
+    for none in (labels.where("false"), None):
+        assert all(r["verdict"] == (judged(dict(rows)[r["page_id"]])[3] or "allow") for r in url_rules.filter_urls(df, none).collect() if r["page_id"] is not None)
+    assert url_rules.filter_urls(df.where("false"), labels).count() == 0 and url_rules.filter_urls(df.where("false")).count() == 0
+
+
+def brute_rules(baskets, p):
+    """All rules by trying every set of tokens of every bad basket, then those that are more confident than each rule on a part of them."""
+    total, bad = len(baskets), sum(b for _, b in baskets)
+    need = max(-(-p.min_support * total // 1), p.min_count)
+    sets = {frozenset(c) for items, b in baskets if b for n in range(1, len(items) + 1) for c in itertools.combinations(items, n)}
+    rules = {}
+    for x in sets:
+        hold = [b for items, b in baskets if x <= set(items)]
+        if sum(hold) >= need and sum(hold) >= p.min_confidence * len(hold) and sum(hold) * total >= p.min_lift * bad * len(hold):
+            rules[x] = sum(hold) / len(hold)
+    return rules, {x: c for x, c in rules.items() if all(c > d for y, d in rules.items() if y < x)}
+
+
+def test_mined_rules_against_brute_force(spark):
+    rng = random.Random(21)
+    for p in (url_rules.RuleParams(min_count=3), url_rules.RuleParams(min_support=0.05, min_confidence=0.7, min_lift=1.1)):
+        baskets = []
+        for _ in range(150):
+            items = sorted({f"t{min(rng.randrange(9), rng.randrange(9))}" for _ in range(rng.randint(1, 6))})
+            baskets.append((items, rng.random() < (0.85 if {"t1", "t4"} <= set(items) or "t7" in items else 0.15)))
+        every, expected = brute_rules(baskets, p)
+        df = spark.createDataFrame(baskets + [([], True), (["t1"], None)], "items array<string>, blocked boolean")
+        rules = url_rules.mine(df, p)
+        found = {frozenset(r["items"]): r["confidence"] for r in rules.collect()}
+        assert found.keys() == expected.keys() and all(abs(found[x] - c) < 1e-12 for x, c in expected.items()) and len(expected) > 2
+        own = spark.createDataFrame([(k, items) for k, (items, _) in enumerate(baskets)], "basket long, items array<string>")
+        judged_ = {r["basket"]: r["confidence"] for r in url_rules.judge(own, rules).collect()}
+        for k, (items, _) in enumerate(baskets):
+            best = max((c for x, c in every.items() if x <= set(items)), default=None)
+            assert (judged_.get(k) is None) == (best is None) and (best is None or abs(judged_[k] - best) < 1e-12)
+
+
+def test_url_rules_keep_company_with_topic_words(spark):
+    """Words that go along with topic words are learnt, and block where no topic word is; words that go along with anything are not."""
+    rows = [(k, f"https://casino-win{'.example' if k % 2 else ''}.org/en/{k}") for k in range(20)] + [(100 + k, f"https://quiet-place{k % 7}.org/en/{k}") for k in range(300)] + [(900, "https://lucky-win.org/de/1"), (901, "http://place.org/en/3")]
+    found = {r["page_id"]: r for r in url_rules.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert all(found[k]["verdict"] == "block" for k in [*range(20), 900]) and all(found[k]["verdict"] == "allow" for k in [*range(100, 400), 901])
 
 
 def test_url_rules_beyond_the_given_ones(spark):
     # thousands of sets of tokens hold the pair that a given rule blocks; the mined rules on other urls are less confident than those
     rows = [(k, "http://a.b.net/es/" + "/".join("one two three four five six seven eight nine ten".split())) for k in range(60)]
-    rows += [(100 + k, f"https://shop.spam.org/buy/{k}") for k in range(20)] + [(200 + k, f"https://fine.org/read/{k}") for k in range(200)]
+    rows += [(100 + k, f"https://shop.trash.org/buy/{k}") for k in range(20)] + [(200 + k, f"https://fine.org/read/{k}") for k in range(200)]
     df = spark.createDataFrame(rows, "page_id long, url string")
-    labels = spark.createDataFrame([(100 + k, 1, int(k > 0)) for k in range(10)] + [(200 + k, 1, 0) for k in range(100)], "doc_id long, quality int, toxic int")
-    found = {r["page_id"]: r for r in url_rules.filter_urls(df, labels).collect()}
+    labels = spark.createDataFrame([(u, True) for _, u in rows[:60]] + [(rows[60 + k][1], k > 0) for k in range(10)] + [(rows[80 + k][1], False) for k in range(100)], "url string, blocked boolean")
+    found = {r["page_id"]: r for r in url_rules.filter_urls(df, labels, url_rules.RuleParams(min_lift=1.2)).collect()}
     assert all(found[k]["verdict"] == "block" and abs(found[k]["confidence"] - 0.9) < 1e-9 for k in range(100, 120))
     assert all(found[k]["verdict"] == "allow" for k in range(200, 400))
 
@@ -227,9 +266,9 @@ def test_vectors_of_tight_groups_in_a_loose_one(spark):
 
 
 def test_url_rules_of_long_urls(spark):
-    # the token that tells is beyond the 24 first in text order; the words before it are of one url each
+    # the token that tells is far down in text order; the words before it are of one url each
     words = lambda k: "/".join(f"{chr(97 + j)}{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k // 100]}" for j in range(26))
-    df = spark.createDataFrame([(k, f"https://x.org/{words(k)}?{'zspam' if k % 2 else 'zfine'}={k}") for k in range(400)], "page_id long, url string")
-    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(300)], "doc_id long, quality int, toxic int")
-    found = url_rules.filter_urls(df, labels, url_rules.RuleParams(min_support=0.02)).collect()
+    rows = [(k, f"https://x.org/{words(k)}?{'zspam' if k % 2 else 'zfine'}={k}") for k in range(400)]
+    labels = spark.createDataFrame([(u, bool(k % 2)) for k, u in rows[:300]], "url string, blocked boolean")
+    found = url_rules.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), labels, url_rules.RuleParams(min_support=0.02)).collect()
     assert all(r["verdict"] == ("block" if r["page_id"] % 2 else "allow") for r in found)
