@@ -39,6 +39,10 @@ class VectorParams:
     k: int = 8
     leaf: int = 128
     block: int = 512
+    #: rows of a component that travel together when all its pairs are compared: each row is sent to every such tile of its component
+    tile: int = 2048
+    #: classes of one bucket beyond which it is split by hash, so that a group of any size is spread over tasks
+    bucket_rows: int = 32_768
     rounds: int = 3
     #: share of list entries that changes in the last round
     settled: float = 0.002
@@ -140,14 +144,17 @@ def _seeded(v: DataFrame, sizes: DataFrame, tables: range, p: VectorParams, acro
                 )
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, a, b in grouped(batches, ["t", "grp", "bucket"], p.block):
+        for batch, a, b in grouped(batches, ["t", "grp", "bucket", "salt"], p.block):
             ids, root = batch.column("c").slice(a, b - a).to_numpy(), batch.column("root").slice(a, b - a).to_numpy() if across else None
             if (out := _best(ids, matrix(batch, a, b), p.k, np.full(b - a, p.threshold - 1e-6) if across else None, root)) is not None:
                 yield out
 
     coded = v.join(sizes, "grp").select("grp", "dim", "bits", "c", "vec", *extra).mapInArrow(codes, "t long, grp long, bucket long, code long, c long, vec array<float>" + (", root long" if across else ""))
-    dealt = coded.repartition("t", "grp", "bucket").sortWithinPartitions("t", "grp", "bucket", "code", "c")
-    return dealt.select("t", "grp", "bucket", "c", "vec", *extra).mapInArrow(lists, _LIST)
+    # a bucket of very many classes (near copies have one code) is split; each part is a random subset in the same order
+    own = coded.groupBy("t", "grp", "bucket").count().where(F.col("count") > p.bucket_rows)
+    salted = coded.join(own, ["t", "grp", "bucket"], "left").withColumn("salt", F.pmod(F.xxhash64("c", "t"), F.coalesce(F.ceil(F.col("count") / p.bucket_rows), F.lit(1)).cast("long")))
+    dealt = salted.repartition("t", "grp", "bucket", "salt").sortWithinPartitions("t", "grp", "bucket", "salt", "code", "c")
+    return dealt.select("t", "grp", "bucket", "salt", "c", "vec", *extra).mapInArrow(lists, _LIST)
 
 
 def _descend(graph: DataFrame, v: DataFrame, p: VectorParams) -> DataFrame:
@@ -205,7 +212,7 @@ def _complete(v: DataFrame, roots: DataFrame, p: VectorParams) -> DataFrame:
                     links[right] += hit.T @ weight[i]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links)], names=["c", "links"])
 
-    size = roots.groupBy("root").agg(F.ceil(F.count("*") / p.block).alias("blocks"))
+    size = roots.groupBy("root").agg(F.ceil(F.count("*") / p.tile).alias("blocks"))
     member = roots.join(size, "root").join(v.select("c", "w", "vec"), F.col("node") == F.col("c")).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")))
     # a block meets every block: as the smaller number of the pair, or the larger
     dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
@@ -240,6 +247,11 @@ def _recall(v: DataFrame, roots: DataFrame, p: VectorParams, total: int) -> floa
 
 def link(vectors: DataFrame, params: VectorParams = VectorParams()) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding, label)."""
+    return link_audited(vectors, params)[0]
+
+
+def link_audited(vectors: DataFrame, params: VectorParams = VectorParams()) -> tuple[DataFrame, float]:
+    """``link`` and the recall that its audit found: the share of the audited classes' links, by brute force, that lie within components."""
     p, spark = params, vectors.sparkSession
     scratch = Scratch(spark, "vectors")
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vec"), F.col("label").cast("long").alias("label"))
@@ -284,7 +296,7 @@ def link(vectors: DataFrame, params: VectorParams = VectorParams()) -> DataFrame
     out = judged.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
     out = Scratch(spark, "vectors-result").table(out, "vectors")
     scratch.drop("")
-    return out
+    return out, recall
 
 
 def _exact(pairs: DataFrame, v: DataFrame, p: VectorParams) -> DataFrame:
