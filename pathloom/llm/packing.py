@@ -2,7 +2,8 @@
 
 Documents are dealt by hash into shards of about ``shard_bytes`` of text, so a shard fits one task at any
 corpus size and a hot source or group of copies spreads evenly.  Each shard has its own BM25 inverted
-index.  Its first unused document opens a window; the index returns the seed's best unused neighbours one
+index; how many documents hold a term, how many there are and how long they are is counted over the whole corpus first (terms by a hash of
+``FREQUENCY_BITS`` bits, so the table that is broadcast has one size for every corpus).  A seed's neighbours are those of its shard.  A shard's first unused document opens a window; the index returns the seed's best unused neighbours one
 after another, and each is placed whole or cut where the window ends, its rest opening the next window.
 So only the last window of a shard is padded.
 
@@ -32,6 +33,7 @@ from .scratch import small_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _CACHES: dict[str, "UnitEncoder"] = {}
+FREQUENCY_BITS = 22
 #: what fills a 64-bit word of so many bytes up with 0xFF
 _PAD = np.array([(0xFFFFFFFFFFFFFFFF << (8 * n)) & 0xFFFFFFFFFFFFFFFF for n in range(9)], np.uint64)
 
@@ -54,6 +56,21 @@ class PackParams:
     query_words: int = 64
 
 
+def words_of(flat: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 8 and the second 8 bytes of each piece, filled up with 0xFF."""
+    padded = np.concatenate([flat, np.zeros(16, np.uint8)])
+    word = np.ndarray((len(padded) - 7,), "<u8", buffer=padded, strides=(1,))
+    low, high = word[starts] | _PAD[np.minimum(size, 8)], np.full(len(starts), _PAD[0])
+    second = size > 8
+    high[second] = word[starts[second] + 8] | _PAD[np.minimum(size[second] - 8, 8)]
+    return low, high
+
+
+def term_hash(low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The place of each piece in the table of document frequencies."""
+    return (tk.mix(low * tk.U64(0x9E3779B97F4A7C15) ^ high * tk.U64(0xC2B2AE3D27D4EB4F) ^ size.astype(np.uint64)) >> tk.U64(64 - FREQUENCY_BITS)).astype(np.int32)
+
+
 class PieceTable:
     """Token ids of pieces, found by the pieces' own bytes for whole arrays of them at once.
 
@@ -66,6 +83,7 @@ class PieceTable:
         self.long: dict[bytes, int] = {}
         self.low, self.high = np.empty(1 << 16, np.uint64), np.empty(1 << 16, np.uint64)
         self.start, self.length, self.last = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
+        self.term = np.empty(1 << 16, np.int32)
         self.pool, self.used = np.empty(1 << 20, np.uint32), 0
         self.slots = np.full(1 << self.bits, -1, np.int32)
 
@@ -98,17 +116,17 @@ class PieceTable:
             lost = self.slots[slot] != entries
             entries, slot = entries[lost], (slot[lost] + 1) & ((1 << self.bits) - 1)
 
-    def add(self, low: np.ndarray, high: np.ndarray, long: np.ndarray, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """New entries with ``count`` ids each; the caller names those that are ``long``."""
-        m = len(count)
+    def add(self, low: np.ndarray, high: np.ndarray, size: np.ndarray, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """New entries with ``count`` ids each; the caller names those of more than 16 bytes."""
+        m, long = len(count), size > 16
         while self.n + m > len(self.start):
-            for name in ("low", "high", "start", "length", "last"):
+            for name in ("low", "high", "start", "length", "last", "term"):
                 setattr(self, name, np.concatenate([getattr(self, name), np.empty_like(getattr(self, name))]))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
         entries = np.arange(self.n, self.n + m, dtype=np.int32)
         self.pool[self.used : self.used + len(ids)] = ids
-        self.length[entries] = count
+        self.length[entries], self.term[entries] = count, term_hash(low, high, size)
         self.start[entries] = self.used + np.cumsum(count) - count
         self.used += len(ids)
         # no short piece has two words of 0xFF
@@ -142,7 +160,7 @@ class PieceTable:
         ids = self.pool[at]
         self.pool[: len(ids)] = ids
         self.used = len(ids)
-        for name in ("low", "high", "length", "last"):
+        for name in ("low", "high", "length", "last", "term"):
             column = getattr(self, name)
             column[: len(kept)] = column[kept]
         self.start[: len(kept)] = np.cumsum(length) - length
@@ -214,11 +232,7 @@ class UnitEncoder:
         """(ids of all rows, offsets of rows in them, table entry of every piece, row of every piece)."""
         table, starts = self.table, self.units(flat, offsets)
         size = np.diff(np.append(starts, len(flat)))
-        padded = np.concatenate([flat, np.zeros(16, np.uint8)])
-        word = np.ndarray((len(padded) - 7,), "<u8", buffer=padded, strides=(1,))
-        low, high = word[starts] | _PAD[np.minimum(size, 8)], np.full(len(starts), _PAD[0])
-        second = size > 8
-        high[second] = word[starts[second] + 8] | _PAD[np.minimum(size[second] - 8, 8)]
+        low, high = words_of(flat, starts, size)
         entry = np.full(len(starts), -1, np.int32)
         is_short = size <= 16
         if is_short.all():
@@ -251,7 +265,7 @@ class UnitEncoder:
             turn = np.argsort(~joined, kind="stable")
             ids, count = self._tokens(flat, starts[at][turn], size[at][turn], joined)
             added = np.empty(len(at), np.int32)
-            added[turn] = table.add(low[at][turn], high[at][turn], size[at][turn] > 16, ids, count)
+            added[turn] = table.add(low[at][turn], high[at][turn], size[at][turn], ids, count)
             table.long.update(zip(fresh_long, added[len(first) :].tolist()))
             entry[new[order]] = added[: len(first)][np.cumsum(head) - 1]
             if fresh_long:
@@ -268,21 +282,36 @@ class UnitEncoder:
         return np.array([i for x in found for i in x], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in found])]), entry, rows
 
 
+@dataclass(frozen=True)
+class Corpus:
+    """Over all documents: how many there are, how many pieces they have on average, their bytes, and how many hold a term, by the term's hash."""
+
+    documents: int
+    mean_size: float
+    octets: int
+    frequency: np.ndarray
+
+
 class Bm25:
-    """An inverted index over the pieces of one shard's documents."""
+    """An inverted index over the pieces of one shard's documents; ``hashes`` are the pieces' terms in the corpus."""
 
-    def __init__(self, terms: np.ndarray, docs: np.ndarray, n_docs: int, p: PackParams):
-        code, _ = pd.factorize(terms)
-        key, tf = np.unique((code.astype(np.int64) << 32) | docs, return_counts=True)
+    def __init__(self, terms: np.ndarray, hashes: np.ndarray, docs: np.ndarray, n_docs: int, p: PackParams, corpus: Corpus):
+        code, first = pd.factorize(terms)
+        key = np.sort((code.astype(np.int64) << 32) | docs)
+        at = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]]))
+        key, tf = key[at], np.diff(np.append(at, len(key)))
         term, doc = key >> 32, key & 0xFFFFFFFF
-        df = np.bincount(term) if len(term) else np.zeros(0, np.int64)
+        here = np.bincount(term, minlength=len(first))
+        hashed = np.empty(len(first), np.int64)
+        hashed[code] = hashes
+        df = corpus.frequency[hashed].astype(np.int64)
         size = np.bincount(docs, minlength=n_docs)
-        keep = (df[term] > 1) if len(term) else np.zeros(0, bool)
+        keep = here[term] > 1  # a term of one document here leads to no other
         term, doc, tf = term[keep], doc[keep], tf[keep]
-        idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-        norm = p.k1 * (1 - p.b + p.b * size / max(size.mean(), 1))
+        idf = np.log(1 + (corpus.documents - df + 0.5) / (df + 0.5))
+        norm = p.k1 * (1 - p.b + p.b * size / max(corpus.mean_size, 1))
         self.weight = idf[term] * tf * (p.k1 + 1) / (tf + norm[doc])
-        self.doc, self.first = doc, np.searchsorted(term, np.arange(len(df) + 1))
+        self.doc, self.first = doc, np.searchsorted(term, np.arange(len(first) + 1))
         order = np.lexsort((term, -idf[term], doc))
         self.by_doc, self.doc_cut = term[order], np.searchsorted(doc[order], np.arange(n_docs + 1))
         self.n, self.words = n_docs, p.query_words
@@ -330,21 +359,75 @@ def pack_shard(lengths: np.ndarray, index: Bm25, window: int) -> list[tuple[int,
     return out
 
 
+def count_corpus(base: DataFrame) -> Corpus:
+    """One pass over the texts: every task counts its documents' terms, ranges of hashes are added up, and their sums come to the driver (8 bytes a hash)."""
+    width, parts = 1 << FREQUENCY_BITS - 6, 64
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, documents, pieces, octets = np.zeros(width * parts, np.int64), 0, 0, 0
+        held: list[np.ndarray] = []
+
+        def add() -> None:
+            found[:] += np.bincount(np.concatenate(held), minlength=width * parts)
+            held.clear()
+
+        for batch in batches:
+            for first, end, flat, offsets in tk.chunks(batch.column(0)):
+                starts = UnitEncoder.units(flat, offsets)
+                size = np.diff(np.append(starts, len(flat)))
+                h = term_hash(*words_of(flat, starts, size), size)
+                key = np.sort(((np.searchsorted(offsets, starts, "right") - 1) << FREQUENCY_BITS) | h)
+                new = np.ones(len(key), bool)
+                new[1:] = key[1:] != key[:-1]
+                held.append(key[new] & (width * parts - 1))
+                documents, pieces, octets = documents + end - first, pieces + len(starts), octets + len(flat)
+                if sum(map(len, held)) > width * parts // 2:
+                    add()
+        if held:
+            add()
+        if not documents:
+            return
+        own = [np.flatnonzero(found[k : k + width]) for k in range(0, width * parts, width)]
+        blobs = [x.astype(np.uint16).tobytes() + found[k * width + x].astype(np.uint32).tobytes() for k, x in enumerate(own)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary()), *(pa.array([x] * parts, pa.int64()) for x in (documents, pieces, octets))], names=["part", "blob", "documents", "pieces", "octets"])
+        tk.give_back()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for part, blob, *totals in zip(*(c.to_pylist() for c in batch.columns)):
+                own, n = sums.setdefault(part, (np.zeros(width, np.int64), np.zeros(3, np.int64))), len(blob) // 6
+                own[0][np.frombuffer(blob, np.uint16, n)] += np.frombuffer(blob, np.uint32, n, 2 * n)
+                own[1][:] += totals
+        for part, (n, totals) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n.tobytes()], pa.binary()), *(pa.array([int(x)]) for x in totals)], names=["part", "blob", "documents", "pieces", "octets"])
+
+    schema = "part int, blob binary, documents long, pieces long, octets long"
+    rows = base.select("text").mapInArrow(count, schema).repartition(min(parts, 16), "part").mapInArrow(total, schema).toArrow().to_pylist()
+    frequency = np.zeros(width * parts, np.int64)
+    for r in rows:
+        frequency[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["blob"], np.int64)
+    documents, pieces, octets = (rows[0][x] for x in ("documents", "pieces", "octets")) if rows else (0, 0, 0)
+    return Corpus(documents, pieces / max(documents, 1), octets, frequency.astype(np.uint32 if documents < 1 << 32 else np.int64))
+
+
 def pack(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     p, path = params, params.tokenizer or default_tokenizer()
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     small_batches(docs.sparkSession)
-    total = base.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    shards = max(1, -(-int(total) // p.shard_bytes))
+    corpus = count_corpus(base)
+    shards = max(1, -(-corpus.octets // p.shard_bytes))
     dealt = base.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
     tasks = min(shards, 50_000)
-    dealt = dealt.repartition(tasks, "shard").sortWithinPartitions("shard", "doc_id", "text") if shards > 1 else dealt.repartition(1).sortWithinPartitions("doc_id", "text")
+    dealt = dealt.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "doc_id", "text")
+    shared = docs.sparkSession.sparkContext.broadcast(corpus)
 
     def finish(shard: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         encoder = UnitEncoder.shared(path)
         encoder.table.trim()
         ids, cuts, terms, owners, rows = [], [np.zeros(1, np.int64)], [], [], 0
+        held = shared.value
         for part in parts:
             for first, end, flat, offsets in tk.chunks(part.column(1)):
                 i, cut, h, own = encoder.encode(flat, offsets)
@@ -355,7 +438,8 @@ def pack(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
                 owners.append(own + rows)
                 rows += end - first
         flat_ids, cut = np.concatenate(ids).astype("<u4"), np.concatenate(cuts)
-        index = Bm25(np.concatenate(terms), np.concatenate(owners), rows, p)
+        term = np.concatenate(terms)
+        index = Bm25(term, encoder.table.term[term], np.concatenate(owners), rows, p, held)
         lengths = np.diff(cut)
         out = pack_shard(lengths, index, p.window)
         doc, start, length, seq, off = (np.array(x, np.int64) for x in zip(*out))
@@ -382,5 +466,7 @@ def pack(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
                 parts.append(batch.slice(a, b - a))
         if parts:
             yield finish(now, parts)
+        parts.clear()
+        tk.give_back()
 
     return dealt.mapInArrow(run, SCHEMA)
