@@ -272,3 +272,37 @@ def test_url_rules_of_long_urls(spark):
     labels = spark.createDataFrame([(u, bool(k % 2)) for k, u in rows[:300]], "url string, blocked boolean")
     found = url_rules.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), labels, url_rules.RuleParams(min_support=0.02)).collect()
     assert all(r["verdict"] == ("block" if r["page_id"] % 2 else "allow") for r in found)
+
+
+def test_vectors_recall_near_the_threshold(spark):
+    """Thousands of planted pairs just above and just below the threshold: those above are found, none below is, and the audit's recall is reported."""
+    rng = np.random.default_rng(31)
+    def pair(cosine):
+        a, b = rng.standard_normal(48), rng.standard_normal(48)
+        a /= np.linalg.norm(a)
+        b -= a * (a @ b)
+        b /= np.linalg.norm(b)
+        return a, cosine * a + np.sqrt(1 - cosine**2) * b
+
+    rows, linked = [], []
+    for k in range(3000):
+        cosine = 0.931 + 0.02 * rng.random() if k % 2 else 0.929 - 0.02 * rng.random()
+        a, b = pair(cosine)
+        rows += [(2 * k, a.astype(np.float32).tolist(), k % 3), (2 * k + 1, b.astype(np.float32).tolist(), k % 3)]
+        if k % 2:
+            linked.append(2 * k)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    found, recall = vector_dedup.link_audited(df, vector_dedup.VectorParams(bucket_rows=300, tile=64))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found.collect()}
+    hit = sum(got[i + 1] == (1, i) and got[i] == (1, i) for i in linked)
+    assert recall >= 0.97 and hit >= 0.97 * len(linked)
+    assert all(got[i] == (0, i) for k in range(0, 3000, 2) for i in (2 * k, 2 * k + 1))
+
+
+def test_vectors_fail_below_the_target(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((200, 16))
+    rows = [(i, (base[i % 200] + 0.1 * rng.standard_normal(16)).tolist(), 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    with pytest.raises(RuntimeError, match="audit"):
+        vector_dedup.link(df, vector_dedup.VectorParams(k=1, tables=1, rounds=0, leaf=2, block=2, target=1.01, max_seedings=1))

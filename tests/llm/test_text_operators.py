@@ -1,6 +1,7 @@
 """Text operators against brute force, on a table with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -261,3 +262,130 @@ def test_empty_tables(spark, docs):
     none = docs.where("false")
     assert ngram_join.query(none).count() == 0 and suffix_dedup.query(none).count() == 0 and packing.pack(none).count() == 0
     assert decontaminate.find(none, spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
+
+
+def test_packing_ranks_by_bm25(spark):
+    """Scores against the formula over sets of words, and the order of documents in windows against a plain greedy loop."""
+    rng = random.Random(17)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 60}" for _ in range(rng.randint(1, 40))) for _ in range(40)]
+    p, enc = packing.PackParams(query_words=10**6), packing.UnitEncoder(packing.default_tokenizer())
+    flat, offsets = tk.text_buffer(pa.array(texts))
+    ids, cut, entry, rows = enc.encode(flat, offsets)
+    words = [[w if k == 0 else " " + w for k, w in enumerate(t.split(" "))] for t in texts]
+    corpus = packing.count_corpus(spark.createDataFrame([(t,) for t in texts], "text string"))
+    df = {w: sum(w in x for x in words) for x in words for w in x}
+    assert corpus.documents == 40 and abs(corpus.mean_size - len(entry) / 40) < 1e-9
+    for e, r, w in zip(entry, rows, [w for x in words for w in x]):
+        assert corpus.frequency[enc.table.term[e]] == df[w]
+    index = packing.Bm25(entry, enc.table.term[entry], rows, 40, p, corpus)
+
+    def score(q, d):
+        out = 0.0
+        for w in set(words[q]):
+            tf = words[d].count(w)
+            if df[w] > 1 and tf:
+                out += np.log(1 + (40 - df[w] + 0.5) / (df[w] + 0.5)) * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * len(words[d]) / corpus.mean_size))
+        return out
+
+    table = np.array([[score(q, d) for d in range(40)] for q in range(40)])
+    assert np.allclose(np.array([index.scores(q) for q in range(40)]), table)
+    lengths, window = np.diff(cut) + 1, 64
+    order, left, room, seed = [], set(range(40)), window, None
+    while left:
+        near = sorted((d for d in left if seed is not None and room < window and table[seed][d] > 1e-12), key=lambda d: (-table[seed][d], d))
+        pick = near[0] if near else min(left)
+        order.append(pick)
+        left.discard(pick)
+        if room == window:
+            seed = pick
+        rest = int(lengths[pick])
+        while rest:
+            take = min(room, rest)
+            rest, room = rest - take, room - take
+            if not room:
+                room = window
+                if rest:
+                    seed = pick
+    assert list(dict.fromkeys(x[0] for x in packing.pack_shard(lengths, index, window))) == order
+
+
+def test_ftrl_against_plain_loops():
+    """Every coordinate by the update rule as it is written, one at a time."""
+    rng = random.Random(23)
+    p = toxicity.FtrlParams(bits=6, epochs=3, min_rows=2, l1=0.02, alpha=0.5)
+    examples = []
+    for _ in range(60):
+        y = int(rng.random() < 0.3)
+        examples.append((y, np.array(sorted({rng.randrange(40) for _ in range(5)} | ({41, 42} if y else {43})), np.int32)))
+    w, bias = toxicity.fit_arrays(examples, p)
+    positive, seen = sum(y for y, _ in examples), [sum(i in ix for _, ix in examples) for i in range(64)]
+    rate = (positive + 0.5) / 61
+    z, n = {i: 0.0 for i in range(64)}, {i: 0.0 for i in range(64)}
+    b = math.log(rate / (1 - rate))
+    bz, bn = -b * p.beta / p.alpha, 0.0
+    weight = lambda i: 0.0 if abs(z[i]) <= p.l1 * positive else (math.copysign(p.l1 * positive, z[i]) - z[i]) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+    for _ in range(p.epochs):
+        for y, ix in examples:
+            own = [int(i) for i in ix if seen[i] >= p.min_rows]
+            now = {i: weight(i) for i in own}
+            g = 1 / (1 + math.exp(-(b + sum(now.values())))) - y
+            for i in own:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / p.alpha * now[i]
+                n[i] += g * g
+            bz += g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / p.alpha * b
+            bn += g * g
+            b = -bz * p.alpha / (p.beta + math.sqrt(bn))
+    assert np.allclose(w, [weight(i) for i in range(64)]) and abs(bias - b) < 1e-9 and 0 < (w != 0).sum() < 64
+    assert w[41] > 0 > w[43]
+
+
+def test_subword_sgd_against_plain_loops():
+    """Forward and backward passes written out by hand give the same folded scores."""
+    rng = random.Random(29)
+    p = quality.SubwordParams(bits=5, dim=3, epochs=2)
+    examples = []
+    for _ in range(30):
+        y = int(rng.random() < 0.4)
+        ix = np.array(sorted({rng.randrange(24) for _ in range(4)} | {30 if y else 31}), np.int32)
+        examples.append((y, ix, np.full(len(ix), 1 / len(ix), np.float32)))
+    fold, bias = quality.fit_arrays(examples, p)
+    gen = np.random.default_rng(p.seed)
+    table = gen.uniform(-1 / p.dim, 1 / p.dim, (32, p.dim)).astype(np.float32).astype(float)
+    rate = (sum(y for y, _, _ in examples) + 0.5) / 31
+    out, b = np.zeros((2, p.dim)), np.log(np.array([1 - rate, rate], np.float32)).astype(float)
+    weight = [math.sqrt(0.5 / (1 - rate)), math.sqrt(0.5 / rate)]
+    done = 0
+    for _ in range(p.epochs):
+        for k in gen.permutation(30):
+            y, ix, share = examples[k]
+            lr = p.rate * (1 - done / (p.epochs * 30))
+            done += 1
+            hidden = sum(s * table[i] for i, s in zip(ix, share.astype(float)))
+            e = np.exp(out @ hidden + b)
+            g = (e / e.sum() - np.eye(2)[y]) * weight[y] * lr
+            back = g[0] * out[0] + g[1] * out[1]
+            for c in range(2):
+                out[c] = out[c] - g[c] * hidden
+                b[c] -= 0.1 * g[c]
+            norm = sum(float(s) ** 2 for s in share)
+            for i, s in zip(ix, share.astype(float)):
+                table[i] = table[i] - s / norm * back
+    assert np.allclose(fold, table @ (out[1] - out[0]), atol=1e-3) and abs(bias - (b[1] - b[0])) < 1e-3
+    assert fold[30] > 0 > fold[31]
+
+
+def test_decontamination_of_scattered_copies(spark):
+    """Items whose sentences lie far apart in long documents, by size: what of all pairs above the threshold is found."""
+    rng = random.Random(37)
+    text = lambda n: [f"q{rng.randrange(50_000)}" for _ in range(n)]
+    items, docs = [], []
+    for k in range(60):
+        item = text(rng.choice([9, 14, 24, 60, 150]))
+        items.append((k, " ".join(item)))
+        whole = k % 2 == 0  # whole, or in two halves with 300 words between them
+        cut = len(item) if whole else len(item) // 2
+        docs.append((k, " ".join(text(400) + item[:cut] + text(300) + item[cut:] + text(2000))))
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    expected = {(d, i) for d, t in docs for i, x in items if len(shingle_set(t) & shingle_set(x)) >= 0.75 * len(shingle_set(x))}
+    assert found <= expected and {(k, k) for k in range(0, 60, 2)} <= found
+    assert len(found) >= 0.9 * len(expected), (len(found), len(expected))
