@@ -39,3 +39,16 @@ r AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM r JOIN links l ON r.b =
 g AS (SELECT a AS vec_id, min(b) AS c FROM r GROUP BY a), k AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a),
 o AS (SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id FROM embeddings LEFT JOIN g USING (vec_id) LEFT JOIN k USING (vec_id))
 SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM o"""
+
+SUFFIX_DEDUP = """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) AS n, hex(coalesce(text, '')) AS x FROM documents),
+w AS MATERIALIZED (SELECT r, i, md5_number(substr(x, 2 * i + 1, 800)) AS h FROM (SELECT r, x, unnest(range(0, n - 399)) AS i FROM t WHERE n >= 400)),
+d AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+m AS (SELECT r, i, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i) + 400, -1) AS new FROM w SEMI JOIN d USING (h)),
+k AS (SELECT r, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS span FROM m),
+s AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM k GROUP BY r, span),
+p AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM s UNION ALL SELECT r, max(b), max(n) FROM s JOIN t USING (r) GROUP BY r),
+left_ AS (SELECT r, string_agg(substr(x, 2 * p.a + 1, 2 * (p.b - p.a)), '' ORDER BY p.a) AS y FROM p JOIN t USING (r) GROUP BY r),
+c AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM s GROUP BY r)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
+FROM t LEFT JOIN c USING (r) LEFT JOIN left_ USING (r)"""

@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": oracles.WARC, "op4_vector_dedup": oracles.VECTOR_DEDUP, "op5_decontamination": oracles.DECONTAMINATION, "op6_ngram_join": oracles.NGRAM_JOIN}
+    return {"op1_warc": oracles.WARC, "op3_suffix_dedup": oracles.SUFFIX_DEDUP, "op4_vector_dedup": oracles.VECTOR_DEDUP, "op5_decontamination": oracles.DECONTAMINATION, "op6_ngram_join": oracles.NGRAM_JOIN}
