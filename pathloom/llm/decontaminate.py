@@ -13,7 +13,8 @@ blocks of at most ``block_bytes`` of text (one pass over the documents a block),
 
 Words are runs of anything but space and 0x09-0x0D, A-Z lower-cased; an item or document with fewer than five
 words has its whole sequence as its one shingle.  Rows: null or empty texts match nothing; a null id is kept in the
-result; repeated items and documents are matched row by row; with no items nothing matches.
+result; repeated items and documents are matched row by row; a document of any length is looked at whole; a share of exactly the threshold matches; with no items or no
+documents nothing matches; other columns aren't read by ``find``, and ``drop_contaminated`` keeps the documents' as they are.
 """
 
 from __future__ import annotations

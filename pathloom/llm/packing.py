@@ -11,7 +11,8 @@ Token ids come from the named tokenizer.  A text is cut before runs of white spa
 always cuts too, and a worker encodes a distinct piece once while it remembers it.
 
 Rows: null and empty texts are one end-of-document id; null ids and repeated rows are packed like any others;
-a text longer than a window fills several; extra columns aren't read.
+a text longer than a window fills several, and one longer than a shard is a shard's all the same; of equally good neighbours the first in order of id and text is taken; an empty
+table gives no rows; extra columns aren't read.
 """
 
 from __future__ import annotations

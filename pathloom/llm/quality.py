@@ -8,7 +8,8 @@ the fitted model folds to one number per bucket (8 bytes for each of 2**bits buc
 which is broadcast and applied in one Arrow pass.
 
 Rows: null and empty texts get the score of the bias alone; a null id is not held out; repeated rows
-are scored one by one; with no or one-class labels the score is the smoothed label rate.
+are scored one by one; a text of any length is scored whole; ties, repeated rows and ids with several labels are learnt from as in ``toxicity``; an empty table gives no rows; with no or
+one-class labels the score is the smoothed label rate; other columns of the documents stay (``score`` and ``predicted`` are replaced), those of the labels aren't read.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ A bounded sample of labelled rows is learnt from in one task: per-coordinate rat
 weights, whatever the corpus) and applied to whole texts in one Arrow pass without a shuffle.
 
 Rows: null and empty texts get the score of the bias alone; a null id is not held out; repeated rows
-are scored one by one; an empty or one-class training set gives the constant score of its smoothed label rate.
+are scored one by one; a text of any length is scored whole; examples of one id hash are learnt from in the order of label and first features, so ties and repeated rows don't depend
+on partitions; an id with several labels counts with the greatest; an empty table gives no rows, and an empty or one-class training set the constant score of its smoothed label
+rate; other columns of the documents stay (``score`` and ``predicted`` are replaced), those of the labels aren't read.
 """
 
 from __future__ import annotations

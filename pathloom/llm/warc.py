@@ -11,7 +11,8 @@ become one response (largest page id) and revisits that refer to it.  Only narro
 shuffled once, to its shard, where the revisit notes meet it by merge order, not by a join.
 
 Rows: a null html is an empty payload; a null url gives a record without target; null ids sort first, are written without id and
-never are the response that others refer to if any id is there; of repeated rows with the same id and payload, one is the response.  An empty table gives no files.
+never are the response that others refer to if any id is there; of repeated rows with the same id and payload, one is the response.  A payload of any length is one
+record, and other columns aren't read.  An empty table gives no files.
 """
 
 from __future__ import annotations

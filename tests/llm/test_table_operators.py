@@ -306,3 +306,12 @@ def test_vectors_fail_below_the_target(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     with pytest.raises(RuntimeError, match="audit"):
         vector_dedup.link(df, vector_dedup.VectorParams(k=1, tables=1, rounds=0, leaf=2, block=2, target=1.01, max_seedings=1))
+
+
+def test_warc_of_a_very_long_page(spark):
+    long = "<p>" + "lorem ipsum \u00e4 " * 300_000
+    df = spark.createDataFrame([(1, "http://a.b/", long, "x", "y"), (2, "http://a.b/2", long, None, None), (3, None, "short", "x", "y")], "page_id long, url string, html string, record string, shard string")
+    found = {r["page_id"]: r for r in warc.query(df).collect()}
+    digest = hashlib.sha1(long.encode()).hexdigest()
+    assert [(found[k]["payload_bytes"], found[k]["payload_digest"]) for k in (1, 2)] == [(len(long.encode()), digest)] * 2
+    assert (found[1]["record_type"], found[1]["refers_to"], found[2]["record_type"], found[3]["record_type"]) == ("revisit", 2, "response", "response")
