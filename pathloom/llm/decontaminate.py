@@ -4,7 +4,8 @@ Test items are partitioned by the size of their set of distinct five-word shingl
 every shingle is looked up in the whole document, so none is missed.  In any other partition ``c``, with
 sizes below ``2u``, a document is seen as windows of two neighbouring runs of ``2u`` shingles, so any contiguous
 copy of an item lies within one window of like size, however long the document is.  Items and windows get
-one-permutation MinHash signatures; a window whose minimum agrees with an item's in any bin makes the
+one-permutation MinHash signatures, with a bin for every four shingles of a window (64 bins at least), so that a shared shingle is its window's minimum
+in one of four cases even where an item's sentences are scattered over a long document; a window whose minimum agrees with an item's in any bin makes the
 document a candidate for that item, and the candidate stands if the document's set of shingles (words,
 not hashes) holds at least ``threshold`` of the item's.
 
@@ -40,6 +41,7 @@ FEW, LOW = 16, 1 << 20
 class DecontaminationParams:
     threshold: float = 0.75
     words: int = 5
+    #: at least; items of 128 shingles or more have more
     bins: int = 64
     block_bytes: int = 16 << 20
 
@@ -58,7 +60,7 @@ class ItemIndex:
     params: DecontaminationParams
     ids: list = field(default_factory=list)
     sets: list = field(default_factory=list)
-    #: partition: (run length, sorted minima, their items)
+    #: partition: (run length, bins, sorted minima, their items)
     parts: dict = field(default_factory=dict)
     #: of items of few shingles: sorted hashes, their items, and by item how many must be shared
     few: tuple = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -88,8 +90,9 @@ class ItemIndex:
                 self.need[k] = params.threshold * len(own)
                 continue
             part = int(np.log2(len(own)))
-            low = np.full(params.bins, MAX, np.uint64)
-            np.minimum.at(low, cls.bin_of(own, params.bins), own)
+            bins = cls.bins(part, params)
+            low = np.full(bins, MAX, np.uint64)
+            np.minimum.at(low, cls.bin_of(own, bins), own)
             found.setdefault(part, []).extend((int(v), k) for v in low[low != MAX])
         if few:
             own, k = (np.concatenate(x) for x in zip(*few))
@@ -98,9 +101,13 @@ class ItemIndex:
             self.maybe[(own & tk.U64(LOW - 1)).astype(np.int64)] = True
         for part, pairs in found.items():
             pairs.sort()
-            self.parts[part] = (2 << part, np.array([v for v, _ in pairs], np.uint64), np.array([k for _, k in pairs], np.int64))
+            self.parts[part] = (2 << part, cls.bins(part, params), np.array([v for v, _ in pairs], np.uint64), np.array([k for _, k in pairs], np.int64))
         return self
 
+    @staticmethod
+    def bins(part: int, params: DecontaminationParams) -> int:
+        return max(params.bins, 1 << part)
+
     @staticmethod
     def bin_of(h: np.ndarray, bins: int) -> np.ndarray:
         # middle bits: the minimum within a bin is then independent of the bin
@@ -108,7 +115,7 @@ class ItemIndex:
 
     def candidates(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, item) of every signature agreement, and of every item of few shingles that shares enough of them."""
-        n_rows, bins = len(offsets) - 1, self.params.bins
+        n_rows = len(offsets) - 1
         h, rows = tk.shingles(*tk.words(flat, offsets), n_rows, self.params.words)
         if not len(h):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -119,12 +126,16 @@ class ItemIndex:
             out_items.append(k)
         count = np.bincount(rows, minlength=n_rows)
         place = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
-        slot = self.bin_of(h, bins)
-        for run, minima, items in self.parts.values():
-            runs = -(-count // run)
+        for run, bins, minima, items in self.parts.values():
+            # a row of fewer shingles can't hold enough of any item here; so the signatures' size is in proportion to the text
+            enough = count >= self.params.threshold * (run // 2)
+            runs = np.where(enough, -(-count // run), 0)
+            if not runs.any():
+                continue
+            own = enough[rows]
             base = np.cumsum(runs) - runs
             low = np.full(int(runs.sum()) * bins, MAX, np.uint64)
-            np.minimum.at(low, (base[rows] + place // run) * bins + slot, h)
+            np.minimum.at(low, (base[rows[own]] + place[own] // run) * bins + self.bin_of(h[own], bins), h[own])
             low = low.reshape(-1, bins)
             owner = np.repeat(np.arange(n_rows), runs)
             # a window is a run and the next one of the same row; the last run of a row is a window of its own

@@ -389,3 +389,32 @@ def test_decontamination_of_scattered_copies(spark):
     expected = {(d, i) for d, t in docs for i, x in items if len(shingle_set(t) & shingle_set(x)) >= 0.75 * len(shingle_set(x))}
     assert found <= expected and {(k, k) for k in range(0, 60, 2)} <= found
     assert len(found) >= 0.9 * len(expected), (len(found), len(expected))
+
+
+def test_decontamination_of_large_scattered_items(spark):
+    """Long items of which each sentence of 25 words stands far from the next one."""
+    rng = random.Random(53)
+    text = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    items, docs = [], []
+    for k in range(24):
+        item = text([500, 1200, 3000][k % 3])
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(w for a in range(0, len(item), 25) for w in item[a : a + 25] + text(200))))
+    docs += [(100 + k, " ".join(text(n))) for k, n in enumerate([3, 40, 300, 5000])] + [(200, items[0][1][: len(items[0][1]) // 2])]
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(k, k) for k in range(24)}
+
+
+def test_suffix_dedup_of_so_many_words(spark):
+    """Repeated runs of fewer words than ``min_words`` stay, and so does the length of a text that loses nothing."""
+    rng = random.Random(54)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    many, few = " ".join(word(4) for _ in range(60)), " ".join(word(11) for _ in range(25))
+    alone = lambda: "-".join(word(6) for _ in range(20))
+    own = [(1, f"{alone()} {many} {alone()}", 7), (2, f"{alone()} {many}", 7), (3, f"{alone()} {few} {alone()}", 7), (4, f"{few} {alone()}", 7), (5, f"{few} {alone()} {many}", 7), (6, None, 7)]
+    docs = spark.createDataFrame(own, "doc_id long, text string, n_chars long")
+    left = {r["doc_id"]: (r["text"], r["n_chars"]) for r in suffix_dedup.remove(docs, suffix_dedup.DedupParams(length=250, min_words=51)).collect()}
+    assert {i: v for i, v in left.items() if i in (3, 4, 6)} == {i: (t, n) for i, t, n in own if i in (3, 4, 6)}
+    for i, t, _ in own:
+        if i in (1, 2, 5):
+            assert many[20:-20] not in left[i][0] and left[i][1] == len(left[i][0]) and (few in left[i][0]) == (i == 5)
