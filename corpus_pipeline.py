@@ -14,8 +14,9 @@ from pathloom.llm.scratch import Scratch
 
 
 #: Bytes from which a repeated string is a passage that goes: 50 words of four letters and a blank.  The operator's own default of 400 is its query's contract;
-#: here it would leave most passages of 50 to 60 words, which have about 280 to 400 bytes.
-PASSAGE_BYTES = 250
+#: here it would leave most passages of 50 to 60 words, which have about 280 to 400 bytes.  Of the strings so long those of over 50 words are passages;
+#: a shorter phrase of long words stays.
+PASSAGE_BYTES, PASSAGE_WORDS = 250, 51
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +30,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings of ``PASSAGE_BYTES`` that occur more than once are cut from the texts; a text that loses all of itself is gone."""
-    return suffix_dedup.remove(docs, suffix_dedup.DedupParams(length=PASSAGE_BYTES))
+    """Repeated runs of ``PASSAGE_BYTES`` and ``PASSAGE_WORDS`` or more are cut from the texts; a text that loses all of itself is gone."""
+    return suffix_dedup.remove(docs, suffix_dedup.DedupParams(length=PASSAGE_BYTES, min_words=PASSAGE_WORDS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

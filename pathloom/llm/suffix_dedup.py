@@ -39,6 +39,8 @@ class DedupParams:
     group_limit: int = 20_000
     #: bytes that multikey quicksort looks at before blind tries take over
     shallow: int = 32
+    #: a maximal repeated run that touches fewer words stays in its text
+    min_words: int = 0
 
 
 # ---- deep-shallow sorting ------------------------------------------------------------------------------------------------
@@ -301,8 +303,8 @@ def _contexts(texts: DataFrame, wanted: DataFrame, p: DedupParams) -> DataFrame:
     return texts.join(wanted, "key").select("text", "runs").mapInArrow(run, "h long, ctx binary, d int, data binary")
 
 
-def _cut(texts: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
-    """key, n_removed, n_spans, kept_sha256 and, if asked for, what is left as text (bytes of a cut character go) of the texts with spans."""
+def _cut(texts: DataFrame, spans: DataFrame, with_text: bool, min_words: int = 0) -> DataFrame:
+    """key, n_removed, n_spans, kept_sha256 and, if asked for, what is left as text (bytes of a cut character go) of the texts with spans of ``min_words``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,7 +313,7 @@ def _cut(texts: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
             cut = lists.offsets.to_numpy() - lists.offsets.to_numpy()[0]
             own = lists.flatten()
             s, e = own.field("s").to_numpy(), own.field("e").to_numpy()
-            removed, spans, sha, kept_text = [], [], [], []
+            lose, removed, spans, sha, kept_text = [], [], [], [], []
             for r in range(batch.num_rows):
                 order = np.argsort(s[cut[r] : cut[r + 1]], kind="stable")
                 a, b = s[cut[r] : cut[r + 1]][order], e[cut[r] : cut[r + 1]][order]
@@ -319,18 +321,22 @@ def _cut(texts: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
                 new = np.concatenate([[True], a[1:] > reach[:-1]])
                 a, b = a[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]
                 data, parts, at = flat[offsets[r] : offsets[r + 1]].tobytes(), [], 0
-                for x, y in zip(a.tolist(), b.tolist()):
+                gone = [(x, y) for x, y in zip(a.tolist(), b.tolist()) if not min_words or len(data[x:y].split()) >= min_words]
+                if not gone:
+                    continue
+                for x, y in gone:
                     parts.append(data[at:x])
                     at = y
                 parts.append(data[at:])
                 left = b"".join(parts)
+                lose.append(r)
                 removed.append(len(data) - len(left))
-                spans.append(len(a))
+                spans.append(len(gone))
                 sha.append(hashlib.sha256(left).hexdigest())
                 if with_text:
                     kept_text.append(b"".join(x.decode("utf-8", "ignore").encode() for x in parts).decode())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), *([pa.array(kept_text, pa.string())] if with_text else [])],
+                [batch.column(0).take(pa.array(lose, pa.int64())), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), *([pa.array(kept_text, pa.string())] if with_text else [])],
                 names=["key", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])],
             )
 
@@ -376,7 +382,7 @@ def _repeats(texts: DataFrame, scratch: Scratch, p: DedupParams, with_text: bool
     many = run.select("h", "ctx", "key", "x0", "m").join(found.where("n > 1").select("h", "ctx"), ["h", "ctx"]).select("key", F.col("x0").alias("s"), (F.col("x0") + F.col("m") - 1 + p.length).alias("e"))
     copied = texts.where("copies > 1").select("key", F.lit(0).cast("long").alias("s"), F.octet_length("text").cast("long").alias("e"))
     spans = single.unionByName(many).unionByName(copied).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return Scratch(spark, "suffix-dedup-result").table(_cut(texts, spans, with_text), "texts")
+    return Scratch(spark, "suffix-dedup-result").table(_cut(texts, spans, with_text, p.min_words), "texts")
 
 
 def query(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:

@@ -1,5 +1,6 @@
 """The pipeline's stages, each against brute force on what the stage before kept."""
 
+import itertools
 import random
 import zlib
 
@@ -10,6 +11,17 @@ from test_text_operators import brute_components, brute_repeats, shingle_set
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
+def passages(text, cover, words):
+    """``cover`` without its runs of fewer words."""
+    out, at = bytearray(len(text)), 0
+    for gone, own in itertools.groupby(cover):
+        n = len(list(own))
+        if gone and len(text[at : at + n].split()) >= words:
+            out[at : at + n] = b"\1" * n
+        at += n
+    return out
+
+
 def build(spark, folder):
     rng = random.Random(12)
     word = lambda: f"w{rng.randrange(4000)}"
@@ -22,15 +34,17 @@ def build(spark, folder):
     short = [text(51 + 3 * k) for k in range(4)]
     docs += [(450 + k, text(70) + " " + short[k % 4] + " " + text(40 + k)) for k in range(12)]
     docs += [(430 + k, text(300) + " " + items[k] + " " + text(100)) for k in range(4)]
+    phrase = " ".join(word() + "longer" for _ in range(40))
+    docs += [(470 + k, f"{text(60)} {phrase} {text(50)}") for k in range(2)]
     docs += [(440, None), (441, ""), (442, text(9000))]
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
-    return docs, items, short
+    return docs, items, short, phrase
 
 
 def test_stages(spark, tmp_path):
-    docs, items, short = build(spark, str(tmp_path))
+    docs, items, short, phrase = build(spark, str(tmp_path))
     first = spark.read.parquet(f"{tmp_path}/documents.parquet")
     columns, before = first.columns, {i: t for i, t in docs}
     kept = [before]
@@ -49,7 +63,9 @@ def test_stages(spark, tmp_path):
     assert set(near) == {c for _, _, c in brute_components(sorted(toxic.items()))}
     ids = sorted(near)
     texts = [(near[i] or "").encode() for i in ids]
-    left = {i: bytes(x for x, m in zip(b, c) if not m).decode() for i, b, c in zip(ids, texts, brute_repeats(texts, corpus_pipeline.PASSAGE_BYTES)) if not (b and all(c))}
+    cover = [passages(b, c, corpus_pipeline.PASSAGE_WORDS) for b, c in zip(texts, brute_repeats(texts, corpus_pipeline.PASSAGE_BYTES))]
+    left = {i: bytes(x for x, m in zip(b, c) if not m).decode() for i, b, c in zip(ids, texts, cover) if not (b and all(c))}
+    assert phrase in left[470] and phrase in left[471]
     assert {i: t or "" for i, t in cut.items()} == left
     assert all(len(x.encode()) < 400 for x in short) and not any(x in (t or "") for t in cut.values() for x in short)
     hit = {i for i, t in cut.items() if any(len(shingle_set(q) & shingle_set(t)) >= 0.75 * len(shingle_set(q)) for q in items)}
@@ -72,7 +88,7 @@ def test_stages(spark, tmp_path):
 
 def test_stages_odd_rows(spark, tmp_path):
     """Nulls in every column, repeated rows, an id with two texts, columns whose names the operators use themselves; then no rows at all."""
-    docs, _, _ = build(spark, str(tmp_path))
+    docs, *_ = build(spark, str(tmp_path))
     names = ["key", "row", "runs", "kept", "score", "predicted", "class", "root", "row_key", "shard", "component_id"]
     rows = [(i, t, "en", None if i % 2 else "s", None, *("x" for _ in names)) for i, t in docs[1:60:5]]
     rows += [rows[0]] * 3 + [(rows[1][0], rows[2][1], *rows[1][2:]), (None, rows[3][1], *[None] * (3 + len(names))), (None, None, *[None] * (3 + len(names))), (7001, "", "en", "s", 0, *names), (7002, " \n ", "en", "s", 3, *names)]
