@@ -8,7 +8,8 @@
 4. Listed pairs of cosine >= ``threshold`` are links, and these give components.  A saturated list (every entry a link) has no room for more, so classes
    with one look in new tables for links to saturated classes of other components (a list that isn't saturated holds its links to both), until a round finds none.
 5. What saturated lists leave out within a component: its lists are enlarged to the whole component, all its pairs are compared, in blocks of ``block``,
-   and counted without being listed.
+   and counted without being listed.  A component of several tiles is compared by tiles first: the angle between two tiles' means and the tiles' radii tell of most that all
+   of their pairs are links, or none, and only the other tiles' vectors meet.
 6. Audit: for a bounded set of queries, all links by brute force over the whole table; if under ``target`` of them are within components,
    the graph is seeded with twice the tables and refined again; if they still are after ``max_seedings``, the run fails.
 
@@ -39,7 +40,7 @@ class VectorParams:
     k: int = 8
     leaf: int = 128
     block: int = 512
-    #: rows of a component that travel together when all its pairs are compared: each row is sent to every such tile of its component
+    #: rows of a component that travel together when its pairs are compared: each row is sent to the tiles that the bounds leave open
     tile: int = 2048
     #: classes of one bucket beyond which it is split by hash, so that a group of any size is spread over tasks
     bucket_rows: int = 32_768
@@ -192,7 +193,7 @@ def _bridged(graph: DataFrame, v: DataFrame, links: DataFrame, roots: DataFrame,
         roots = scratch.table(components(links, scratch), f"roots-{name}-{k}")
 
 
-def _complete(v: DataFrame, roots: DataFrame, p: VectorParams) -> DataFrame:
+def _complete(v: DataFrame, roots: DataFrame, scratch: Scratch, name: int, p: VectorParams) -> DataFrame:
     """(c, links): the weight of the classes linked with each class of a component, all pairs compared in blocks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,14 +213,48 @@ def _complete(v: DataFrame, roots: DataFrame, p: VectorParams) -> DataFrame:
                     links[right] += hit.T @ weight[i]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links)], names=["c", "links"])
 
-    size = roots.groupBy("root").agg(F.ceil(F.count("*") / p.tile).alias("blocks"))
-    member = roots.join(size, "root").join(v.select("c", "w", "vec"), F.col("node") == F.col("c")).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")))
-    # a block meets every block: as the smaller number of the pair, or the larger
-    dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "c", "w", "vec"
-    )
+    size = scratch.table(roots.groupBy("root").agg(F.ceil(F.count("*") / p.tile).alias("blocks")), f"tiles-{name}")
+    member = roots.join(size, "root").join(v.select("c", "w", "vec"), F.col("node") == F.col("c")).select("root", "blocks", F.pmod(F.xxhash64("c"), F.col("blocks")).alias("own"), "c", "w", "vec")
+    zero = F.lit(0).cast("long")
+    dealt, granted = member.where("blocks = 1").select("root", zero.alias("x"), zero.alias("y"), "own", "c", "w", "vec"), None
+    large = member.where("blocks > 1")
+    if not size.where("blocks > 1").isEmpty():
+        pairs = scratch.table(_tile_pairs(large, p), f"tile-pairs-{name}")
+        met, whole = pairs.where("fate = 'open'"), pairs.where("fate = 'all'")
+        sides = met.select("root", "x", "y", F.col("x").alias("own")).unionByName(met.where("x < y").select("root", "x", "y", F.col("y").alias("own")))
+        dealt = dealt.unionByName(large.drop("blocks").join(sides, ["root", "own"]).select("root", "x", "y", "own", "c", "w", "vec"))
+        given = whole.select("root", F.col("x").alias("own"), F.col("wy").alias("links"), (F.col("x") == F.col("y")).cast("long").alias("self"))
+        given = given.unionByName(whole.where("x < y").select("root", F.col("y").alias("own"), F.col("wx").alias("links"), zero.alias("self")))
+        given = given.groupBy("root", "own").agg(F.sum("links").alias("links"), F.sum("self").alias("self"))
+        granted = large.select("root", "own", "c", "w").join(given, ["root", "own"]).select("c", (F.col("links") - F.col("self") * F.col("w")).alias("links"))
     dealt = dealt.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "c")
-    return dealt.mapInArrow(count, "c long, links long").groupBy("c").agg(F.sum("links").alias("links"))
+    counted = dealt.mapInArrow(count, "c long, links long")
+    return (counted if granted is None else counted.unionByName(granted)).groupBy("c").agg(F.sum("links").alias("links"))
+
+
+def _tile_pairs(member: DataFrame, p: VectorParams) -> DataFrame:
+    """(root, x, y, wx, wy, fate) of the pairs x <= y of a component's tiles; what the triangle inequality of angles leaves undecided is open."""
+
+    def ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, a, b in grouped(batches, ["root", "own"], 1 << 16):
+            x, rows = matrix(batch, a, b), batch.slice(a, b - a)
+            mean = x.mean(0)
+            center = mean / np.linalg.norm(mean) if np.linalg.norm(mean) > 1e-6 else x[0]
+            radius = float(np.arccos(np.clip(x @ center, -1, 1)).max())
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("root")[:1], rows.column("blocks")[:1], rows.column("own")[:1], pa.array([center.tolist()], pa.list_(pa.float64())), pa.array([radius]), pa.array([int(rows.column("w").to_numpy().sum())])],
+                names=["root", "blocks", "own", "center", "radius", "weight"],
+            )
+
+    tiles = member.repartition("root", "own").sortWithinPartitions("root", "own").select("root", "blocks", "own", "w", "vec").mapInArrow(ball, "root long, blocks long, own long, center array<double>, radius double, weight long")
+    left = tiles.select("root", F.col("own").alias("x"), F.col("center").alias("cx"), F.col("radius").alias("rx"), F.col("weight").alias("wx"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"))
+    right = tiles.select("root", F.col("own").alias("y"), F.col("center").alias("cy"), F.col("radius").alias("ry"), F.col("weight").alias("wy"))
+    dot = F.aggregate(F.zip_with("cx", "cy", lambda a, b: a * b), F.lit(0.0), lambda s, a: s + a)
+    angle = F.when(F.col("x") == F.col("y"), 0.0).otherwise(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))
+    # angles near zero are exact to about 1e-8
+    theta, slack = float(np.arccos(p.threshold)), 1e-6
+    fate = F.when(angle + F.col("rx") + F.col("ry") <= theta - slack, "all").when(angle - F.col("rx") - F.col("ry") > theta + slack, "none").otherwise("open")
+    return left.join(right, ["root", "y"]).select("root", "x", "y", "wx", "wy", fate.alias("fate"))
 
 
 def _recall(v: DataFrame, roots: DataFrame, p: VectorParams, total: int) -> float:
@@ -286,7 +321,7 @@ def link_audited(vectors: DataFrame, params: VectorParams = VectorParams()) -> t
             break
     else:
         raise RuntimeError(f"the audit finds {recall:.4f} of the links within components after {p.max_seedings} seedings, under {p.target}")
-    counted = _complete(v, roots, p)
+    counted = _complete(v, roots, scratch, name, p)
     least = v.select("c", "least").join(roots, F.col("c") == F.col("node")).groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = v.select("c", "label", "vec", "w", "least").join(roots, F.col("c") == F.col("node"), "left").join(least, "root", "left").join(counted, "c", "left").select(
         "label", "vec", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")

@@ -160,7 +160,7 @@ def test_vectors(spark):
         ids = [own[b][0] for b in np.flatnonzero(reach[a]) if own[b][0] is not None]
         c = min(ids) if ids else None
         expected.append((own[a][0], int(links[a].sum()), c, own[a][0] == c))
-    for p in (vector_dedup.VectorParams(), vector_dedup.VectorParams(block=8, k=3)):
+    for p in (vector_dedup.VectorParams(), vector_dedup.VectorParams(block=8, k=3), vector_dedup.VectorParams(block=8, k=3, tile=4)):
         assert sorted((tuple(r) for r in vector_dedup.link(df, p).collect()), key=str) == sorted(expected, key=str)
     assert vector_dedup.link(df.where("false")).count() == 0
 
@@ -315,3 +315,29 @@ def test_warc_of_a_very_long_page(spark):
     digest = hashlib.sha1(long.encode()).hexdigest()
     assert [(found[k]["payload_bytes"], found[k]["payload_digest"]) for k in (1, 2)] == [(len(long.encode()), digest)] * 2
     assert (found[1]["record_type"], found[1]["refers_to"], found[2]["record_type"], found[3]["record_type"]) == ("revisit", 2, "response", "response")
+
+
+def test_vectors_of_components_of_several_tiles(spark):
+    """A tight group with repeated rows, and a chain along a circle whose ends are far apart: counts from tiles' bounds are those of all pairs."""
+    rng = np.random.default_rng(61)
+    tight = np.eye(24)[0] + 0.01 * rng.standard_normal((150, 24))
+    turn = np.arange(120) * 0.05
+    chain = np.zeros((120, 24))
+    chain[:, 1], chain[:, 2] = np.cos(turn), np.sin(turn)
+    x = np.concatenate([tight, tight[:40], chain]).astype(np.float32)
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = (y @ y.T >= 0.93).sum(1) - 1
+    df = spark.createDataFrame([(k, [float(v) for v in x[k]], 0) for k in range(len(x))], "vec_id long, embedding array<float>, label int")
+    found = vector_dedup.link(df, vector_dedup.VectorParams(tile=16)).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in found} == {(k, int(links[k]), 0 if k < 190 else 190) for k in range(len(x))}
+
+
+def test_tile_bounds(spark):
+    """A tile of its own direction decides pairs with tight ones; wide ones stay open."""
+    axis = np.eye(8)
+    tiles = [axis[0] + 0.01 * axis[2], axis[0] - 0.01 * axis[2]], [axis[0] + 0.02 * axis[3], axis[0]], [axis[1], axis[1] + 0.01 * axis[2]], [axis[0], axis[1]]
+    rows = [(7, 4, k, 10 * k + i, 1 + i, [float(a) for a in v]) for k, own in enumerate(tiles) for i, v in enumerate(own)]
+    member = spark.createDataFrame(rows, "root long, blocks long, own long, c long, w long, vec array<float>")
+    found = {(r["x"], r["y"]): (r["fate"], r["wx"], r["wy"]) for r in vector_dedup._tile_pairs(member, vector_dedup.VectorParams()).collect()}
+    fate = {(0, 0): "all", (0, 1): "all", (1, 1): "all", (2, 2): "all", (0, 2): "none", (1, 2): "none", (0, 3): "open", (1, 3): "open", (2, 3): "open", (3, 3): "open"}
+    assert found == {k: (v, 3, 3) for k, v in fate.items()}
