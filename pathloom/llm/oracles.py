@@ -52,3 +52,20 @@ left_ AS (SELECT r, string_agg(substr(x, 2 * p.a + 1, 2 * (p.b - p.a)), '' ORDER
 c AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM s GROUP BY r)
 SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
 FROM t LEFT JOIN c USING (r) LEFT JOIN left_ USING (r)"""
+
+DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS t FROM d),
+k AS (SELECT lang, t FROM o GROUP BY lang, t HAVING count(DISTINCT r) >= 30), v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang), g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, t, count(*) AS n FROM o SEMI JOIN k USING (lang, t) GROUP BY lang, source, t),
+x AS (SELECT g.lang, g.source, k.t, coalesce(n, 0) AS n FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t),
+p AS (SELECT x.lang, source, t, n, 1 + (1000000000 * CAST(n + 5 AS HUGEINT)) // (sum(n) OVER (PARTITION BY x.lang, source) + 5 * v) AS p FROM x JOIN v ON x.lang = v.lang),
+y AS (SELECT lang, t, sum(n) AS n FROM x GROUP BY lang, t),
+q AS (SELECT y.lang, t, 1 + (1000000000 * CAST(n + 5 AS HUGEINT)) // (sum(n) OVER (PARTITION BY y.lang) + 5 * v) AS q FROM y JOIN v ON y.lang = v.lang),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT p.lang, source, 'term', p.t, CAST(p - q AS BIGINT) FROM p JOIN q ON p.lang = q.lang AND p.t = q.t WHERE n > 0 AND p > q),
+z AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+SELECT lang, source, part, item, value, rank FROM z WHERE part = 'pair' OR rank <= 50"""

@@ -73,6 +73,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.query(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import divergence
+
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secret_scan
 
@@ -84,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": oracles.WARC, "op3_suffix_dedup": oracles.SUFFIX_DEDUP, "op4_vector_dedup": oracles.VECTOR_DEDUP, "op5_decontamination": oracles.DECONTAMINATION, "op6_ngram_join": oracles.NGRAM_JOIN}
+    return {"op1_warc": oracles.WARC, "op3_suffix_dedup": oracles.SUFFIX_DEDUP, "op4_vector_dedup": oracles.VECTOR_DEDUP, "op5_decontamination": oracles.DECONTAMINATION, "op6_ngram_join": oracles.NGRAM_JOIN, "op11_source_divergence": oracles.DIVERGENCE}
