@@ -47,7 +47,7 @@ class DivergenceParams:
     least_cells: int = 1 << 16
     most_cells: int = 1 << 28
     #: rows that a task gathers before it sums and sends them
-    held_rows: int = 1_500_000
+    held_rows: int = 300_000
 
 
 def terms(flat: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -99,8 +99,11 @@ def sketch(docs: DataFrame, p: DivergenceParams, cells: int) -> DataFrame:
         where, much, held = [], [], 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            cell, back = np.unique(np.concatenate(where), return_inverse=True)
-            n = np.minimum(np.bincount(back, weights=np.concatenate(much)), p.min_docs).astype(np.uint8)
+            every, own = np.concatenate(where), np.concatenate(much)
+            order = np.argsort(every, kind="stable")
+            every, own = every[order], own[order]
+            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            cell, n = every[first].astype(np.int64), np.minimum(np.add.reduceat(own, first), p.min_docs).astype(np.uint8)
             cut = np.searchsorted(cell, np.arange(int(cell[0]) // BLOCK, int(cell[-1]) // BLOCK + 2) * BLOCK)
             for k, (a, b) in enumerate(zip(cut[:-1], cut[1:]), int(cell[0]) // BLOCK):
                 if a < b:  # places and counts of the cells that aren't zero
@@ -112,12 +115,13 @@ def sketch(docs: DataFrame, p: DivergenceParams, cells: int) -> DataFrame:
         for batch in batches:
             for langs, words, lang, code, own, _ in _document_terms(batch, ["lang"]):
                 for cell in _cells(words, lang, langs, code, p, cells):
-                    where.append(cell)
-                    much.append(own)
+                    where.append(cell.astype(np.int32))
+                    much.append(np.minimum(own, p.min_docs).astype(np.int32))
                     held += len(cell)
-                if held > 4 * p.held_rows:
+                if held > 8 * p.held_rows:
                     yield batch_of(list(send()))
                     where, much, held = [], [], 0
+            tk.give_back()
         if held:
             yield batch_of(list(send()))
         tk.give_back()
@@ -175,6 +179,7 @@ def counts(docs: DataFrame, p: DivergenceParams, cells: int, bits: np.ndarray) -
                 held = [summed(held)]
                 if held[0].num_rows > p.held_rows // 2:
                     yield from send(held.pop())
+            tk.give_back()
         if held:
             yield from send(summed(held))
         tk.give_back()
