@@ -25,10 +25,12 @@ def measure(spark: SparkSession, graph: str, grammar: str, algo: str, rounds: in
     """Rows of the algorithm's CSV layout."""
     kind, run = ALGORITHMS[algo]
     text = Path(grammar).read_text() if Path(grammar).exists() else grammar
-    q = PathQuery(Graph.from_text(spark, graph), text)
+    # a query object keeps its facts, so each measurement has one of its own
+    fresh = lambda: PathQuery(Graph.from_text(spark, graph), text)
     times, n = [], 0
     if kind in ("index", "singlepaths"):
         for _ in range(rounds):
+            q = fresh()
             began = time.perf_counter()
             found = run(q)
             n = found.count()
@@ -37,12 +39,14 @@ def measure(spark: SparkSession, graph: str, grammar: str, algo: str, rounds: in
             return [(graph, grammar, r["length"], statistics.fmean(times)) for r in found.groupBy("length").count().collect()]
         return [(graph, grammar, statistics.fmean(times), n, statistics.variance(times) if rounds > 1 else None)]
     if kind == "allpaths":
+        q = fresh()
         began = time.perf_counter()
         n = run(q, q.reach(), max_len).agg(F.sum("n_paths")).first()[0] or 0
         return [(graph, grammar, n, time.perf_counter() - began)]
-    rows, size = [], q.graph.vertex_count()
+    rows, size = [], fresh().graph.vertex_count()
     for chunk in [c for c in chunks if c < size] + [size]:
         for k in range(0, size, chunk):
+            q = fresh()
             began = time.perf_counter()
             n = run(q, spark.range(k, min(k + chunk, size)).toDF("v")).count()
             rows.append((graph, grammar, chunk, time.perf_counter() - began, n))

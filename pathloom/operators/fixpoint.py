@@ -33,13 +33,16 @@ KEY = ["sym", "src", "dst"]
 @dataclass(frozen=True)
 class Strategy:
     """``local_edges``: edges of a part that one task may solve; ``local_facts``: facts at which it gives up.  ``broadcast_bytes``: measured size up to which a round's
-    facts are broadcast.  ``direct_facts``: known facts up to which a round's finds are compared with all of them at once, without being written and measured first."""
+    facts are broadcast.  ``direct_facts``: known facts up to which a round's finds are compared with all of them at once, without being written and measured first.
+    ``square_after``: rounds by steps of a regular language before powers may take over; ``power_factor``: pairs of a power, against facts and edges, up to which they do."""
 
     local_edges: int = 100_000
     local_facts: int = 3_000_000
     broadcast_bytes: int = 32 << 20
     direct_facts: int = 2_000_000
     max_rounds: int = 100_000
+    square_after: int = 8
+    power_factor: int = 4
 
 
 @dataclass

@@ -11,6 +11,8 @@ from .fixpoint import small_table
 from .rounds import Scratch
 
 RULES = "sym int, r1 int, r2 int"
+#: counts grow exponentially with the length of walks; more than 38 digits fail
+COUNT = "decimal(38,0)"
 
 
 def derivations(facts: DataFrame, program: Program, within: DataFrame | None = None) -> DataFrame:
@@ -69,15 +71,15 @@ def walks(edges: DataFrame, need: DataFrame, ways: DataFrame, program: Program,
 
 
 def derivation_counts(edges: DataFrame, need: DataFrame, ways: DataFrame, program: Program, max_len: int, scratch: Scratch) -> DataFrame:
-    """(sym, src, dst, length, n): number of derivations by length, for lengths under ``max_len``."""
-    base = _terminal(need, edges, program).groupBy("sym", "src", "dst").agg(F.lit(1).cast("long").alias("length"), F.lit(1).cast("long").alias("n"))
+    """(sym, src, dst, length, n): number of derivations by length, for lengths under ``max_len``, as decimals; a length that no fact has ends nothing, lengths may have gaps."""
+    base = _terminal(need, edges, program).groupBy("sym", "src", "dst").agg(F.lit(1).cast("long").alias("length"), F.count("*").cast(COUNT).alias("n"))
     found = scratch.table(base.where(F.lit(max_len) > 1), "counts-1")
     paths = [scratch.path("counts-1")]
     for k in range(2, max_len):
         l = found.select(F.col("sym").alias("r1"), "src", F.col("dst").alias("mid"), F.col("length").alias("n1"), F.col("n").alias("c1"))
         r = found.select(F.col("sym").alias("r2"), F.col("src").alias("mid"), "dst", F.col("length").alias("n2"), F.col("n").alias("c2"))
         both = ways.join(l, ["r1", "src", "mid"]).withColumn("n2", k - F.col("n1")).join(r, ["r2", "mid", "dst", "n2"])
-        both = both.groupBy("sym", "src", "dst").agg(F.lit(k).cast("long").alias("length"), F.sum(F.col("c1") * F.col("c2")).alias("n"))
+        both = both.groupBy("sym", "src", "dst").agg(F.lit(k).cast("long").alias("length"), F.sum((F.col("c1") * F.col("c2")).cast(COUNT)).cast(COUNT).alias("n"))
         scratch.table(both, f"counts-{k}")
         paths.append(scratch.path(f"counts-{k}"))
         found = edges.sparkSession.read.schema(base.schema).parquet(*paths)
@@ -94,7 +96,7 @@ def count_walks(edges: DataFrame, automaton: RecursiveAutomaton, pairs: DataFram
     wanted = pairs.select("src", "dst").distinct()
     step = edges.select("src", "label", "dst").distinct()
     (start,) = box.starts
-    front = wanted.select("src").distinct().select("src", F.lit(start).alias("q"), F.col("src").alias("v"), F.lit(1).cast("long").alias("n"))
+    front = wanted.select("src").distinct().select("src", F.lit(start).alias("q"), F.col("src").alias("v"), F.lit(1).cast(COUNT).alias("n"))
     paths = []
     for k in range(1, max_len):
         # moves into states from which no final one can be reached within the bound are left out
@@ -103,12 +105,12 @@ def count_walks(edges: DataFrame, automaton: RecursiveAutomaton, pairs: DataFram
             break
         table = F.broadcast(small_table(spark, moves, "q int, label string, q2 int"))
         ahead = front.join(table, "q").join(step.select(F.col("src").alias("v"), "label", "dst"), ["v", "label"])
-        front = scratch.table(ahead.groupBy("src", F.col("q2").alias("q"), F.col("dst").alias("v")).agg(F.sum("n").alias("n")), f"ahead-{k}")
+        front = scratch.table(ahead.groupBy("src", F.col("q2").alias("q"), F.col("dst").alias("v")).agg(F.sum("n").cast(COUNT).alias("n")), f"ahead-{k}")
         paths.append(scratch.path(f"ahead-{k}"))
     if not paths:
-        return wanted.where(F.lit(False)).withColumn("n_paths", F.lit(0).cast("long"))
+        return wanted.where(F.lit(False)).withColumn("n_paths", F.lit(0).cast(COUNT))
     every = spark.read.schema(front.schema).parquet(*paths).where(F.col("q").isin(sorted(box.finals)))
-    return every.groupBy("src", F.col("v").alias("dst")).agg(F.sum("n").alias("n_paths")).join(wanted, ["src", "dst"], "left_semi")
+    return every.groupBy("src", F.col("v").alias("dst")).agg(F.sum("n").cast(COUNT).alias("n_paths")).join(wanted, ["src", "dst"], "left_semi")
 
 
 def witnesses(edges: DataFrame, facts: DataFrame, roots: DataFrame, program: Program, scratch: Scratch, max_rounds: int = 10_000, levels: int = 4) -> DataFrame:

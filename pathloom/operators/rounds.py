@@ -48,3 +48,8 @@ class Scratch:
         for name in names:
             path, fs = self._fs(self.path(name))
             fs.delete(path, True)
+
+    def drop_all_but(self, *names: str) -> None:
+        """Delete every table but these."""
+        folder, fs = self._fs(self.root)
+        self.drop(*(n for f in fs.listStatus(folder) if (n := f.getPath().getName()) not in names))

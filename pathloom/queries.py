@@ -181,13 +181,20 @@ def subgraph_events_anbn(spark, sf_dir):
     return q.subgraph(q.reach())
 
 
+@query(f"""WITH RECURSIVE {_E}, {_S} SELECT src, dst, CAST(count(*) AS BIGINT) AS n_paths FROM s WHERE n < 4 GROUP BY src, dst""")
+def count_paths_unambiguous_events_anbn(spark, sf_dir):
+    """Walks of an unambiguous grammar, counted as derivations without being listed."""
+    q = PathQuery(events_graph(spark, sf_dir), ANBN)
+    return q.count_paths(q.reach(), 8, unambiguous=True).select("src", "dst", F.col("n_paths").cast("long").alias("n_paths"))
+
+
 _HOPS = f"WITH {_SUP}, w AS (SELECT a.src, d.dst, a.dst AS m1, b.dst AS m2, c.dst AS m3 FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src JOIN e d ON c.dst = d.src WHERE a.label = 'in' AND b.label = 'in_r' AND c.label = 'in' AND d.label = 'in_r')"
 
 
 @query(f"{_HOPS} SELECT src, dst, count(*) AS n_paths FROM w GROUP BY src, dst")
 def count_paths_supplier_hops(spark, sf_dir):
     q = PathQuery(supplier_graph(spark, sf_dir), HOPS)
-    return q.count_paths(q.reach(), 5)
+    return q.count_paths(q.reach(), 5).select("src", "dst", F.col("n_paths").cast("long").alias("n_paths"))
 
 
 @query(f"{_HOPS} SELECT src, dst, CAST(4 AS BIGINT) AS length, count(*) AS n FROM w GROUP BY src, dst")
@@ -366,6 +373,17 @@ def rounds_multi_source_events_anbn(spark, sf_dir):
     return PathQuery(whole(spark, sf_dir), ANBN, strategy=ROUNDS).from_sources(sources)
 
 
+@query(ORACLES["rpq_events_view_plus"])
+def powers_rpq_events_view_plus(spark, sf_dir):
+    """Powers of the product graph from the first round on: rounds grow with the logarithm of the longest walk."""
+    return PathQuery(whole(spark, sf_dir), "view +", strategy=Strategy(local_edges=0, square_after=1, power_factor=1_000)).reach()
+
+
+@query(ORACLES["rpq_events_to_purchase"])
+def powers_rpq_events_to_purchase(spark, sf_dir):
+    return PathQuery(whole(spark, sf_dir), "view ( click | view ) * purchase", strategy=Strategy(local_edges=0, square_after=1, power_factor=1_000)).reach()
+
+
 @query(ORACLES["rpq_conversation"])
 def straight_rpq_conversation(spark, sf_dir):
     """No recursion: one plan of joins."""

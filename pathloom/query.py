@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.annotations import REACH, SHORTEST, SINGLE, Annotation
-from .operators import paths
-from .operators.fixpoint import Strategy, Trace, small_table, solve, solve_parts, solve_straight
+from .operators import closure, paths
+from .operators.fixpoint import KEY, Known, Strategy, Trace, small_table, solve, solve_parts, solve_straight
 from .operators.rounds import Scratch
 from .plans.automaton import RecursiveAutomaton
 from .plans.grammar import Grammar
@@ -113,7 +113,22 @@ class PathQuery:
     def reach(self) -> DataFrame:
         """(src, dst) of all pairs that a walk of the language joins."""
         p = self.program()
-        return self._result(self._facts(p, REACH), p, self.start, REACH)
+        return self._result(self._regular(p) if self._by_powers(p) else self._facts(p, REACH), p, self.start, REACH)
+
+    def _by_powers(self, program: Program) -> bool:
+        """Whether the pairs are those of one recursive regular box, on a graph that no task solves."""
+        a = self.language
+        return isinstance(a, RecursiveAutomaton) and a.regular and a.start == self.start and program.recursive and bool(program.labels) and not self._in_tasks(program)
+
+    def _regular(self, program: Program) -> DataFrame:
+        """The start symbol's facts, by steps and powers of the product graph."""
+        if "pairs" not in self._held:
+            edges = self.graph.edges.select("src", "label", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull())
+            scratch, self.trace = Scratch(edges.sparkSession, "query"), Trace()
+            found = closure.pairs(edges, self.language, self.strategy, scratch, self.trace)
+            self._held["pairs"] = scratch.table(found.select(F.lit(program.start).alias("sym"), "src", "dst"), "pairs")
+            scratch.drop_all_but("pairs")
+        return self._held["pairs"]
 
     def reach_all(self, nonterminals: list[str] | None = None) -> DataFrame:
         """(nonterminal, src, dst) of several nonterminals, all by default."""
@@ -191,20 +206,28 @@ class PathQuery:
             found = found.unionByName(empty.select("src", "dst", F.lit(0).cast("long").alias("length"), F.array().cast(kind).alias("path")))
         return found
 
-    def count_paths(self, pairs: DataFrame, max_len: int) -> DataFrame:
-        """(src, dst, n_paths) of the pairs with a walk below the bound; for a regular language the walks are counted without being listed."""
+    def count_paths(self, pairs: DataFrame, max_len: int, unambiguous: bool = False) -> DataFrame:
+        """(src, dst, n_paths) of the pairs with a walk below the bound.
+
+        For a regular language, and for a grammar that the caller knows to be ``unambiguous``, the walks are counted without being listed: by states, or as derivations.  Such counts are
+        decimals of 38 digits, since they grow exponentially with the bound."""
         a = self.language
+        if unambiguous and isinstance(a, Grammar):
+            found = self.count_derivations(pairs, max_len).select("src", "dst", "n")
+            if (empty := self._empty_walks(pairs, a.compile(self.start))) is not None and max_len > 0:
+                found = found.unionByName(empty.select("src", "dst", F.lit(1).cast(paths.COUNT).alias("n")))
+            return found.groupBy("src", "dst").agg(F.sum("n").cast(paths.COUNT).alias("n_paths"))
         if not (isinstance(a, RecursiveAutomaton) and a.start == self.start and a.deterministic):
             return self.all_paths(pairs, max_len).groupBy("src", "dst").agg(F.count("*").alias("n_paths"))
         scratch = Scratch(self.graph.edges.sparkSession, "walk-counts")
         found = paths.count_walks(self.graph.edges, a, pairs, max_len, scratch)
         if a.boxes[a.start].starts & a.boxes[a.start].finals and max_len > 0:
             own = pairs.select("src", "dst").distinct().where(F.col("src") == F.col("dst")).join(self.graph.domain(), F.col("src") == F.col("v"), "left_semi")
-            found = found.unionByName(own.select("src", "dst", F.lit(1).cast("long").alias("n_paths"))).groupBy("src", "dst").agg(F.sum("n_paths").alias("n_paths"))
+            found = found.unionByName(own.select("src", "dst", F.lit(1).cast(paths.COUNT).alias("n_paths"))).groupBy("src", "dst").agg(F.sum("n_paths").cast(paths.COUNT).alias("n_paths"))
         return found
 
     def count_derivations(self, pairs: DataFrame, max_len: int) -> DataFrame:
-        """(src, dst, length, n): derivations of the normalised grammar by length; as many as walks if it is unambiguous."""
+        """(src, dst, length, n): derivations of the normalised grammar by length, as decimals of 38 digits; as many as walks if it is unambiguous."""
         scratch = Scratch(self.graph.edges.sparkSession, "counts")
         p, need, ways = self._beneath(pairs, scratch)
         found = paths.derivation_counts(self.graph.edges, need, ways, p, max_len, scratch)
@@ -228,30 +251,60 @@ class PathQuery:
 
 
 class SourceSession:
-    """Multi-source queries that keep what earlier calls derived: a call solves for the sources that are new only."""
+    """Multi-source queries that keep what earlier calls derived: the facts of all symbols, and what they need.
+
+    A call adds its new sources to those needs and goes on from the facts, so rounds derive only what no earlier call has; sources whose needs an earlier call had on
+    its way cost no round that finds anything.  A graph that tasks solve is solved there for the new sources alone.  Either way only new facts are written, as a few tables of
+    geometrically growing size in the shared folder.
+    """
 
     def __init__(self, query: PathQuery):
         self.query = query
+        self.scratch = Scratch(query.graph.edges.sparkSession, "session")
+        self.calls = 0
         self.reset()
 
     def reset(self, sources_only: bool = False) -> None:
-        """Forget the sources that were solved and, unless ``sources_only``, the pairs."""
+        """Forget the sources that were solved and, unless ``sources_only``, all facts."""
         self.done: DataFrame | None = None
         if not sources_only:
-            self.pairs: DataFrame | None = None
+            self.asked: DataFrame | None = None
+            self.known: Known | None = None
+            #: facts that the last call added
+            self.added: DataFrame | None = None
+
+    def _solve(self, new: DataFrame) -> DataFrame:
+        """The facts that new sources add."""
+        q = self.query
+        program, edges = q.program().restricted(), q.graph.edges
+        if self.known is None:
+            return q._facts(program, REACH, new)
+        if q._in_tasks(program):
+            return q._facts(program, REACH, new).distinct().join(self.known.frame(), KEY, "left_anti")
+        scratch, q.trace = Scratch(edges.sparkSession, "session-rounds"), Trace()
+        none = edges.select("src", "label", "dst").where(F.lit(False))
+        return solve(none, program, REACH, new, q.strategy, scratch, q.trace, known=self.known.frame())
 
     def solve(self, sources: DataFrame) -> DataFrame:
         """(src, dst) of the pairs from ``sources``."""
-        scratch = Scratch(self.query.graph.edges.sparkSession, "session")
-        own = sources.select(F.col(sources.columns[0]).alias("src")).where(F.col("src").isNotNull()).distinct()
+        kind = self.query.graph.edges.schema["src"].dataType
+        own = sources.select(F.col(sources.columns[0]).cast(kind).alias("src")).where(F.col("src").isNotNull()).distinct()
         new = own if self.done is None else own.join(self.done, "src", "left_anti")
-        new = scratch.table(new, "new")
-        if not new.isEmpty():
-            found = scratch.table(self.query.from_sources(new), "pairs")
-            self.pairs = found if self.pairs is None else scratch.table(self.pairs.unionByName(found).distinct(), "all")
-            self.done = new if self.done is None else scratch.table(self.done.unionByName(new), "done")
-        return own.join(self.pairs, "src").select("src", "dst") if self.pairs is not None else self.query.from_sources(own)
+        new = self.scratch.table(new, f"new-{self.calls}")
+        if not new.isEmpty() or self.known is None:
+            name = f"facts-{self.calls}"
+            self.added = self.scratch.table(self._solve(new).select(*KEY), name)
+            self.known = self.known or Known(self.scratch, REACH)
+            self.known.add(name, self.added, self.added.count())
+            self.done = self.scratch.table(new if self.done is None else self.done.unionByName(new), f"done-{self.calls}")
+            self.asked = self.scratch.table(new if self.asked is None else self.asked.unionByName(new).distinct(), f"asked-{self.calls}")
+            self.calls += 1
+        return self._pairs(own)
+
+    def _pairs(self, own: DataFrame) -> DataFrame:
+        p = self.query.program()
+        return self.query._result(self.known.frame(), p, self.query.start, REACH, own).join(own, "src", "left_semi")
 
     def cached(self) -> DataFrame | None:
-        """All pairs that calls have derived so far."""
-        return self.pairs
+        """The pairs of all sources that calls have solved so far, those of before a reset of the sources only included."""
+        return self._pairs(self.asked) if self.known is not None else None

@@ -329,3 +329,79 @@ def test_sessions_forget(spark):
     session.solve(one(0))
     session.reset(sources_only=True)
     assert session.cached().count() == 4 and session.solve(one(1)).count() == 4
+
+
+def test_powers_take_few_rounds(spark):
+    """4,096 edges in a row: as many rounds by steps, and all pairs by powers in the logarithm of that."""
+    n = 4096
+    chain = Graph.from_frame(spark.range(n).selectExpr("id AS src", "'a' AS label", "id + 1 AS dst"))
+    q = PathQuery(chain, "a +", strategy=ROUNDS)
+    found = q.reach()
+    assert found.count() == n * (n + 1) // 2 == found.distinct().count() and found.where("src < dst").count() == n * (n + 1) // 2
+    assert q.rounds <= ROUNDS.square_after + 12 + 2
+
+
+def test_powers_against_one_task(spark):
+    rng = random.Random(12)
+    edges = list({(rng.randrange(12), rng.choice("aabc"), rng.randrange(12)) for _ in range(18)})
+    edges += [(100 + k, "a", 101 + k) for k in range(20)] + [(200 + k, rng.choice("ab"), 200 + (k + 1) % 17) for k in range(17)]
+    g = Graph.from_frame(spark.createDataFrame(edges, "src long, label string, dst long"))
+    regex = "a ( b | a a ) * c ?"
+    want = rows(PathQuery(g, regex).reach())
+    for strategy in (Strategy(0, square_after=1, power_factor=10**6), Strategy(0, square_after=3, power_factor=1, broadcast_bytes=0)):
+        assert rows(PathQuery(g, regex, strategy=strategy).reach()) == want, strategy
+
+
+def test_powers_of_the_golden_graphs(spark):
+    powers = Strategy(local_edges=0, square_after=1, power_factor=100)
+    assert PathQuery(graph(spark, CYCLE), "a +", strategy=powers).reach().count() == 9
+    assert PathQuery(graph(spark, CYCLE), "b +", strategy=powers).reach().count() == 0
+    assert rows(PathQuery(graph(spark, LOOP), "a * b c", strategy=powers).reach()) == [(0, 2)]
+
+
+def test_counts_beyond_a_long(spark):
+    """Bracketings of 21 threefold edges, 3^21 times the 20th Catalan number, and walks of a vertex with eight loops."""
+    chain = "|".join(f" {k} {x} {k + 1} " for k in range(21) for x in "abc")
+    found = PathQuery(graph(spark, chain), "S -> S S | a | b | c").count_derivations(pairs(spark, (0, 21)), 22).collect()
+    assert [(r["length"], int(r["n"])) for r in found] == [(21, 3**21 * 6564120420)]
+    loops = PathQuery(graph(spark, "|".join(f"0 {x} 0" for x in "abcdefgh")), "( a | b | c | d | e | f | g | h ) *")
+    assert int(loops.count_paths(pairs(spark, (0, 0)), 23).first()["n_paths"]) == (8**23 - 1) // 7
+
+
+def test_unambiguous_counts_are_those_of_listed_walks(spark):
+    g = graph(spark, BINARY_TREE + "| 0 c 2 | 2 c 0")
+    for grammar in ("S -> a S b | c S b | a b", "S -> a S b |"):
+        q = PathQuery(g, grammar)
+        asked = q.reach()
+        assert rows(q.count_paths(asked, 7, unambiguous=True)) == rows(q.count_paths(asked, 7)), grammar
+
+
+def test_sessions_keep_facts(spark):
+    """A later call derives and writes only what is new; sources whose needs are known add themselves at most."""
+    g = Graph.from_frame(spark.createDataFrame([(k, "a", k + 1) for k in range(10)] + [(10 + k, "b", 11 + k) for k in range(10)], "src long, label string, dst long"))
+    table = lambda *v: spark.createDataFrame([(x,) for x in v], "v long")
+    q = PathQuery(g, ANBN)
+    session = SourceSession(q)
+    assert rows(session.solve(table(8))) == [(8, 12)]
+    first = session.known.rows
+    assert rows(session.solve(table(5, 8))) == [(5, 15), (8, 12)]
+    added = session.added.count()
+    assert session.known.rows == first + added and session.known.frame().distinct().count() == session.known.rows
+    whole = q._facts(q.program().restricted(), REACH, table(5, 8)).distinct().count()
+    assert first + added == whole and 0 < added < whole
+    assert rows(session.solve(table(6))) == [(6, 14)] and session.added.count() == 0  # 5's walks needed it
+    assert rows(session.cached()) == [(5, 15), (6, 14), (8, 12)]
+    assert rows(session.solve(table())) == [] and rows(session.solve(table(0))) == [(0, 20)]
+
+
+def test_sessions_of_many_calls(spark):
+    rng = random.Random(3)
+    edges = list({(rng.randrange(14), rng.choice("ab"), rng.randrange(14)) for _ in range(30)})
+    g = Graph.from_frame(spark.createDataFrame(edges, "src long, label string, dst long"))
+    q = PathQuery(g, "S -> S S | a S b | a b", strategy=ROUNDS)
+    every = rows(q.reach())
+    session = SourceSession(q)
+    for v in (3, 0):
+        before = session.known.rows if session.known else 0
+        assert rows(session.solve(spark.createDataFrame([(v,)], "v long"))) == [r for r in every if r[0] == v]
+        assert session.known.rows == before + session.added.count() == session.known.frame().distinct().count()
