@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 
 from pathloom.operators.fixpoint import Strategy
@@ -49,3 +51,22 @@ def test_view_without_labels_or_with_empty_walks(spark, tmp_path):
     view.apply(edges.limit(0), 1)
     view.apply(spark.createDataFrame([(1, "a", 2, 0)], SCHEMA), 2)
     assert rows(view.pairs) == [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
+
+
+def test_folders_stay_few(spark, tmp_path):
+    """Fifty batches' rows lie in a few folders, none twice; frames read before a batch outlive it; rounds leave no tables behind."""
+    view = ReachView(spark, "S -> a S | a", str(tmp_path / "state"))
+    most = 0
+    for n in range(50):
+        before = view.pairs
+        view._add(spark.createDataFrame([(n, n)], "src long, dst long").coalesce(1), "pairs", n)
+        view.last = n
+        view._merge("pairs")
+        most = max(most, len([p for p in (tmp_path / "state/pairs").iterdir()]))
+        if n % 7 == 6:
+            assert before.count() == n and view.pairs.count() == n + 1
+    assert most <= 2 * (view.MOST + 1) and rows(view.pairs) == [(n, n) for n in range(50)]
+    again = ReachView(spark, "S -> a S | a", str(tmp_path / "other"))
+    again.apply(spark.createDataFrame([(0, "a", 1, 0)], SCHEMA), 0)
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert rows(again.pairs) == [(0, 1)] and not list(Path(shared).glob("view-*/*"))
