@@ -354,8 +354,8 @@ def repeats(docs: DataFrame, params: DedupParams = DedupParams(), with_text: boo
     base = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= p.length).select(_key("text").alias("key"), "text")
     scratch, name, buckets = Scratch(spark, "suffix-dedup"), f"pathloom_texts_{uuid.uuid4().hex}", max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     try:
-        # bucketed by key, so the two joins with texts below move only the narrow side
-        base.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies")).write.bucketBy(buckets, "key").sortBy("key").option("compression", "zstd").format("parquet").saveAsTable(name)
+        # bucketed by key, so the two joins with texts below move only the narrow side; its files lie in the shared folder, whatever the warehouse is
+        base.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies")).write.bucketBy(buckets, "key").sortBy("key").option("compression", "zstd").option("path", scratch.path("texts")).format("parquet").saveAsTable(name)
         release(spark)
         return _repeats(spark.table(name), scratch, p, with_text)
     finally:

@@ -418,3 +418,17 @@ def test_suffix_dedup_of_so_many_words(spark):
     for i, t, _ in own:
         if i in (1, 2, 5):
             assert many[20:-20] not in left[i][0] and left[i][1] == len(left[i][0]) and (few in left[i][0]) == (i == 5)
+
+
+def test_suffix_texts_lie_in_the_shared_folder(spark, docs, monkeypatch):
+    """The bucketed table of texts is no table of the warehouse, which may be local to a machine."""
+    inner, seen = suffix_dedup._repeats, []
+
+    def watched(texts, scratch, *rest):
+        seen.extend(texts.inputFiles())
+        return inner(texts, scratch, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "_repeats", watched)
+    suffix_dedup.query(docs).count()
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert seen and all(f.removeprefix("file://").startswith(root) for f in seen)
