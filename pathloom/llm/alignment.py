@@ -44,14 +44,12 @@ _WIDE_BLANK = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\
 #: goes before joined segments, so that B's own blank is no part of any
 _FILLER = " a"
 
-STATS = ("n_a", "n_b", "n_groups", "n_links")
-
 
 @dataclass(frozen=True)
 class AlignParams:
     byte_level: str = ""
     pieces: str = ""
-    block_bytes: int = 16 << 20
+    block_bytes: int = 32 << 20
     broadcast_pairs: int = 4_000_000
     #: bytes of segments that are tokenised at once
     joined_bytes: int = 1 << 18
@@ -144,6 +142,16 @@ def cut(flat: np.ndarray, offsets: np.ndarray, begins: str) -> tuple[np.ndarray,
     return out, where, number
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    """Codes in compressed planes of their bytes, since high bytes are mostly zeros."""
+    return pa.compress(np.ascontiguousarray(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").reshape(-1)
+
+
 def blocks(docs: DataFrame, p: AlignParams, key: str, text: str) -> DataFrame:
     """One row for each run of rows: (block, keys, lengths, codes, segment, n): the texts' numbers of segments, their segments as codes, and the distinct segments with their occurrences."""
     base = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
@@ -171,7 +179,7 @@ def blocks(docs: DataFrame, p: AlignParams, key: str, text: str) -> DataFrame:
             number += 1
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             return pa.RecordBatch.from_arrays(
-                [pa.array([at * width + number]), one(keys), one(pa.array(lengths.astype(np.int32))), pa.array([codes.tobytes()], pa.binary()), one(words), one(pa.array(n))],
+                [pa.array([at * width + number]), one(keys), one(pa.array(lengths.astype(np.int32))), pa.array([_packed(codes)], pa.binary()), one(words), one(pa.array(n))],
                 names=["block", "keys", "lengths", "codes", "segment", "n"],
             )
 
@@ -195,7 +203,7 @@ def blocks(docs: DataFrame, p: AlignParams, key: str, text: str) -> DataFrame:
 
 
 def _align(words: list[str], t: Tokenizers) -> list[tuple] | None:
-    """(n_a, n_b, n_groups, n_links, groups, links) of segments that are tokenised as one text; None if that text's bytes don't come back."""
+    """(groups, links) of segments that are tokenised as one text; None if that text's bytes don't come back."""
     lead = _FILLER if t.separable else ""
     text = lead + "".join(words)
     data = text.encode()
@@ -210,21 +218,18 @@ def _align(words: list[str], t: Tokenizers) -> list[tuple] | None:
         raise RuntimeError("a token reaches across a segment's border")
     # links: between two cuts next to each other lies one A and one B token, and no other place has both
     links = (a[np.searchsorted(end_a, steps)] << 32) | b[np.searchsorted(end_b, steps)]
-    at_a, at_b, at_group, at_link = (np.searchsorted(x, border, "right") for x in (end_a, end_b, common, steps))
+    at_group, at_link = (np.searchsorted(x, border, "right") for x in (common, steps))
     to_a, to_b = (np.searchsorted(x, common, "right").tolist() for x in (end_a, end_b))
     text_a, text_b = [str(k) for k in a.tolist()], [str(k) for k in b.tolist()]
     groups, x, y = [], 0, 0
     for i, j in zip(to_a, to_b):
         groups.append((text_a[x] if i == x + 1 else ",".join(text_a[x:i])) + "|" + (text_b[y] if j == y + 1 else ",".join(text_b[y:j])))
         x, y = i, j
-    return [
-        (at_a[k + 1] - at_a[k], at_b[k + 1] - at_b[k], at_group[k + 1] - at_group[k], at_link[k + 1] - at_link[k], ";".join(groups[at_group[k] : at_group[k + 1]]), links[at_link[k] : at_link[k + 1]])
-        for k in range(len(words))
-    ]
+    return [(";".join(groups[at_group[k] : at_group[k + 1]]), links[at_link[k] : at_link[k + 1]]) for k in range(len(words))]
 
 
 def align_segments(words: list[str], t: Tokenizers, most: int) -> list[tuple]:
-    """The alignment of each segment; a segment whose bytes don't come back has no tokens (zeros, null groups)."""
+    """The alignment of each segment; a segment whose bytes don't come back has no tokens (null groups, no links)."""
     out: list[tuple] = [()] * len(words)
 
     def solve(own: list[int]) -> None:
@@ -233,7 +238,7 @@ def align_segments(words: list[str], t: Tokenizers, most: int) -> list[tuple]:
             for k, x in zip(own, found):
                 out[k] = x
         elif len(own) == 1:
-            out[own[0]] = (0, 0, 0, 0, None, np.zeros(0, np.int64))
+            out[own[0]] = (None, np.zeros(0, np.int64))
         else:
             solve(own[: len(own) // 2])
             solve(own[len(own) // 2 :])
@@ -254,18 +259,15 @@ def align_segments(words: list[str], t: Tokenizers, most: int) -> list[tuple]:
 
 
 def aligned(segments: DataFrame, p: AlignParams) -> DataFrame:
-    """(segment, n, n_a, n_b, n_groups, n_links, groups, links) of distinct segments (segment, n)."""
-    schema = "segment string, n long, n_a int, n_b int, n_groups int, n_links int, groups string, links binary"
+    """(segment, n, groups, links) of distinct segments (segment, n)."""
+    schema = "segment string, n long, groups string, links binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizers(p.byte_level, p.pieces)
         for batch in batches:
             found = align_segments(batch.column(0).to_pylist(), t, p.joined_bytes)
-            columns = [pa.array([x[k] for x in found], pa.int32()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *columns, pa.array([x[4] for x in found], pa.string()), pa.array([x[5].astype("<i8").tobytes() for x in found], pa.binary())],
-                names=["segment", "n", *STATS, "groups", "links"],
-            )
+            groups, links = pa.array([x[0] for x in found], pa.string()), pa.array([x[1].astype("<i8").tobytes() for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), groups, links], names=["segment", "n", "groups", "links"])
 
     return segments.select("segment", "n").mapInArrow(run, schema)
 
@@ -299,8 +301,8 @@ def pair_counts(segments: DataFrame) -> DataFrame:
 
 
 def segment_sums(segments: DataFrame, pairs: DataFrame, p: AlignParams) -> DataFrame:
-    """(segment, n_a, n_b, n_groups, n_links, groups, n_best, count_sum)."""
-    keep = ["segment", *STATS, "groups"]
+    """(segment, groups, n_best, count_sum): the other sums of a segment are counted in its groups."""
+    keep = ["segment", "groups"]
     if pairs.count() > p.broadcast_pairs:
         def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -313,12 +315,12 @@ def segment_sums(segments: DataFrame, pairs: DataFrame, p: AlignParams) -> DataF
         return segments.select(*keep).join(sums, "segment", "left").fillna(0, ["n_best", "count_sum"])
     table = pairs.orderBy("pair").toArrow()
     known = segments.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("pair", "n", "best")))
-    schema = "segment string, n_a int, n_b int, n_groups int, n_links int, groups string, n_best long, count_sum long"
+    schema = "segment string, groups string, n_best long, count_sum long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, n, best = known.value
         for batch in batches:
-            links = batch.column(6).to_pylist()
+            links = batch.column(2).to_pylist()
             flat = np.frombuffer(b"".join(links), "<i8")
             edge = np.cumsum([0, *(len(x) // 8 for x in links)])
             sums = []
@@ -328,7 +330,7 @@ def segment_sums(segments: DataFrame, pairs: DataFrame, p: AlignParams) -> DataF
                     at = np.minimum(np.searchsorted(pair, flat), len(pair) - 1)
                     np.cumsum(np.where(pair[at] == flat, values[at], 0), out=run_[1:])
                 sums.append(pa.array(np.diff(run_[edge])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], *sums], names=[*keep, "n_best", "count_sum"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *sums], names=[*keep, "n_best", "count_sum"])
 
     return segments.select(*keep, "links").mapInArrow(run, schema)
 
@@ -347,7 +349,7 @@ def _set_aside(table: DataFrame, lost: DataFrame) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
-            lengths, codes = np.array(row["lengths"], np.int64), np.frombuffer(row["codes"], "<i4")
+            lengths, codes = np.array(row["lengths"], np.int64), _unpacked(row["codes"], sum(row["lengths"]))
             owner = np.repeat(np.arange(len(lengths)), lengths)
             bad = np.zeros(len(lengths), bool)
             bad[owner[np.isin(codes, right.column("code").to_numpy())]] = True
@@ -358,6 +360,17 @@ def _set_aside(table: DataFrame, lost: DataFrame) -> DataFrame:
     return table.groupBy("block").cogroup(lost.groupBy("of")).applyInArrow(run, table.schema)
 
 
+def _counted(groups: pa.Array) -> dict[str, np.ndarray]:
+    """n_a, n_b, n_groups and n_links of groups that all end with a semicolon."""
+    flat, at = tk.text_buffer(groups)
+    bar, end, comma = (flat == ord(c) for c in "|;,")
+    in_b = np.cumsum(bar) - np.cumsum(end) == 1
+    total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[at])
+    n_groups = total(bar)
+    n_a, n_b = n_groups + total(comma & ~in_b), n_groups + total(comma & in_b)
+    return {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_a + n_b - n_groups}
+
+
 def _composed(table: DataFrame, sums: DataFrame, digest: bool) -> DataFrame:
     """A row for each text, from its block's codes and the block's (of, code, ...) rows."""
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
@@ -368,14 +381,15 @@ def _composed(table: DataFrame, sums: DataFrame, digest: bool) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
         order = np.argsort(right.column("code").to_numpy())
-        values = {n: right.column(n).to_numpy()[order].astype(np.int64) for n in names}
         # a segment's groups with a semicolon after them: those of segments that follow each other are then one run of bytes
-        groups = pc.fill_null(right.column("groups").combine_chunks().cast(pa.large_string()).take(pa.array(order)), "")
+        groups = pc.fill_null(right.column("groups").combine_chunks().cast(pa.large_string()).take(pa.array(order)), "|")
         groups = pc.binary_join_element_wise(groups, pa.scalar("", pa.large_string()), pa.scalar(";", pa.large_string()))
+        values = _counted(groups) | {n: right.column(n).to_numpy()[order].astype(np.int64) for n in names[4:]}
         for k in range(left.num_rows):
             keys = left.column("keys")[k].values
-            lengths, codes = left.column("lengths")[k].values.to_numpy(), np.frombuffer(left.column("codes")[k].as_py(), "<i4")
+            lengths = left.column("lengths")[k].values.to_numpy()
             size, good = np.abs(lengths), lengths > 0
+            codes = _unpacked(left.column("codes")[k].as_py(), int(size.sum()))
             edge = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
             columns = []
             for n in names:
@@ -414,9 +428,11 @@ def align(docs: DataFrame, params: AlignParams = AlignParams(), key: str = "doc_
         n = _numbered(table).groupBy("segment").agg(F.sum("n").alias("n"))
         found = scratch.table(found.drop("n").join(n, "segment"), "segments-left")
         scratch.drop("segments")
-    pairs = scratch.table(pair_counts(found), "pairs")
     release(spark)
+    pairs = scratch.table(pair_counts(found), "pairs")
     sums = scratch.table(segment_sums(found, pairs, p), "sums")
+    scratch.drop("segments", "segments-left", "pairs")
+    release(spark)
     back = _numbered(table).select("of", "code", "segment").join(sums, "segment").drop("segment")
     return _composed(table, back, digest).withColumnRenamed("key", key)
 
