@@ -268,6 +268,8 @@ def aligned(segments: DataFrame, p: AlignParams) -> DataFrame:
             found = align_segments(batch.column(0).to_pylist(), t, p.joined_bytes)
             groups, links = pa.array([x[0] for x in found], pa.string()), pa.array([x[1].astype("<i8").tobytes() for x in found], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), groups, links], names=["segment", "n", "groups", "links"])
+            del found, groups, links
+            tk.give_back()
 
     return segments.select("segment", "n").mapInArrow(run, schema)
 
@@ -288,9 +290,11 @@ def pair_counts(segments: DataFrame) -> DataFrame:
             n = batch.column(0).to_numpy(zero_copy_only=False)
             links = batch.column(1).to_pylist()
             held.append((np.frombuffer(b"".join(links), "<i8"), np.repeat(n, [len(x) // 8 for x in links])))
-            if sum(len(k) for k, _ in held) > 4_000_000:
+            del links
+            if sum(len(k) for k, _ in held) > 1_000_000:
                 held = [summed()]
-                if len(held[0][0]) > 2_000_000:
+                tk.give_back()
+                if len(held[0][0]) > 500_000:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["pair", "n"])
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed()], names=["pair", "n"])
@@ -363,11 +367,11 @@ def _set_aside(table: DataFrame, lost: DataFrame) -> DataFrame:
 def _counted(groups: pa.Array) -> dict[str, np.ndarray]:
     """n_a, n_b, n_groups and n_links of groups that all end with a semicolon."""
     flat, at = tk.text_buffer(groups)
-    bar, end, comma = (flat == ord(c) for c in "|;,")
-    in_b = np.cumsum(bar) - np.cumsum(end) == 1
-    total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[at])
+    bar, end, comma = (np.flatnonzero(flat == ord(c)) for c in "|;,")  # arrays as long as there are tokens, not bytes
+    in_b = np.searchsorted(bar, comma) > np.searchsorted(end, comma)
+    total = lambda places: np.diff(np.searchsorted(places, at))
     n_groups = total(bar)
-    n_a, n_b = n_groups + total(comma & ~in_b), n_groups + total(comma & in_b)
+    n_a, n_b = n_groups + total(comma[~in_b]), n_groups + total(comma[in_b])
     return {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_a + n_b - n_groups}
 
 
@@ -389,13 +393,16 @@ def _composed(table: DataFrame, sums: DataFrame, digest: bool) -> DataFrame:
             keys = left.column("keys")[k].values
             lengths = left.column("lengths")[k].values.to_numpy()
             size, good = np.abs(lengths), lengths > 0
+            some = np.flatnonzero(size)
             codes = _unpacked(left.column("codes")[k].as_py(), int(size.sum()))
             edge = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
             columns = []
             for n in names:
-                run_ = np.zeros(len(codes) + 1, np.int64)
-                np.cumsum(values[n][codes], out=run_[1:])
-                columns.append(pa.array(np.where(good, run_[edge[1:]] - run_[edge[:-1]], 0)))
+                sums = np.zeros(len(size), np.int64)
+                if len(some):
+                    sums[some] = np.add.reduceat(values[n][codes], edge[some])
+                sums[~good] = 0
+                columns.append(pa.array(sums))
             text = []
             for first in range(0, len(size), 256):  # the texts of some rows at once, so that the strings stay few
                 end = min(first + 256, len(size))
@@ -406,6 +413,8 @@ def _composed(table: DataFrame, sums: DataFrame, digest: bool) -> DataFrame:
                     x = data[at[j - first] : max(at[j - first], at[j - first + 1] - 1)]
                     text.append("" if not good[j] else hashlib.sha256(x).hexdigest() if digest else x.tobytes().decode())
             parts.append(pa.table([keys, *columns, pa.array(text, pa.string())], names=["key", *names, last]))
+        del groups, values
+        tk.give_back()
         return pa.concat_tables(parts) if parts else pa.table([pa.array([], t) for t in empty], names=["key", *names, last])
 
     from pyspark.sql.pandas.types import to_arrow_type
