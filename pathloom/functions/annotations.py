@@ -1,14 +1,14 @@
 """Annotations of facts: what a fact carries, how two facts' values combine, and which value is kept.
 
-Three are built in; ``semiring`` makes others from three expressions.
+Three are built in; ``semiring`` makes others from three expressions, ``k_least`` keeps several values of a fact, ``shorter`` bounds lengths while facts are derived.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: the columns that name a fact's split; the others are values
@@ -21,6 +21,9 @@ class Annotation:
 
     ``edge`` and ``empty`` give the columns of an edge's fact and of the empty walk's, ``times`` those of two facts that follow each other (as columns l_*, r_*,
     mid, r1 and r2), ``plus`` the aggregates that keep the best.  ``better``: a fact may be derived again, and takes the new value if this holds of (new, old).
+
+    Where no value is better than all others, ``merge`` makes one of (new, old) and ``gather`` one row of all rows under the given key columns, instead of ``plus`` and ``better``.  A fact
+    whose merged value differs from its old one is new again.  Merging must be associative and commutative and not count a value twice, since old values come back in merged ones.
     """
 
     name: str
@@ -30,6 +33,10 @@ class Annotation:
     times: Callable[[], list[Column]] = list
     plus: Callable[[], list[Column]] = list
     better: Callable[[Column, Column], Column] | None = None
+    merge: Callable[[Column, Column], Column] | None = None
+    gather: Callable[[DataFrame, list[str]], DataFrame] | None = None
+    #: facts of a greater value are dropped when they are derived
+    most: int | None = None
     #: known to the solver that works within one task
     local: bool = False
 
@@ -37,6 +44,11 @@ class Annotation:
     def values(self) -> list[str]:
         return [n for n, _ in self.columns if n not in SPLIT]
 
+    @property
+    def improves(self) -> bool:
+        """Whether a known fact may be derived again with another value."""
+        return self.better is not None or self.merge is not None
+
 
 def semiring(name: str, kind: str, edge: Column, empty: Column, times: Callable[[Column, Column], Column], least: bool = True, column: str = "value") -> Annotation:
     """A value for each walk, of which the least (or greatest) is kept.
@@ -55,6 +67,30 @@ def semiring(name: str, kind: str, edge: Column, empty: Column, times: Callable[
     )
 
 
+def k_least(k: int, edge: Column | None = None, column: str = "values") -> Annotation:
+    """The ``k`` least distinct sums of ``edge`` (a whole number of an edge's src, label and dst; 1 by default, so lengths) over the walks of a fact, ascending, as an array.
+
+    Sums may not be negative, or the rounds need not end.
+    """
+    step = (F.lit(1) if edge is None else edge).cast("long")
+    cut = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k)
+
+    def gather(facts: DataFrame, key: list[str]) -> DataFrame:
+        # equal sums meet first, in as many groups as there are sums; then no task sees more than k of a fact from any other
+        each = facts.select(*key, F.explode(column).alias(column)).distinct()
+        order = F.row_number().over(Window.partitionBy(*key).orderBy(column))
+        return each.withColumn("__k", order).where(F.col("__k") <= k).groupBy(*key).agg(F.sort_array(F.collect_list(column)).alias(column))
+
+    return Annotation(
+        f"least-{k}", ((column, "array<bigint>"),),
+        edge=lambda: [F.array(step).alias(column)],
+        empty=lambda: [F.array(F.lit(0).cast("long")).alias(column)],
+        times=lambda: [cut(F.flatten(F.transform(f"l_{column}", lambda x: F.transform(f"r_{column}", lambda y: x + y)))).alias(column)],
+        merge=lambda new, old: cut(F.concat(new, old)),
+        gather=gather,
+    )
+
+
 REACH = Annotation("reach", local=True)
 
 
@@ -70,6 +106,11 @@ SHORTEST = Annotation(
 )
 
 
+def shorter(max_len: int) -> Annotation:
+    """Least number of edges of the facts that have a walk of fewer than ``max_len``; longer ones are never derived."""
+    return replace(SHORTEST, most=max(max_len - 1, 0))
+
+
 def _single(one: int) -> list[Column]:
     none = F.lit(None)
     return [F.lit(one).cast("long").alias("height"), F.lit(one).cast("long").alias("length"), none.alias("mid"), none.cast("int").alias("r1"), none.cast("int").alias("r2")]

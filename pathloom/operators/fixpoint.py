@@ -75,6 +75,8 @@ def kept(facts: DataFrame, a: Annotation) -> DataFrame:
     """One row for each fact, with its best value."""
     if not a.columns:
         return facts.distinct()
+    if a.gather:
+        return a.gather(facts, KEY)
     out = facts.groupBy(*KEY).agg(*a.plus())
     return out.select(*KEY, "value.*") if "value" in out.columns and a == SINGLE else out
 
@@ -83,7 +85,11 @@ def seeds(edges: DataFrame, program: Program, a: Annotation) -> DataFrame:
     """Facts of edges: each edge under every symbol that is seeded by its label."""
     rules = small_table(edges.sparkSession, list(program.seeds), "sym int, label string")
     values = _values(a.edge(), a, edges.schema["src"].dataType)
-    return kept(edges.where(F.col("label").isin(program.labels)).join(F.broadcast(rules), "label").select("sym", "src", "dst", *values), a)
+    return kept(_within(edges.where(F.col("label").isin(program.labels)).join(F.broadcast(rules), "label").select("sym", "src", "dst", *values), a), a)
+
+
+def _within(facts: DataFrame, a: Annotation) -> DataFrame:
+    return facts if a.most is None else facts.where(F.col(a.values[0]) <= a.most)
 
 
 def source_facts(sources: DataFrame, program: Program, a: Annotation) -> DataFrame:
@@ -100,7 +106,7 @@ def _join(left: DataFrame, right: DataFrame, rules: list[tuple], a: Annotation,
     l = left.where(F.col("sym").isin(firsts)).select(F.col("sym").alias("r1"), F.col("src").alias("src"), F.col("dst").alias("mid"), *(F.col(n).alias(f"l_{n}") for n in a.values))
     r = right.where(F.col("sym").isin(seconds)).select(F.col("sym").alias("r2"), F.col("src").alias("mid"), F.col("dst").alias("dst"), *(F.col(n).alias(f"r_{n}") for n in a.values))
     both = r.join(hint(l.join(table, "r1")), ["r2", "mid"]) if new_is_left else l.join(hint(r.join(table, "r2")), ["r1", "mid"])
-    return both.select(F.col("head").alias("sym"), "src", "dst", *a.times())
+    return _within(both.select(F.col("head").alias("sym"), "src", "dst", *a.times()), a)
 
 
 def _unary(facts: DataFrame, program: Program, a: Annotation, vertex: T.DataType) -> list[DataFrame]:
@@ -122,9 +128,10 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def _measured(df: DataFrame) -> tuple[int, int]:
     """(rows, bytes in memory at most about) of a written table of facts."""
-    text = [c for c in ("src", "dst") if isinstance(df.schema[c].dataType, T.StringType)]
-    row = df.agg(F.count("*").alias("n"), *(F.sum(F.octet_length(c)).alias(c) for c in text)).first()
-    return row["n"], row["n"] * 16 * len(df.columns) + 2 * sum(row[c] or 0 for c in text)
+    text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    lists = [f.name for f in df.schema if isinstance(f.dataType, T.ArrayType)]
+    row = df.agg(F.count("*").alias("n"), *(F.sum(F.octet_length(c)).alias(c) for c in text), *(F.sum(8 * F.size(c)).alias(c) for c in lists)).first()
+    return row["n"], row["n"] * 16 * len(df.columns) + 2 * sum(row[c] or 0 for c in [*text, *lists])
 
 
 class Known:
@@ -148,7 +155,7 @@ class Known:
             if len(own) > 1:
                 self.merges += 1
                 merged = self._read([n for n, _ in own])
-                self.scratch.table(kept(merged, self.a) if self.a.better else merged.coalesce(max(1, sum(n for _, n in own) // 1_000_000)), f"merged-{self.merges}")
+                self.scratch.table(kept(merged, self.a) if self.a.improves else merged.coalesce(max(1, sum(n for _, n in own) // 1_000_000)), f"merged-{self.merges}")
                 self.tables.append((f"merged-{self.merges}", sum(n for _, n in own)))
                 self.old = [n for n, _ in own]
             else:
@@ -164,10 +171,13 @@ class Known:
 
 def _new(found: DataFrame, facts: DataFrame, a: Annotation) -> DataFrame:
     """What of ``found`` isn't among the facts, or is better than there."""
-    if not a.better:
+    if not a.improves:
         return found.join(facts, KEY, "left_anti")
     (value,) = a.values
     old = kept(facts, a).select(*KEY, F.col(value).alias("old"))
+    if a.merge:
+        both = found.join(old, KEY, "left").withColumn(value, F.when(F.col("old").isNull(), F.col(value)).otherwise(a.merge(F.col(value), F.col("old"))))
+        return both.where(F.col("old").isNull() | (F.col(value) != F.col("old"))).drop("old")
     return found.join(old, KEY, "left").where(F.col("old").isNull() | a.better(F.col(value), F.col("old"))).drop("old")
 
 
@@ -221,13 +231,13 @@ def solve(
             new = scratch.table(new, f"found-{k}")
             count, found_size = _measured(new)
             if not count:
-                return kept(facts.frame(), a) if a.better else facts.frame()
+                return kept(facts.frame(), a) if a.improves else facts.frame()
             seen = seen.join(small(found_size)(new.select(*KEY)), KEY, "left_semi")
         delta = scratch.table(_new(new, seen, a).select(*columns), f"round-{k}")
         scratch.drop(f"found-{k}")
         rows, size = _measured(delta)
         if not rows:
-            return kept(facts.frame(), a) if a.better else facts.frame()
+            return kept(facts.frame(), a) if a.improves else facts.frame()
         facts.add(f"round-{k}", delta, rows)
     raise RuntimeError(f"no fixpoint after {strategy.max_rounds} rounds")
 
@@ -278,7 +288,8 @@ def solve_local(edges: list[tuple], program: Program, a: Annotation, sources: li
         unary.setdefault(b, []).append((h, loop))
     single, shortest = a.name == "single", a.name == "shortest"
     edge_value = (1, 1, None, None, None) if single else (1,) if shortest else ()
-    delta = {(s, u, v): edge_value for u, t, v in edges for s in by_label.get(t, ())}
+    longest = float("inf") if a.most is None else a.most
+    delta = {(s, u, v): edge_value for u, t, v in edges for s in by_label.get(t, ()) if longest >= 1}
     if sources is not None:
         zero = (0, 0, None, None, None) if single else (0,) if shortest else ()
         delta |= {(s, v, v): zero for s in program.sources for v in sources}
@@ -299,7 +310,7 @@ def solve_local(edges: list[tuple], program: Program, a: Annotation, sources: li
 
         def offer(key: tuple, value: tuple) -> None:
             old = facts.get(key)
-            if old is not None and (not shortest or old <= value):
+            if old is not None and (not shortest or old <= value) or shortest and value[0] > longest:
                 return
             if (now := new.get(key)) is None or value < now:
                 new[key] = value

@@ -2,46 +2,101 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.automaton import RecursiveAutomaton
 from ..plans.program import Program
-from .fixpoint import small_table
+from .fixpoint import KEY, _measured, small_table
 from .rounds import Scratch
 
 RULES = "sym int, r1 int, r2 int"
+WAY = ["sym", "src", "r1", "mid", "r2", "dst"]
 #: counts grow exponentially with the length of walks; more than 38 digits fail
 COUNT = "decimal(38,0)"
 
 
+def _plain(df: DataFrame) -> DataFrame:
+    return df
+
+
+def _first(facts: DataFrame, program: Program, heads: DataFrame, hint: Callable = _plain, values: tuple = ()) -> DataFrame:
+    """``heads`` (sym, src, dst and others) with each left part that a binary rule gives them: r1, mid, r2, and the part's ``values`` as l_*."""
+    rules = small_table(facts.sparkSession, list(program.binary), RULES)
+    l = facts.select(F.col("sym").alias("r1"), "src", F.col("dst").alias("mid"), *(F.col(v).alias(f"l_{v}") for v in values))
+    return l.join(hint(heads.join(F.broadcast(rules), "sym")), ["r1", "src"])
+
+
+def _second(facts: DataFrame, half: DataFrame, hint: Callable = _plain, values: tuple = ()) -> DataFrame:
+    """Those of ``half`` whose right part is a fact too, with its ``values`` as r_*."""
+    r = facts.select(F.col("sym").alias("r2"), F.col("src").alias("mid"), "dst", *(F.col(v).alias(f"r_{v}") for v in values))
+    return r.join(hint(half), ["r2", "mid", "dst"])
+
+
 def derivations(facts: DataFrame, program: Program, within: DataFrame | None = None) -> DataFrame:
     """(sym, src, r1, mid, r2, dst): every way a fact (of ``within``) splits by a binary rule into two facts."""
-    rules = small_table(facts.sparkSession, list(program.binary), RULES)
-    heads = (within if within is not None else facts).select("sym", "src", "dst")
-    l = facts.select(F.col("sym").alias("r1"), "src", F.col("dst").alias("mid"))
-    r = facts.select(F.col("sym").alias("r2"), F.col("src").alias("mid"), "dst")
-    split = heads.join(F.broadcast(rules), "sym").join(l, ["r1", "src"])
-    return split.join(r, ["r2", "mid", "dst"]).select("sym", "src", "r1", "mid", "r2", "dst")
+    heads = (facts if within is None else within).select(*KEY)
+    return _second(facts, _first(facts, program, heads)).select(*WAY)
 
 
-def needed(facts: DataFrame, program: Program, roots: DataFrame, scratch: Scratch, max_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """(facts beneath the given facts, their derivations): a top-down closure."""
-    spark = facts.sparkSession
-    key = ["sym", "src", "dst"]
-    front = scratch.table(facts.select(*key).join(roots.select(*key).distinct(), key, "left_semi"), "need-0")
+def _split(facts: DataFrame, program: Program, front: DataFrame, size: int, scratch: Scratch, name: str, broadcast_bytes: int, values: tuple = ()) -> DataFrame:
+    """Every split of the facts of ``front``, a table of the measured size.  Its left halves are written and measured too: what is small is broadcast, so that the facts are scanned where they lie."""
+    small = lambda size: F.broadcast if size <= broadcast_bytes else _plain
+    half = scratch.table(_first(facts, program, front, small(size * len(program.binary)), values), name)
+    return _second(facts, half, small(_measured(half)[1]), values)
+
+
+def needed(facts: DataFrame, program: Program, roots: DataFrame, scratch: Scratch, max_height: int | None = None, broadcast_bytes: int = 32 << 20, max_rounds: int = 10_000) -> DataFrame:
+    """(sym, src, dst) of the facts beneath the given facts: a top-down closure.
+
+    With ``max_height``, ``facts`` have their least heights, and only what derivations of at most that height use is kept.  A level may use one less than the level above, and a fact is first met
+    where it may use most, so later needs of it add nothing.  Facts too high for a level are left out of its joins.
+    """
+    low = lambda h: facts if max_height is None else facts.where(F.col("height") <= h)
+    front = scratch.table(low(max_height).select(*KEY).join(roots.select(*KEY).distinct(), KEY, "left_semi"), "need-0")
     paths, seen = [scratch.path("need-0")], front
     for k in range(1, max_rounds + 1):
-        way = derivations(facts, program, front)
+        rows, size = _measured(front)
+        if max_height is not None and k >= max_height or not rows:
+            return seen
+        way = _split(low((max_height or 0) - k), program, front, size, scratch, f"half-{k}", broadcast_bytes)
         ends = F.explode(F.array(F.struct(F.col("r1").alias("sym"), "src", F.col("mid").alias("dst")), F.struct(F.col("r2").alias("sym"), F.col("mid").alias("src"), "dst"))).alias("e")
-        front = scratch.table(way.select(ends).select("e.*").distinct().join(seen, key, "left_anti"), f"need-{k}")
-        if front.isEmpty():
-            return seen, derivations(facts, program, seen)
+        front = scratch.table(way.select(ends).select("e.*").distinct().join(seen, KEY, "left_anti"), f"need-{k}")
+        scratch.drop(f"half-{k}")
         paths.append(scratch.path(f"need-{k}"))
-        seen = spark.read.schema(front.schema).parquet(*paths)
+        seen = facts.sparkSession.read.schema(front.schema).parquet(*paths)
     raise RuntimeError(f"no closure after {max_rounds} rounds")
 
 
+def forest(facts: DataFrame, program: Program, roots: DataFrame, max_len: int, scratch: Scratch, broadcast_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
+    """The packed derivations of all walks of the given facts with fewer than ``max_len`` edges, as two written tables.
+
+    Facts (sym, src, dst, most): ``most`` edges may a walk of the fact have within a walk of a root.  Derivations (sym, src, r1, mid, r2, dst, most).  ``facts`` have their least lengths: a part may be as
+    long as its whole, less the least length of the part beside it.  So every level down allows less, and there are fewer than ``max_len`` levels, on cyclic graphs too.
+    """
+    spark = facts.sparkSession
+    front = facts.where(F.col("length") < max_len).select(*KEY).join(roots.select(*KEY).distinct(), KEY, "left_semi")
+    front = scratch.table(front.withColumn("most", F.lit(max_len - 1).cast("long")), "forest-0")
+    tables, best = [scratch.path("forest-0")], lambda df: df.groupBy(*KEY).agg(F.max("most").alias("most"))
+    for k in range(1, max(max_len, 1)):
+        rows, size = _measured(front)
+        if not rows:
+            break
+        fitting = _split(facts, program, front, size, scratch, f"half-{k}", broadcast_bytes, ("length",)).where(F.col("l_length") + F.col("r_length") <= F.col("most"))
+        left = F.struct(F.col("r1").alias("sym"), "src", F.col("mid").alias("dst"), (F.col("most") - F.col("r_length")).alias("most"))
+        right = F.struct(F.col("r2").alias("sym"), F.col("mid").alias("src"), "dst", (F.col("most") - F.col("l_length")).alias("most"))
+        found = best(fitting.select(F.explode(F.array(left, right)).alias("e")).select("e.*"))
+        old = best(spark.read.schema(front.schema).parquet(*tables)).withColumnRenamed("most", "old")
+        front = scratch.table(found.join(old, KEY, "left").where(F.col("old").isNull() | (F.col("most") > F.col("old"))).drop("old"), f"forest-{k}")
+        scratch.drop(f"half-{k}")
+        tables.append(scratch.path(f"forest-{k}"))
+    need = scratch.table(best(spark.read.schema(front.schema).parquet(*tables)), "forest")
+    fitting = _split(facts, program, need, _measured(need)[1], scratch, "halves", broadcast_bytes, ("length",)).where(F.col("l_length") + F.col("r_length") <= F.col("most"))
+    return need, scratch.table(fitting.select(*WAY, "most"), "derivations")
+
+
 def _terminal(need: DataFrame, edges: DataFrame, program: Program) -> DataFrame:
     """(sym, src, label, dst): the edges that needed facts are seeded by."""
     rules = small_table(need.sparkSession, list(program.seeds), "sym int, label string")
@@ -54,7 +109,7 @@ def subgraph(edges: DataFrame, need: DataFrame, program: Program) -> DataFrame:
 
 
 def walks(edges: DataFrame, need: DataFrame, ways: DataFrame, program: Program, max_len: int, scratch: Scratch) -> DataFrame:
-    """(sym, src, dst, length, path): distinct walks of needed facts with fewer than ``max_len`` edges, shorter ones first."""
+    """(sym, src, dst, length, path): distinct walks of a forest's facts, shorter ones first; none that is too long to be part of a walk of a root."""
     step = F.array(F.struct("src", "label", "dst"))
     base = _terminal(need, edges, program).select("sym", "src", "dst", F.lit(1).cast("long").alias("length"), step.alias("path")).distinct()
     found = scratch.table(base.where(F.lit(max_len) > 1), "walks-1")
@@ -62,7 +117,7 @@ def walks(edges: DataFrame, need: DataFrame, ways: DataFrame, program: Program,
     for n in range(2, max_len):
         l = found.select(F.col("sym").alias("r1"), "src", F.col("dst").alias("mid"), F.col("length").alias("n1"), F.col("path").alias("p1"))
         r = found.select(F.col("sym").alias("r2"), F.col("src").alias("mid"), "dst", F.col("length").alias("n2"), F.col("path").alias("p2"))
-        both = ways.join(l, ["r1", "src", "mid"]).withColumn("n2", n - F.col("n1")).join(r, ["r2", "mid", "dst", "n2"])
+        both = ways.where(F.col("most") >= n).join(l, ["r1", "src", "mid"]).withColumn("n2", n - F.col("n1")).join(r, ["r2", "mid", "dst", "n2"])
         both = both.select("sym", "src", "dst", F.lit(n).cast("long").alias("length"), F.concat("p1", "p2").alias("path")).distinct()
         scratch.table(both, f"walks-{n}")
         paths.append(scratch.path(f"walks-{n}"))
@@ -71,14 +126,14 @@ def walks(edges: DataFrame, need: DataFrame, ways: DataFrame, program: Program,
 
 
 def derivation_counts(edges: DataFrame, need: DataFrame, ways: DataFrame, program: Program, max_len: int, scratch: Scratch) -> DataFrame:
-    """(sym, src, dst, length, n): number of derivations by length, for lengths under ``max_len``, as decimals; a length that no fact has ends nothing, lengths may have gaps."""
+    """(sym, src, dst, length, n): number of derivations by length, up to the most that a forest's facts may have, as decimals; a length that no fact has ends nothing, lengths may have gaps."""
     base = _terminal(need, edges, program).groupBy("sym", "src", "dst").agg(F.lit(1).cast("long").alias("length"), F.count("*").cast(COUNT).alias("n"))
     found = scratch.table(base.where(F.lit(max_len) > 1), "counts-1")
     paths = [scratch.path("counts-1")]
     for k in range(2, max_len):
         l = found.select(F.col("sym").alias("r1"), "src", F.col("dst").alias("mid"), F.col("length").alias("n1"), F.col("n").alias("c1"))
         r = found.select(F.col("sym").alias("r2"), F.col("src").alias("mid"), "dst", F.col("length").alias("n2"), F.col("n").alias("c2"))
-        both = ways.join(l, ["r1", "src", "mid"]).withColumn("n2", k - F.col("n1")).join(r, ["r2", "mid", "dst", "n2"])
+        both = ways.where(F.col("most") >= k).join(l, ["r1", "src", "mid"]).withColumn("n2", k - F.col("n1")).join(r, ["r2", "mid", "dst", "n2"])
         both = both.groupBy("sym", "src", "dst").agg(F.lit(k).cast("long").alias("length"), F.sum((F.col("c1") * F.col("c2")).cast(COUNT)).cast(COUNT).alias("n"))
         scratch.table(both, f"counts-{k}")
         paths.append(scratch.path(f"counts-{k}"))

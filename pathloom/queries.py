@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.annotations import semiring
+from .functions.annotations import k_least, semiring
 from .functions.stats import summarise
 from .operators import product
 from .operators.fixpoint import Strategy
@@ -217,6 +217,28 @@ def midpoints_events_view(spark, sf_dir):
     return found.select("src", "dst", F.size("mids").cast("long").alias("n_mids"), "is_edge")
 
 
+@query(f"""WITH RECURSIVE {_E}, {_S}, {_ORDER}, p AS (SELECT DISTINCT src, dst FROM s WHERE n <= 2)
+SELECT DISTINCT x.event_id AS src, x.event_type AS label, y.event_id AS dst
+FROM p JOIN o a ON a.event_id = p.src JOIN o b ON b.event_id = p.dst JOIN o x ON x.user_id = a.user_id AND x.k >= a.k AND x.k < b.k JOIN o y ON y.user_id = x.user_id AND y.k = x.k + 1""")
+def subgraph_height_events_anbn(spark, sf_dir):
+    """Of all accepted walks those with a derivation of height 4 at most, which are the words of up to two views and clicks."""
+    q = PathQuery(events_graph(spark, sf_dir), ANBN)
+    return q.subgraph(q.reach(), max_height=4)
+
+
+@query(f"WITH RECURSIVE {_E}, {_S} SELECT DISTINCT src, dst, CAST(2 * n AS BIGINT) AS length, CAST(1 AS BIGINT) AS n FROM s WHERE n < 4")
+def rounds_count_derivations_events_anbn(spark, sf_dir):
+    """The forest of walks under a length by distributed rounds, which derive no fact of longer walks."""
+    q = PathQuery(whole(spark, sf_dir), ANBN, strategy=ROUNDS)
+    return q.count_derivations(whole(spark, sf_dir).edges.select("src").distinct().join(q.reach(), "src"), 8).select("src", "dst", "length", F.col("n").cast("long").alias("n"))
+
+
+@query("WITH RECURSIVE " + _E + """, s AS (SELECT src, dst, 1 AS n FROM e WHERE label = 'view' UNION SELECT s.src, e.dst, s.n + 1 FROM s JOIN e ON e.src = s.dst AND e.label = 'view')
+SELECT l.src, r.dst, l.dst AS mid FROM s l JOIN s r ON l.dst = r.src UNION SELECT src, dst, CAST(NULL AS BIGINT) FROM s WHERE n = 1""")
+def midpoint_rows_events_view(spark, sf_dir):
+    return PathQuery(events_graph(spark, sf_dir), "S -> S S | view").midpoint_rows().select("src", "dst", "mid")
+
+
 # ---- sources -------------------------------------------------------------------------------------------------------------
 
 
@@ -398,6 +420,24 @@ def cheapest_events_anbn(spark, sf_dir):
     return PathQuery(events_graph(spark, sf_dir), ANBN).annotated(cost)
 
 
+@query(f"""WITH RECURSIVE {_P}, b AS (SELECT x.src, y.dst, 2 AS n FROM e x JOIN e y ON x.dst = y.src WHERE x.label = 'in' AND y.label = 'in_r'
+  UNION SELECT x.src, z.dst, 4 FROM e x JOIN e y ON x.dst = y.src JOIN e w ON y.dst = w.src JOIN e z ON w.dst = z.src WHERE x.label = 'in' AND y.label = 'in' AND w.label = 'in_r' AND z.label = 'in_r'),
+w AS (SELECT src, dst, n FROM b UNION SELECT w.src, b.dst, w.n + b.n FROM w JOIN b ON w.dst = b.src WHERE w.n + b.n <= 8)
+SELECT src, dst, array_to_string(list_sort(list(DISTINCT n))[1:3], ' ') AS lengths FROM w GROUP BY src, dst""")
+def three_shortest_lengths_places(spark, sf_dir):
+    """The three least lengths of walks over common nations and regions, of which there are endlessly many: a semiring without a best value."""
+    q = PathQuery(places_graph(spark, sf_dir), "S -> S S | in in_r | in in in_r in_r")
+    return q.annotated(k_least(3)).select("src", "dst", F.array_join(F.col("values").cast("array<string>"), " ").alias("lengths"))
+
+
+@query(f"""WITH RECURSIVE {_E}, {_S} SELECT (SELECT count(DISTINCT (src, dst)) FROM s) AS n_pairs,
+(SELECT CAST(max(greatest(2 * s.n, CASE WHEN e.src IS NULL THEN 0 ELSE 2 * s.n + 1 END)) AS BIGINT) FROM s LEFT JOIN e ON e.src = s.dst AND e.label = 'click') AS n_rounds""")
+def rounds_of_events_anbn(spark, sf_dir):
+    """A round derives facts that are one higher than those of the last; the last round finds nothing."""
+    q = PathQuery(whole(spark, sf_dir), ANBN, strategy=ROUNDS)
+    return spark.createDataFrame([(q.reach().count(), q.rounds)], "n_pairs long, n_rounds long")
+
+
 # ---- files in and out ----------------------------------------------------------------------------------------------------
 
 

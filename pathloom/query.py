@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.annotations import REACH, SHORTEST, SINGLE, Annotation
+from .functions.annotations import REACH, SHORTEST, SINGLE, Annotation, shorter
 from .operators import closure, paths
 from .operators.fixpoint import KEY, Known, Strategy, Trace, small_table, solve, solve_parts, solve_straight
 from .operators.rounds import Scratch
@@ -75,7 +75,7 @@ class PathQuery:
             facts = solve_straight(edges, program, a, scratch)
         else:
             facts = solve(edges, program, a, sources, self.strategy, scratch, self.trace)
-            facts = scratch.table(facts, "best") if a.better else facts
+            facts = scratch.table(facts, "best") if a.improves else facts
         if sources is None:
             self._held[key] = facts
         return facts
@@ -105,6 +105,8 @@ class PathQuery:
         empty = domain.select(F.col("v").alias("src"), F.col("v").alias("dst"), *nothing)
         if not nothing:
             return found.unionByName(empty).distinct()
+        if a.gather:
+            return a.gather(found.unionByName(empty), ["src", "dst"])
         if a.better and a.name != "shortest":  # a walk may be better than the empty one
             (value,) = a.values
             return found.unionByName(empty).groupBy("src", "dst").agg(*a.plus()).select("src", "dst", value)
@@ -184,11 +186,14 @@ class PathQuery:
         facts = self._facts(p.restricted(), REACH, sources)
         return self._result(facts, p, self.start, REACH, sources)
 
-    def _beneath(self, pairs: DataFrame, scratch: Scratch) -> tuple[Program, DataFrame, DataFrame]:
+    def _forest(self, pairs: DataFrame, max_len: int, scratch: Scratch) -> tuple[Program, DataFrame, DataFrame]:
+        """The program and, as tables, the facts and derivations that walks of ``pairs`` with fewer than ``max_len`` edges can have; facts of longer walks alone are never derived."""
         p = self.grammar.compile(self.start)
-        facts = self._facts(p, REACH)
-        roots = pairs.select("src", "dst").distinct().withColumn("sym", F.lit(p.names[self.start]))
-        return p, *paths.needed(facts, p, roots, scratch)
+        facts = self._facts(p, shorter(max_len))
+        return p, *paths.forest(facts, p, self._roots(pairs, p), max_len, scratch, self.strategy.broadcast_bytes)
+
+    def _roots(self, pairs: DataFrame, p: Program) -> DataFrame:
+        return pairs.select("src", "dst").distinct().withColumn("sym", F.lit(p.names[self.start]))
 
     def _empty_walks(self, pairs: DataFrame, p: Program) -> DataFrame | None:
         if p.names[self.start] not in p.nullable:
@@ -198,7 +203,7 @@ class PathQuery:
     def all_paths(self, pairs: DataFrame, max_len: int) -> DataFrame:
         """(src, dst, length, path) of all distinct walks with fewer than ``max_len`` edges."""
         scratch = Scratch(self.graph.edges.sparkSession, "walks")
-        p, need, ways = self._beneath(pairs, scratch)
+        p, need, ways = self._forest(pairs, max_len, scratch)
         found = paths.walks(self.graph.edges, need, ways, p, max_len, scratch)
         found = found.where(F.col("sym") == p.names[self.start]).join(pairs.select("src", "dst").distinct(), ["src", "dst"], "left_semi").select("src", "dst", "length", "path")
         if (empty := self._empty_walks(pairs, p)) is not None and max_len > 0:
@@ -229,25 +234,33 @@ class PathQuery:
     def count_derivations(self, pairs: DataFrame, max_len: int) -> DataFrame:
         """(src, dst, length, n): derivations of the normalised grammar by length, as decimals of 38 digits; as many as walks if it is unambiguous."""
         scratch = Scratch(self.graph.edges.sparkSession, "counts")
-        p, need, ways = self._beneath(pairs, scratch)
+        p, need, ways = self._forest(pairs, max_len, scratch)
         found = paths.derivation_counts(self.graph.edges, need, ways, p, max_len, scratch)
         return found.where(F.col("sym") == p.names[self.start]).join(pairs.select("src", "dst").distinct(), ["src", "dst"], "left_semi").select("src", "dst", "length", "n")
 
-    def subgraph(self, pairs: DataFrame) -> DataFrame:
-        """(src, label, dst) of the edges on accepted walks of any of ``pairs``."""
+    def subgraph(self, pairs: DataFrame, max_height: int | None = None) -> DataFrame:
+        """(src, label, dst) of the edges on accepted walks of any of ``pairs``; with ``max_height``, of walks with a derivation of at most that height, where an edge has
+        height 1 and a binary rule of the normalised grammar one more than the higher of its parts."""
         scratch = Scratch(self.graph.edges.sparkSession, "subgraph")
-        p, need, _ = self._beneath(pairs, scratch)
+        p = self.grammar.compile(self.start)
+        facts = self._facts(p, REACH if max_height is None else SINGLE)
+        need = paths.needed(facts, p, self._roots(pairs, p), scratch, max_height, self.strategy.broadcast_bytes)
         return paths.subgraph(self.graph.edges, need, p)
 
-    def midpoints(self) -> DataFrame:
-        """(nonterminal, src, dst, mids): all midpoints of every fact of a named nonterminal; null for a fact that is an edge."""
+    def midpoint_rows(self) -> DataFrame:
+        """(nonterminal, src, dst, mid): a row for each midpoint of every fact of a named nonterminal, and one with null for a fact that is an edge; nothing is gathered."""
         p = self.grammar.compile(self.start, self.grammar.nonterminals & self.grammar.productive())
         facts = self._facts(p, REACH)
-        names = small_table(facts.sparkSession, [(n, s) for n, s in p.names.items()], "nonterminal string, sym int")
-        split = paths.derivations(facts, p).select("sym", "src", "dst", "mid")
-        edge = paths._terminal(facts, self.graph.edges, p).select("sym", "src", "dst", F.lit(None).cast(split.schema["mid"].dataType).alias("mid"))
-        both = split.unionByName(edge).join(F.broadcast(names), "sym")
-        return both.groupBy("nonterminal", "src", "dst").agg(F.sort_array(F.collect_set("mid")).alias("mids"), F.max(F.col("mid").isNull()).alias("is_edge"))
+        names = F.broadcast(small_table(facts.sparkSession, [(n, s) for n, s in p.names.items()], "nonterminal string, sym int"))
+        # only facts of named nonterminals are split
+        own = facts.where(F.col("sym").isin(sorted(p.names.values())))
+        split = paths.derivations(facts, p, own).select("sym", "src", "dst", "mid").distinct()
+        edge = paths._terminal(own, self.graph.edges, p).select("sym", "src", "dst", F.lit(None).cast(split.schema["mid"].dataType).alias("mid")).distinct()
+        return split.unionByName(edge).join(names, "sym").select("nonterminal", "src", "dst", "mid")
+
+    def midpoints(self) -> DataFrame:
+        """(nonterminal, src, dst, mids): all midpoints of every fact of a named nonterminal in one array (``midpoint_rows`` has them as rows); null for a fact that is an edge."""
+        return self.midpoint_rows().groupBy("nonterminal", "src", "dst").agg(F.sort_array(F.collect_list("mid")).alias("mids"), F.max(F.col("mid").isNull()).alias("is_edge"))
 
 
 class SourceSession:
