@@ -41,10 +41,14 @@ def derivations(facts: DataFrame, program: Program, within: DataFrame | None = N
     return _second(facts, _first(facts, program, heads)).select(*WAY)
 
 
-def _split(facts: DataFrame, program: Program, front: DataFrame, size: int, scratch: Scratch, name: str, broadcast_bytes: int, values: tuple = ()) -> DataFrame:
-    """Every split of the facts of ``front``, a table of the measured size.  Its left halves are written and measured too: what is small is broadcast, so that the facts are scanned where they lie."""
+def _split(facts: DataFrame, program: Program, front: DataFrame, size: int, scratch: Scratch, name: str | None, broadcast_bytes: int, values: tuple = ()) -> DataFrame:
+    """Every split of the facts of ``front``, a table of the measured size.  Its left halves are written under ``name`` and measured too: what is small is broadcast, so that the facts are scanned
+    where they lie.  Without ``name`` the facts themselves are few, and halves aren't written."""
     small = lambda size: F.broadcast if size <= broadcast_bytes else _plain
-    half = scratch.table(_first(facts, program, front, small(size * len(program.binary)), values), name)
+    half = _first(facts, program, front, small(size * len(program.binary)), values)
+    if name is None:
+        return _second(facts, half, values=values)
+    half = scratch.table(half, name)
     return _second(facts, half, small(_measured(half)[1]), values)
 
 
@@ -57,14 +61,16 @@ def needed(facts: DataFrame, program: Program, roots: DataFrame, scratch: Scratc
     low = lambda h: facts if max_height is None else facts.where(F.col("height") <= h)
     front = scratch.table(low(max_height).select(*KEY).join(roots.select(*KEY).distinct(), KEY, "left_semi"), "need-0")
     paths, seen = [scratch.path("need-0")], front
+    few = _measured(facts)[1] <= broadcast_bytes
     for k in range(1, max_rounds + 1):
         rows, size = _measured(front)
         if max_height is not None and k >= max_height or not rows:
             return seen
-        way = _split(low((max_height or 0) - k), program, front, size, scratch, f"half-{k}", broadcast_bytes)
+        way = _split(low((max_height or 0) - k), program, front, size, scratch, None if few else f"half-{k}", broadcast_bytes)
         ends = F.explode(F.array(F.struct(F.col("r1").alias("sym"), "src", F.col("mid").alias("dst")), F.struct(F.col("r2").alias("sym"), F.col("mid").alias("src"), "dst"))).alias("e")
         front = scratch.table(way.select(ends).select("e.*").distinct().join(seen, KEY, "left_anti"), f"need-{k}")
-        scratch.drop(f"half-{k}")
+        if not few:
+            scratch.drop(f"half-{k}")
         paths.append(scratch.path(f"need-{k}"))
         seen = facts.sparkSession.read.schema(front.schema).parquet(*paths)
     raise RuntimeError(f"no closure after {max_rounds} rounds")
@@ -79,21 +85,23 @@ def forest(facts: DataFrame, program: Program, roots: DataFrame, max_len: int, s
     spark = facts.sparkSession
     front = facts.where(F.col("length") < max_len).select(*KEY).join(roots.select(*KEY).distinct(), KEY, "left_semi")
     front = scratch.table(front.withColumn("most", F.lit(max_len - 1).cast("long")), "forest-0")
+    few = _measured(facts)[1] <= broadcast_bytes
     tables, best = [scratch.path("forest-0")], lambda df: df.groupBy(*KEY).agg(F.max("most").alias("most"))
     for k in range(1, max(max_len, 1)):
         rows, size = _measured(front)
         if not rows:
             break
-        fitting = _split(facts, program, front, size, scratch, f"half-{k}", broadcast_bytes, ("length",)).where(F.col("l_length") + F.col("r_length") <= F.col("most"))
+        fitting = _split(facts, program, front, size, scratch, None if few else f"half-{k}", broadcast_bytes, ("length",)).where(F.col("l_length") + F.col("r_length") <= F.col("most"))
         left = F.struct(F.col("r1").alias("sym"), "src", F.col("mid").alias("dst"), (F.col("most") - F.col("r_length")).alias("most"))
         right = F.struct(F.col("r2").alias("sym"), F.col("mid").alias("src"), "dst", (F.col("most") - F.col("l_length")).alias("most"))
         found = best(fitting.select(F.explode(F.array(left, right)).alias("e")).select("e.*"))
         old = best(spark.read.schema(front.schema).parquet(*tables)).withColumnRenamed("most", "old")
         front = scratch.table(found.join(old, KEY, "left").where(F.col("old").isNull() | (F.col("most") > F.col("old"))).drop("old"), f"forest-{k}")
-        scratch.drop(f"half-{k}")
+        if not few:
+            scratch.drop(f"half-{k}")
         tables.append(scratch.path(f"forest-{k}"))
     need = scratch.table(best(spark.read.schema(front.schema).parquet(*tables)), "forest")
-    fitting = _split(facts, program, need, _measured(need)[1], scratch, "halves", broadcast_bytes, ("length",)).where(F.col("l_length") + F.col("r_length") <= F.col("most"))
+    fitting = _split(facts, program, need, _measured(need)[1], scratch, None if few else "halves", broadcast_bytes, ("length",)).where(F.col("l_length") + F.col("r_length") <= F.col("most"))
     return need, scratch.table(fitting.select(*WAY, "most"), "derivations")
 
 
