@@ -2,8 +2,9 @@
 
 Distributed: a round joins the last round's new facts with what they can follow or precede, on the vertex between them, through broadcast rule tables (their
 size is that of the query).  Where the other side of a rule is an edge, that is the table of edges alone, so a regular language never joins its growing facts.
-New facts are measured: up to ``broadcast_bytes`` they are broadcast, and the known facts are scanned where they lie; beyond, both sides are shuffled,
-and a round that costs that has brought as much.  What is new is written as Parquet to the shared folder, which cuts lineage and survives lost executors.
+New facts are measured: up to ``broadcast_bytes`` they are broadcast, and the known facts are scanned where they lie.  Beyond, they are shuffled, and
+known tables of ``bucket_rows`` and more are kept bucketed by what rounds join on, so they are not; smaller ones are shuffled too.  In such rounds, vertices with more than ``heavy_rows`` facts on either side
+are joined apart, in a grid of cells.  What is new is written as Parquet to the shared folder, which cuts lineage and survives lost executors.
 Known facts are a few tables of geometrically growing size, merged as rounds go on, so neither files nor rewriting grow with the number of rounds.
 
 A program without recursion is one plan of joins, without rounds.
@@ -25,6 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.annotations import REACH, SINGLE, Annotation
 from ..plans.program import Program
+from .layout import Layouts, heavy, salted
 from .rounds import Scratch
 
 KEY = ["sym", "src", "dst"]
@@ -34,12 +36,15 @@ KEY = ["sym", "src", "dst"]
 class Strategy:
     """``local_edges``: edges of a part that one task may solve; ``local_facts``: facts at which it gives up.  ``broadcast_bytes``: measured size up to which a round's
     facts are broadcast.  ``direct_facts``: known facts up to which a round's finds are compared with all of them at once, without being written and measured first.
+    ``bucket_rows``: rows from which a known table is bucketed for larger rounds; ``heavy_rows``: facts of a vertex that meet in one task in them.
     ``square_after``: rounds by steps of a regular language before powers may take over; ``power_factor``: pairs of a power, against facts and edges, up to which they do."""
 
     local_edges: int = 100_000
     local_facts: int = 3_000_000
     broadcast_bytes: int = 32 << 20
     direct_facts: int = 2_000_000
+    bucket_rows: int = 10_000_000
+    heavy_rows: int = 65_536
     max_rounds: int = 100_000
     square_after: int = 8
     power_factor: int = 4
@@ -99,16 +104,44 @@ def source_facts(sources: DataFrame, program: Program, a: Annotation) -> DataFra
     return own.select(symbols, "src", F.col("src").alias("dst"), *_values(a.empty(), a, sources.schema[v].dataType))
 
 
-def _join(left: DataFrame, right: DataFrame, rules: list[tuple], a: Annotation, new_is_left: bool, hint: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What facts of ``left`` followed by facts of ``right`` derive; the new ones are small if ``hint`` broadcasts."""
+def _join(left: DataFrame, right: DataFrame, rules: list[tuple], a: Annotation, new_is_left: bool, hint: Callable[[DataFrame], DataFrame], cells: tuple = ()) -> DataFrame:
+    """What facts of ``left`` followed by facts of ``right`` derive; the new ones are small if ``hint`` broadcasts.  ``cells``: columns that both sides have and that must be equal."""
     table = F.broadcast(small_table(left.sparkSession, rules, "head int, r1 int, r2 int"))
     firsts, seconds = sorted({r[1] for r in rules}), sorted({r[2] for r in rules})
-    l = left.where(F.col("sym").isin(firsts)).select(F.col("sym").alias("r1"), F.col("src").alias("src"), F.col("dst").alias("mid"), *(F.col(n).alias(f"l_{n}") for n in a.values))
-    r = right.where(F.col("sym").isin(seconds)).select(F.col("sym").alias("r2"), F.col("src").alias("mid"), F.col("dst").alias("dst"), *(F.col(n).alias(f"r_{n}") for n in a.values))
-    both = r.join(hint(l.join(table, "r1")), ["r2", "mid"]) if new_is_left else l.join(hint(r.join(table, "r2")), ["r1", "mid"])
+    l = left.where(F.col("sym").isin(firsts)).select(F.col("sym").alias("r1"), F.col("src").alias("src"), F.col("dst").alias("mid"), *(F.col(n).alias(f"l_{n}") for n in a.values), *cells)
+    r = right.where(F.col("sym").isin(seconds)).select(F.col("sym").alias("r2"), F.col("src").alias("mid"), F.col("dst").alias("dst"), *(F.col(n).alias(f"r_{n}") for n in a.values), *cells)
+    both = r.join(hint(l.join(table, "r1")), ["r2", "mid", *cells]) if new_is_left else l.join(hint(r.join(table, "r2")), ["r1", "mid", *cells])
     return _within(both.select(F.col("head").alias("sym"), "src", "dst", *a.times()), a)
 
 
+def _whole(df: DataFrame) -> DataFrame:
+    return df
+
+
+def _large_join(
+    new: tuple[DataFrame, DataFrame | None], known: tuple[DataFrame, DataFrame | None], rules: list[tuple], a: Annotation, new_is_left: bool, strategy: Strategy, scratch: Scratch, name: str
+) -> list[DataFrame]:
+    """``_join`` of new facts that are too many to be broadcast with a table of known ones, both with their heavy vertices, None for none.
+
+    Facts of vertices that are heavy on either side meet in a grid of cells, of about ``heavy_rows`` facts of each side; all others meet by vertex."""
+    one, two = ("dst", "src") if new_is_left else ("src", "dst")
+    (own, own_many), (other, other_many) = new, known
+    follow = lambda x, y, *rest: _join(x, y, rules, a, True, _whole, *rest) if new_is_left else _join(y, x, rules, a, False, _whole, *rest)
+    if own_many is None and other_many is None:
+        return [follow(own, other)]
+    # one copy of the rows that are joined by vertex and one of those that are dealt
+    own = own.where(F.col("sym").isin(sorted({r[1 if new_is_left else 2] for r in rules})))
+    other = other.where(F.col("sym").isin(sorted({r[2 if new_is_left else 1] for r in rules})))
+    cells = lambda c: F.ceil(F.coalesce(F.col(c), F.lit(1)) / strategy.heavy_rows).cast("int")
+    none = (own_many if own_many is not None else other_many).where(F.lit(False))
+    both = [(none if m is None else m).withColumnRenamed("n", n) for m, n in ((own_many, "n1"), (other_many, "n2"))]
+    split = scratch.table(both[0].join(both[1], "v", "full").select("v", cells("n1").alias("__i"), cells("n2").alias("__j")), name)
+    _, size = _measured(split)
+    split = F.broadcast(split) if size <= max(strategy.broadcast_bytes, 1 << 20) else split
+    light = follow(own.join(split.select(F.col("v").alias(one)), one, "left_anti"), other.join(split.select(F.col("v").alias(two)), two, "left_anti"))
+    return [light, follow(salted(own, one, split, "__i", "__j", two), salted(other, two, split, "__j", "__i", one), ("__i", "__j"))]
+
+
 def _unary(facts: DataFrame, program: Program, a: Annotation, vertex: T.DataType) -> list[DataFrame]:
     """What unary rules derive from ``facts``."""
     out = []
@@ -161,6 +194,11 @@ class Known:
             else:
                 self.tables.extend(own)
 
+    def parts(self, least: int) -> tuple[list[tuple[str, DataFrame]], DataFrame | None]:
+        """The tables of at least so many rows, by name, and all others as one."""
+        rest = [n for n, rows in self.tables if rows < least]
+        return [(n, self._read([n])) for n, rows in self.tables if rows >= least], self._read(rest) if rest else None
+
     def _read(self, names: list[str]) -> DataFrame:
         return self.scratch.spark.read.schema(self.schema).parquet(*(self.scratch.path(n) for n in names))
 
@@ -209,36 +247,65 @@ def solve(
     base = scratch.table(delta.where(~F.col("sym").isin(sorted(derived))), "base") if derived else delta
     if known is not None:
         base = base.unionByName(known.select(*columns).where(~F.col("sym").isin(sorted(derived))))
-    for k in range(1, strategy.max_rounds + 1):
-        if trace is not None and k == 1:
-            trace.counts.append(lambda: rounds)
-        rounds, found = k, _unary(delta, program, a, vertex) if rows else []
-        for one, new_is_left in ((1, True), (2, False)):
-            if known is None and k == 1 and not new_is_left:
-                continue  # in the first round everything is new, so one side of the join sees all pairs
-            own = [r for r in program.binary if k == 1 or r[one] in derived]
-            for growing in (True, False):
-                rules = [r for r in own if (r[3 - one] in derived) == growing]
-                if rules and rows:
-                    other = every() if growing else base
-                    found.append(_join(delta, other, rules, a, True, small(size)) if new_is_left else _join(other, delta, rules, a, False, small(size)))
-        if not found:
-            return facts.frame()
-        new = kept(_union(found), a)
-        seen = every()
-        if facts.rows > strategy.direct_facts or known is not None:
-            # what was found is measured; if it is small the facts are scanned for it where they lie
-            new = scratch.table(new, f"found-{k}")
-            count, found_size = _measured(new)
-            if not count:
+    base_rows = None
+    with Layouts(scratch, strategy.heavy_rows) as layouts:
+        for k in range(1, strategy.max_rounds + 1):
+            if trace is not None and k == 1:
+                trace.counts.append(lambda: rounds)
+            rounds, found = k, _unary(delta, program, a, vertex) if rows else []
+            large, news = size > strategy.broadcast_bytes and known is None, {}
+            if large:
+                layouts.keep([*(n for n, _ in facts.tables), "base"])
+                parts, rest = facts.parts(strategy.bucket_rows)
+                base_rows = base.count() if base_rows is None else base_rows
+                whole = lambda t, v, name: (t, layouts.heavy(t, v, name))
+            for one, new_is_left in ((1, True), (2, False)):
+                if known is None and k == 1 and not new_is_left:
+                    continue  # in the first round everything is new, so one side of the join sees all pairs
+                own = [r for r in program.binary if k == 1 or r[one] in derived]
+                for growing in (True, False):
+                    rules = [r for r in own if (r[3 - one] in derived) == growing]
+                    if not rules or not rows:
+                        continue
+                    if not large:
+                        other = every() if growing else base
+                        found.append(_join(delta, other, rules, a, True, small(size)) if new_is_left else _join(other, delta, rules, a, False, small(size)))
+                        continue
+                    layout, symbols = "right" if new_is_left else "left", sorted({r[3 - one] for r in program.binary})
+                    vertex_of = ("dst", "src") if new_is_left else ("src", "dst")
+                    if layout not in news:
+                        news[layout] = whole(delta, vertex_of[0], f"heavy-new-{layout}")
+                    if growing:
+                        others = [layouts.of(n, t, layout, symbols) for n, t in parts] + ([whole(rest, vertex_of[1], f"heavy-rest-{layout}")] if rest is not None else [])
+                    elif base_rows >= strategy.bucket_rows:
+                        others = [layouts.of("base", base, layout, symbols)]
+                    else:
+                        others = [whole(base, vertex_of[1], f"heavy-base-{layout}")]
+                    for i, other in enumerate(others):
+                        found += _large_join(news[layout], other, rules, a, new_is_left, strategy, scratch, f"heavy-{layout}-{growing}-{i}")
+            if not found:
+                return facts.frame()
+            new = kept(_union(found), a)
+            if facts.rows > strategy.direct_facts or known is not None:
+                # what was found is measured; if it is small the facts are scanned for it where they lie
+                new = scratch.table(new, f"found-{k}")
+                count, found_size = _measured(new)
+                if not count:
+                    return kept(facts.frame(), a) if a.improves else facts.frame()
+                if found_size > strategy.broadcast_bytes and known is None and not a.improves:
+                    parts, rest = facts.parts(strategy.bucket_rows)
+                    for seen in [layouts.of(n, t, "fact", sorted(derived))[0] for n, t in parts] + ([rest] if rest is not None else []):
+                        new = new.join(seen, KEY, "left_anti")
+                else:
+                    new = _new(new, every().join(small(found_size)(new.select(*KEY)), KEY, "left_semi"), a)
+            else:
+                new = _new(new, every(), a)
+            delta = scratch.table(new.select(*columns), f"round-{k}")
+            scratch.drop(f"found-{k}")
+            rows, size = _measured(delta)
+            if not rows:
                 return kept(facts.frame(), a) if a.improves else facts.frame()
-            seen = seen.join(small(found_size)(new.select(*KEY)), KEY, "left_semi")
-        delta = scratch.table(_new(new, seen, a).select(*columns), f"round-{k}")
-        scratch.drop(f"found-{k}")
-        rows, size = _measured(delta)
-        if not rows:
-            return kept(facts.frame(), a) if a.improves else facts.frame()
-        facts.add(f"round-{k}", delta, rows)
+            facts.add(f"round-{k}", delta, rows)
     raise RuntimeError(f"no fixpoint after {strategy.max_rounds} rounds")
 
 
