@@ -258,7 +258,9 @@ def solve(
                 layouts.keep([*(n for n, _ in facts.tables), "base"])
                 parts, rest = facts.parts(strategy.bucket_rows)
                 base_rows = base.count() if base_rows is None else base_rows
-                whole = lambda t, v, name: (t, layouts.heavy(t, v, name))
+                # a table of no more rows has no heavy vertex
+                whole = lambda t, n, v, name: (t, layouts.heavy(t, v, name) if n > strategy.heavy_rows else None)
+                rest_rows = sum(n for _, n in facts.tables if n < strategy.bucket_rows)
             for one, new_is_left in ((1, True), (2, False)):
                 if known is None and k == 1 and not new_is_left:
                     continue  # in the first round everything is new, so one side of the join sees all pairs
@@ -274,13 +276,13 @@ def solve(
                     layout, symbols = "right" if new_is_left else "left", sorted({r[3 - one] for r in program.binary})
                     vertex_of = ("dst", "src") if new_is_left else ("src", "dst")
                     if layout not in news:
-                        news[layout] = whole(delta, vertex_of[0], f"heavy-new-{layout}")
+                        news[layout] = whole(delta, rows, vertex_of[0], f"heavy-new-{layout}")
                     if growing:
-                        others = [layouts.of(n, t, layout, symbols) for n, t in parts] + ([whole(rest, vertex_of[1], f"heavy-rest-{layout}")] if rest is not None else [])
+                        others = [layouts.of(n, t, layout, symbols) for n, t in parts] + ([whole(rest, rest_rows, vertex_of[1], f"heavy-rest-{layout}")] if rest is not None else [])
                     elif base_rows >= strategy.bucket_rows:
                         others = [layouts.of("base", base, layout, symbols)]
                     else:
-                        others = [whole(base, vertex_of[1], f"heavy-base-{layout}")]
+                        others = [whole(base, base_rows, vertex_of[1], f"heavy-base-{layout}")]
                     for i, other in enumerate(others):
                         found += _large_join(news[layout], other, rules, a, new_is_left, strategy, scratch, f"heavy-{layout}-{growing}-{i}")
             if not found:
