@@ -48,6 +48,8 @@ class JoinParams:
     bucket_bytes: int = 32 << 20
     #: shingles of a cluster that one task may hold
     cluster_shingles: int = 16_000_000
+    #: prefix tokens that a task holds before it packs them
+    held_tokens: int = 500_000
     max_rounds: int = 40
 
 
@@ -180,7 +182,7 @@ def _index(docs: DataFrame, heavy, buckets: int, p: JoinParams) -> DataFrame:
                     [batch.column(0).slice(first, rows), batch.column(1).slice(first, rows), pa.array(n.astype(np.int64)), pa.array(classes, pa.binary()), pa.array(group.view(np.int64)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
                     schema=schema,
                 )
-                if size > 1_500_000:
+                if size > p.held_tokens:
                     yield flush()
                     held, size = [], 0
         if held and size:
@@ -291,27 +293,56 @@ def _sets(docs: DataFrame, wanted: DataFrame, p: JoinParams) -> DataFrame:
     return docs.join(wanted, "row_key").select("text", "class", "cluster").mapInArrow(run, "class binary, cluster long, set binary")
 
 
+#: entries that a step beside a cluster's index looks at together
+BLOCK = 1 << 18
+
+
 def tree_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that join each component of the sets, and no more than it takes, by one-against-all overlaps through an inverted index."""
-    g = len(sets)
-    n = np.array([len(x) for x in sets])
-    flat = np.concatenate(sets)
-    order = np.argsort(flat, kind="stable")
-    flat = flat[order]
-    rank = np.zeros(len(flat), np.int32)
-    rank[1:] = np.cumsum(flat[1:] != flat[:-1])
-    del flat
-    code = np.empty(len(rank), np.int32)
-    code[order] = rank
-    owners, first = np.repeat(np.arange(g, dtype=np.int32), n)[order], np.searchsorted(rank, np.arange(int(rank[-1]) + 2))
-    del rank, order
+    return _tree_links(iter(sets), np.array([len(x) for x in sets]), percent)
+
+
+def _tree_links(sets: Iterator[np.ndarray], n: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """``tree_links`` of sets of known sizes, which are taken one by one, so the caller may let go of each.
+
+    A task holds about 16 bytes for each shingle at once; comparing sets takes ``BLOCK`` entries of the index at a time, whatever their number."""
+    g = len(n)
     start = np.concatenate([[0], np.cumsum(n)])
+    flat = np.empty(int(start[-1]), np.uint64)
+    for k, x in enumerate(sets):
+        flat[start[k] : start[k + 1]] = x
+    own, size = np.sort(flat), 0
+    for k in range(0, len(own), BLOCK):  # distinct ones move to the front
+        part = np.unique(own[k : k + BLOCK])
+        part = part[1:] if size and part[0] == own[size - 1] else part
+        own[size : size + len(part)] = part
+        size += len(part)
+    own = own[:size]
+    code = np.empty(len(flat), np.int32)
+    for k in range(0, len(flat), BLOCK):
+        code[k : k + BLOCK] = np.searchsorted(own, flat[k : k + BLOCK])
+    del flat, own
+    first = np.zeros(size + 1, np.int32)
+    for k in range(g):  # a set holds a shingle once
+        first[code[start[k] : start[k + 1]] + 1] += 1
+    np.cumsum(first, out=first)
+    owners, filled = np.empty(len(code), np.int32), first[:-1].copy()
+    for k in range(g):
+        c = code[start[k] : start[k + 1]]
+        owners[filled[c]] = k
+        filled[c] += 1
+    del filled
 
     def linked(k: int) -> np.ndarray:
         c = code[start[k] : start[k + 1]]
-        size = first[c + 1] - first[c]
-        at = np.repeat(first[c] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        both = np.bincount(owners[at], minlength=g)
+        size = (first[c + 1] - first[c]).astype(np.int64)
+        end, both, a = np.cumsum(size), np.zeros(g, np.int64), 0
+        while a < len(c):
+            b = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + BLOCK, "right")))
+            own = size[a:b]
+            at = np.repeat(first[c[a:b]] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            both += np.bincount(owners[at], minlength=g)
+            a = b
         return 100 * both >= percent * (n + n[k] - both)
 
     root = np.arange(g)
@@ -345,8 +376,10 @@ def _clustered(sets: DataFrame, p: JoinParams) -> DataFrame:
         now, own = None, []
 
         def finish() -> pa.RecordBatch:
-            found = tree_links([np.frombuffer(x, np.uint64) for _, x in own], p.percent) if len(own) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([own[k][0] for k, _ in found], pa.binary()), pa.array([own[k][0] for _, k in found], pa.binary())], names=["a", "b"])
+            keys, n = [key for key, _ in own], np.array([len(x) // 8 for _, x in own])
+            own.reverse()
+            found = _tree_links((np.frombuffer(own.pop()[1], np.uint64) for _ in keys), n, p.percent) if len(keys) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([keys[k] for k, _ in found], pa.binary()), pa.array([keys[k] for _, k in found], pa.binary())], names=["a", "b"])
 
         for batch in batches:
             for c, key, data in zip(*(x.to_pylist() for x in batch.columns)):
@@ -427,7 +460,7 @@ def link(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """doc_id, n_shingles, component_id, class, row_key, root of every document; documents without shingles have no class and no root."""
     p, spark = params, docs.sparkSession
     small_batches(spark)
-    scratch = Scratch(spark, "ngram-join")
+    scratch = Scratch(spark, "ngram-join", row_group=16 << 20)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("row_key", _row_key())
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-int(total) // p.bucket_bytes))
@@ -500,6 +533,10 @@ def link(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     return out
 
 
+#: pairs of a list that are handed on together
+APART = 50_000
+
+
 def _apart(lists: DataFrame, inner: DataFrame, classes: DataFrame, roots: DataFrame, tested: DataFrame, p: JoinParams) -> DataFrame:
     """All untested class pairs of long lists and groups that lie in different components and whose sizes allow a link."""
     sized = classes.select("class", "grp", "n").join(roots.withColumnRenamed("node", "class"), "class", "left").select("grp", "n", "class", F.coalesce("root", "class").alias("root"))
@@ -523,6 +560,9 @@ def _apart(lists: DataFrame, inner: DataFrame, classes: DataFrame, roots: DataFr
                     for j in np.flatnonzero(ok):
                         a.append(min(x["class"], own[j]["class"]))
                         b.append(max(x["class"], own[j]["class"]))
+                    if len(a) > APART:  # all pairs of a list are too many for a task
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                        a, b = [], []
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     return mixed.select("own").mapInArrow(run, "a binary, b binary").distinct().join(tested, ["a", "b"], "left_anti")

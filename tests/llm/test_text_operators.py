@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -108,6 +109,28 @@ def test_tree_links_join_the_right_sets():
         assert all((truth[a] == truth[b]) == (own[a] == own[b]) for a in range(15) for b in range(15))
 
 
+def test_tree_links_hold_little_beside_the_sets():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 2000).astype(np.uint64)
+    sets = []
+    for _ in range(600):
+        x = base.copy()
+        x[rng.integers(0, 2000, 60)] = rng.integers(0, 2**63, 60).astype(np.uint64)
+        sets.append(np.unique(x))
+    tracemalloc.start()
+    links = ngram_join.tree_links(sets, 75)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(links) == 599
+    assert peak < 30 * sum(map(len, sets))
+
+
+def test_pairs_of_lists_apart_come_in_parts(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(ngram_join, "APART", 1)
+    got = ngram_join.query(docs, ngram_join.JoinParams(cluster_shingles=10, short_list=2, heavy_local=1000, held_tokens=50)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, ngram_join.query(docs).collect()), key=repr)
+
+
 def brute_repeats(texts, length):
     where = {}
     for k, b in enumerate(texts):
