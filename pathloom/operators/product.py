@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..plans.automaton import RecursiveAutomaton
 from ..plans.grammar import Grammar
-from .fixpoint import small_table
+from .fixpoint import Strategy, small_table
+from .rounds import Scratch
+from .twins import twins
 
 
 def moves_table(edges: DataFrame, automaton: RecursiveAutomaton) -> DataFrame:
@@ -37,8 +39,19 @@ def epsilon_facts(vertices: DataFrame, grammar: Grammar) -> DataFrame:
     return vertices.select(F.explode(names).alias("nt"), v.alias("src"), v.alias("dst"))
 
 
-def step_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct (src, dst) of a pair of ``left`` followed by one of ``right``."""
+def step_pairs(left: DataFrame, right: DataFrame, strategy: Strategy = Strategy()) -> DataFrame:
+    """Distinct (src, dst) of a pair of ``left`` followed by one of ``right``; by classes of vertices with the same pairs where there are such."""
+    kinds = {df.schema[c].dataType for df in (left, right) for c in ("src", "dst")}
+    if len(kinds) == 1:
+        both = left.select("src", F.lit("l").alias("label"), "dst").unionByName(right.select("src", F.lit("r").alias("label"), "dst"))
+        found = twins(both, Scratch(left.sparkSession, "step"), strategy.twin_edges) if both.where(F.col("src").isNull() | F.col("dst").isNull()).isEmpty() else None
+        if found is not None:
+            own = lambda label: found.edges.where(F.col("label") == label)
+            return found.expanded(_step_pairs(own("l"), own("r")))
+    return _step_pairs(left, right)
+
+
+def _step_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     l, r = left.select("src", F.col("dst").alias("mid")), right.select(F.col("src").alias("mid"), "dst")
     return l.join(r, "mid").select("src", "dst").distinct()
 
