@@ -39,6 +39,8 @@ class Annotation:
     most: int | None = None
     #: known to the solver that works within one task
     local: bool = False
+    #: the value is so many least sums, of 1 for each edge where ``local``
+    least: int | None = None
     #: an edge's value depends on its label alone, so vertices with the same edges have the same values
     uniform: bool = False
 
@@ -90,6 +92,8 @@ def k_least(k: int, edge: Column | None = None, column: str = "values") -> Annot
         times=lambda: [cut(F.flatten(F.transform(f"l_{column}", lambda x: F.transform(f"r_{column}", lambda y: x + y)))).alias(column)],
         merge=lambda new, old: cut(F.concat(new, old)),
         gather=gather,
+        local=edge is None and k > 0,
+        least=k,
         uniform=edge is None,
     )
 

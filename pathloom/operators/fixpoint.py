@@ -37,7 +37,7 @@ class Strategy:
     """``local_edges``: edges of a part that one task may solve; ``local_facts``: facts at which it gives up.  ``broadcast_bytes``: measured size up to which a round's
     facts are broadcast.  ``direct_facts``: known facts up to which a round's finds are compared with all of them at once, without being written and measured first.
     ``bucket_rows``: rows from which a known table is bucketed for larger rounds; ``heavy_rows``: facts of a vertex that meet in one task in them.
-    ``twin_edges``: edges from which a graph that no task solves is looked through for vertices with the same edges.
+    ``twin_edges``: edges from which a graph is looked through for vertices with the same edges, before a task may solve it.
     ``square_after``: rounds by steps of a regular language before powers may take over; ``power_factor``: pairs of a power, against facts and edges, up to which they do."""
 
     local_edges: int = 100_000
@@ -345,7 +345,7 @@ class TooLarge(Exception):
 
 
 def solve_local(edges: list[tuple], program: Program, a: Annotation, sources: list | None, most: int, rounds: list[int] | None = None) -> dict[tuple, tuple]:
-    """The same rounds over (src, label, dst) tuples: facts (sym, src, dst) with their values; ``rounds`` gets their number."""
+    """The same rounds over (src, label, dst) tuples: facts (sym, src, dst) with their values; ``rounds`` gets their number.  ``most``: facts, and merges of several sums, at which it gives up."""
     by_label: dict[str, list[int]] = {}
     for s, t in program.seeds:
         by_label.setdefault(t, []).append(s)
@@ -357,18 +357,18 @@ def solve_local(edges: list[tuple], program: Program, a: Annotation, sources: li
         second.setdefault(y, []).append((h, x))
     for h, b, loop in program.unary:
         unary.setdefault(b, []).append((h, loop))
-    single, shortest = a.name == "single", a.name == "shortest"
-    edge_value = (1, 1, None, None, None) if single else (1,) if shortest else ()
+    single, shortest, least = a.name == "single", a.name == "shortest", a.least
+    edge_value = (1, 1, None, None, None) if single else (1,) if shortest else ((1,),) if least else ()
+    zero = (0, 0, None, None, None) if single else (0,) if shortest else ((0,),) if least else ()
     longest = float("inf") if a.most is None else a.most
     delta = {(s, u, v): edge_value for u, t, v in edges for s in by_label.get(t, ()) if longest >= 1}
     if sources is not None:
-        zero = (0, 0, None, None, None) if single else (0,) if shortest else ()
         delta |= {(s, v, v): zero for s in program.sources for v in sources}
     facts: dict[tuple, tuple] = {}
     out: dict[tuple, set] = {}
     into: dict[tuple, set] = {}
     empty: set = set()
-    count = 0
+    count, merges = 0, 0
     while delta:
         count += 1
         for (s, u, v), value in delta.items():
@@ -381,6 +381,16 @@ def solve_local(edges: list[tuple], program: Program, a: Annotation, sources: li
 
         def offer(key: tuple, value: tuple) -> None:
             old = facts.get(key)
+            if least:
+                # several sums for each pair of facts: what is compared outgrows the task before the facts do
+                nonlocal merges
+                merges += 1
+                if merges > most:
+                    raise TooLarge
+                value = (tuple(sorted({*value[0], *(new.get(key) or old or ((),))[0]})[:least]),)
+                if value != old:
+                    new[key] = value
+                return
             if old is not None and (not shortest or old <= value) or shortest and value[0] > longest:
                 return
             if (now := new.get(key)) is None or value < now:
@@ -392,6 +402,8 @@ def solve_local(edges: list[tuple], program: Program, a: Annotation, sources: li
                     if single:
                         r = facts[y, v, w]
                         offer((h, u, w), (max(value[0], r[0]) + 1, value[1] + r[1], v, s, y))
+                    elif least:
+                        offer((h, u, w), ([x + z for x in value[0] for z in facts[y, v, w][0]],))
                     else:
                         offer((h, u, w), (value[0] + facts[y, v, w][0],) if shortest else ())
             for h, x in second.get(s, ()):
@@ -399,10 +411,12 @@ def solve_local(edges: list[tuple], program: Program, a: Annotation, sources: li
                     if single:
                         l = facts[x, w, u]
                         offer((h, w, v), (max(value[0], l[0]) + 1, value[1] + l[1], u, x, s))
+                    elif least:
+                        offer((h, w, v), ([z + t for z in facts[x, w, u][0] for t in value[0]],))
                     else:
                         offer((h, w, v), (value[0] + facts[x, w, u][0],) if shortest else ())
             for h, loop in unary.get(s, ()):
-                offer((h, v if loop else u, v), (0,) if loop and shortest else value)
+                offer((h, v if loop else u, v), zero if loop and (shortest or least) else value)
         delta = new
         if len(facts) + len(new) > most:
             raise TooLarge
@@ -412,7 +426,7 @@ def solve_local(edges: list[tuple], program: Program, a: Annotation, sources: li
 
 
 def fact_schema(vertex: T.DataType, a: Annotation) -> T.StructType:
-    kinds = {"long": T.LongType(), "int": T.IntegerType(), "vertex": vertex}
+    kinds = {"long": T.LongType(), "int": T.IntegerType(), "vertex": vertex, "array<bigint>": T.ArrayType(T.LongType())}
     return T.StructType([T.StructField("sym", T.IntegerType()), T.StructField("src", vertex), T.StructField("dst", vertex), *(T.StructField(n, kinds[k]) for n, k in a.columns)])
 
 
@@ -434,12 +448,18 @@ def solve_parts(edges: DataFrame, program: Program, a: Annotation, sources: Data
         own = ends.join(own, "src", "left_semi") if part else own.withColumn("__part", F.lit(0))
         rows = rows.unionByName(own.select("__part", "src", F.lit(None).cast("string").alias("label"), F.col("src").alias("dst")))
     rows = scratch.table(rows, "parts")
-    # parts are counted without being gathered
-    large = scratch.table(rows.groupBy("__part").count().where(F.col("count") > strategy.local_edges).select(F.col("__part").alias("large")), "large")
-    small = rows.join(large, rows["__part"].eqNullSafe(large["large"]), "left_anti")
+    if part or sources is not None:
+        # parts are counted without being gathered
+        large = scratch.table(rows.groupBy("__part").count().where(F.col("count") > strategy.local_edges).select(F.col("__part").alias("large")), "large")
+        small = rows.join(large, rows["__part"].eqNullSafe(large["large"]), "left_anti")
+    else:
+        # the caller has counted the edges
+        large, small = rows.select(F.col("__part").alias("large")).where(F.lit(False)), rows
     schema = T.StructType([*fact_schema(vertex, a).fields, T.StructField("__part", rows.schema["__part"].dataType)])
     kinds = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
     most, with_sources, width = strategy.local_facts, sources is not None, len(schema) - 1
+    # expressions stay here
+    bare = Annotation(a.name, a.columns, most=a.most, least=a.least)
 
     def own_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: list[int] = []
@@ -450,7 +470,7 @@ def solve_parts(edges: DataFrame, program: Program, a: Annotation, sources: Data
         def finish(key: object, own: list[tuple]) -> Iterator[pa.RecordBatch]:
             origin = [u for u, t, _ in own if t is None] if with_sources else None
             try:
-                facts = solve_local([x for x in own if x[1] is not None], program, a, origin, most, counts)
+                facts = solve_local([x for x in own if x[1] is not None], program, bare, origin, most, counts)
             except TooLarge:
                 yield remark(OUTGROWN, key)
                 return

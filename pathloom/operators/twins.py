@@ -79,7 +79,7 @@ def twins(edges: DataFrame, scratch: Scratch, least: int) -> Twins | None:
     total = lambda seed: F.sum(F.xxhash64(F.lit(seed), "side", "label", "w").cast("decimal(38,0)"))
     signed = own.groupBy("v").agg(F.count("*").alias("d"), total(1).alias("a"), total(2).alias("b"))
     key = ["d", "a", "b"]
-    signed = scratch.table(signed, "signed")
+    # both sides of the join read one exchange of the sums
     least_of = signed.groupBy(*key).agg(F.min("v").alias("rep"), F.count("*").alias("n")).where("n > 1")
     member = scratch.table(signed.join(least_of, key).select("v", "rep", "n"), "member")
     if member.isEmpty():

@@ -93,9 +93,9 @@ class PathQuery:
         return self._held[key]
 
     def _all(self, program: Program, a: Annotation, sources: DataFrame | None = None) -> DataFrame:
-        """All facts, or those of the start symbol alone by classes of vertices, where a result of all pairs is asked for that no task finds; from ``sources`` alone then."""
+        """All facts, or those of the start symbol alone by classes of vertices where there are such, since few edges of twins may have more pairs than a task makes; from ``sources`` alone then."""
         regular = lambda q: a == REACH and sources is None and q._by_powers(program)
-        if a.uniform and not (a.local and self._in_tasks(program)) and (found := self._by_classes(program.labels)):
+        if found := self._by_classes(program.labels) if a.uniform else None:
             classes, inner = found
             own = None if sources is None else classes.names(sources.where(F.col(sources.columns[0]).isNotNull()))
             facts = inner._regular(program) if regular(inner) else inner._facts(program, a, own)
@@ -199,7 +199,7 @@ class PathQuery:
         p = self.program()
         restricted = p.restricted()
         facts = self._all(restricted, REACH, sources)
-        if not self._in_tasks(restricted) and self._by_classes(restricted.labels):
+        if self._by_classes(restricted.labels):
             return self._result(facts, p, self.start, REACH, sources)
         own = sources.select(F.col(sources.columns[0]).alias("src")).distinct()
         found = self._result(facts, p, self.start, REACH, sources)

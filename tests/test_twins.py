@@ -85,3 +85,19 @@ def test_pairs_of_classes_are_not_derived_or_compared(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode" in plan and "Aggregate" not in plan
     assert found.count() == 9_000_000
+
+
+def test_least_sums_in_a_task(spark, graph, monkeypatch):
+    """Several least lengths of a small graph take no distributed round, unless they outgrow the task."""
+    import pathloom.query
+
+    asked = lambda **s: rows(PathQuery(graph, "S -> S S | in in_r | in a | ", strategy=Strategy(twin_edges=10**9, **s)).annotated(k_least(3)))
+    far = asked(local_edges=0)
+    assert far == asked(local_facts=500)
+    parts = [(k // 4, k, "a", (k // 4) * 4 + (k + 1) % 4) for k in range(12)] + [(None, 20, "a", 21), (None, 21, "a", 20)]
+    parts = Graph.from_frame(spark.createDataFrame(parts, "part int, src long, label string, dst long"), part="part")
+    cycles = lambda **s: rows(PathQuery(parts, "S -> S S | a", strategy=Strategy(**s)).annotated(k_least(2)))
+    want = cycles(local_edges=0)
+    monkeypatch.setattr(pathloom.query, "solve", lambda *a, **b: pytest.fail("a distributed round"))
+    assert far == asked()
+    assert want == cycles()
