@@ -101,3 +101,22 @@ def test_least_sums_in_a_task(spark, graph, monkeypatch):
     monkeypatch.setattr(pathloom.query, "solve", lambda *a, **b: pytest.fail("a distributed round"))
     assert far == asked()
     assert want == cycles()
+
+
+@pytest.mark.parametrize("ask", ["reach", "catalogue", "rounds", "shortest", "regular", "sources"])
+def test_classes_come_before_tasks(spark, ask):
+    """Twins that one task might solve are classes first: few edges may have more pairs than a task makes."""
+    from pathloom.plans import catalog
+
+    e = [(k, "in", 100 + k % 3) for k in range(30)] + [(100 + k, "in", 200) for k in range(3)]
+    g = Graph.from_frame(spark.createDataFrame(e + [(d, "in_r", s) for s, _, d in e], "src long, label string, dst long"))
+    language = {"catalogue": catalog.grammar("binomial", "sg"), "regular": "( in in_r ) +"}.get(ask, "S -> in S in_r | in in_r")
+    q = PathQuery(g, language, strategy=Strategy(twin_edges=1, **({"local_edges": 0} if ask == "rounds" else {})))
+    found = q.shortest() if ask == "shortest" else q.from_sources(spark.createDataFrame([(1,), (101,)], "v long")) if ask == "sources" else q.reach()
+    assert "Generate explode" in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {(x, y): 2 if x % 3 == y % 3 else 4 for x in range(30) for y in range(30)} | {(x, y): 2 for x in (100, 101, 102) for y in (100, 101, 102)}
+    if ask == "regular":
+        want = {p: 2 for p, n in want.items() if n == 2}
+    if ask == "sources":
+        want = {p: n for p, n in want.items() if p[0] in (1, 101)}
+    assert sorted(map(tuple, found.collect())) == sorted((*p, n) if ask == "shortest" else p for p, n in want.items())
