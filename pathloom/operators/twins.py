@@ -4,7 +4,7 @@ Twins begin and end the same walks, so a walk of the graph of their classes stan
 pairs of members, and walks are counted by the sizes of the classes they pass.  A place with n suppliers has n * n pairs of suppliers, which no round derives, compares or writes then; they
 appear as the result is read.
 
-Classes are found by two 64-bit sums of hashes of a vertex's edges and then checked exactly: between two classes there must be all edges or none.  Where that fails the graph stays as it is.
+Classes are found by two 64-bit sums (exclusive or) of hashes of a vertex's edges and then checked exactly: between two classes there must be all edges or none.  Where that fails the graph stays as it is.
 """
 
 from __future__ import annotations
@@ -30,10 +30,12 @@ class Twins:
     edges: DataFrame
     classes: DataFrame
     scratch: Scratch
+    #: edges between classes
+    size: int
 
     @property
     def sizes(self) -> DataFrame:
-        return self.classes.groupBy("rep").agg(F.max("n").alias("n"))
+        return _sizes(self.classes)
 
     def names(self, vertices: DataFrame) -> DataFrame:
         """(v): the classes of the vertices of a one-column table."""
@@ -45,13 +47,15 @@ class Twins:
         """A row for every choice of members of the classes in ``columns``; nothing is gathered, and classes travel as lists of about ``CHUNK`` members.  Of the first column only ``sources`` if given."""
         classes = dict.fromkeys(columns, self.classes)
         if sources is not None:
-            own = sources.select(F.col(sources.columns[0]).cast(self.edges.schema["src"].dataType).alias("v")).distinct()
-            member = self.classes.select("rep", "n", "chunk", F.explode("members").alias("v")).join(own, "v", "left_semi")
-            classes[columns[0]] = self.scratch.table(member.groupBy("rep", "n", "chunk").agg(F.collect_list("v").alias("members")), "sources")
-            found = found.join(self.names(own).withColumnRenamed("v", columns[0]), columns[0], "left_semi")
+            own = sources.select(F.col(sources.columns[0]).cast(self.edges.schema["src"].dataType).alias("v")).where(F.col("v").isNotNull()).distinct()
+            each = self.classes.select("rep", F.explode("members").alias("m"))
+            own = self.scratch.table(own.join(each, own["v"] == each["m"], "left").select("v", F.coalesce("rep", "v").alias("rep")), "source-classes")
+            # their lists are made anew: the few sources of an old one would meet as many lists of the other columns as all its members do
+            classes[columns[0]] = self.scratch.table(_lists(own.join(own.groupBy("rep").agg(F.count("*").alias("n")), "rep")), "sources")
+            found = found.join(own.select(F.col("rep").alias(columns[0])).distinct(), columns[0], "left_semi")
         rows, total = found, F.lit(1.0)
         for c in columns:
-            own = self.sizes.select(F.col("rep").alias(c), F.col("n").alias(f"__n_{c}"))
+            own = _sizes(classes[c]).select(F.col("rep").alias(c), F.col("n").alias(f"__n_{c}"))
             rows = rows.join(own, c, "left")
             total = total * F.coalesce(f"__n_{c}", F.lit(1))
         n = found.sparkSession.conf.get("spark.sql.shuffle.partitions")
@@ -68,6 +72,16 @@ class Twins:
         return out.select(*found.columns)
 
 
+def _sizes(classes: DataFrame) -> DataFrame:
+    return classes.groupBy("rep").agg(F.max("n").alias("n"))
+
+
+def _lists(member: DataFrame) -> DataFrame:
+    """(rep, n, chunk, members) of (v, rep, n): a class is cut into lists without being gathered, members are dealt by hash."""
+    dealt = member.withColumn("chunk", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / CHUNK)))
+    return dealt.groupBy("rep", "n", "chunk").agg(F.collect_list("v").alias("members"))
+
+
 def twins(edges: DataFrame, scratch: Scratch, least: int) -> Twins | None:
     """The graph's classes, if it has at least ``least`` edges and classes have at most half of them."""
     edges = edges.select("src", "label", "dst").where(F.col("src").isNotNull() & F.col("label").isNotNull() & F.col("dst").isNotNull())
@@ -76,7 +90,8 @@ def twins(edges: DataFrame, scratch: Scratch, least: int) -> Twins | None:
     edges = scratch.table(edges.distinct(), "edges")
     ends = F.explode(F.array(F.struct(F.col("src").alias("v"), F.lit(0).alias("side"), "label", F.col("dst").alias("w")), F.struct(F.col("dst").alias("v"), F.lit(1).alias("side"), "label", F.col("src").alias("w"))))
     own = edges.select(ends.alias("e")).select("e.*")
-    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), "side", "label", "w").cast("decimal(38,0)"))
+    # edges are distinct, so none takes another one out
+    total = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "side", "label", "w"))
     signed = own.groupBy("v").agg(F.count("*").alias("d"), total(1).alias("a"), total(2).alias("b"))
     key = ["d", "a", "b"]
     # both sides of the join read one exchange of the sums
@@ -93,10 +108,8 @@ def twins(edges: DataFrame, scratch: Scratch, least: int) -> Twins | None:
     seen = found.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum((F.col("n") != F.col("all")).cast("int")).alias("bad")).first()
     if seen["bad"] or 2 * seen["k"] > seen["n"]:
         return None
-    # a class is cut into lists without being gathered: members are dealt by hash
-    dealt = member.withColumn("chunk", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / CHUNK)))
-    classes = scratch.table(dealt.groupBy("rep", "n", "chunk").agg(F.collect_list("v").alias("members")), "classes")
-    return Twins(found.select("src", "label", "dst"), classes, scratch)
+    classes = scratch.table(_lists(member), "classes")
+    return Twins(found.select("src", "label", "dst"), classes, scratch, seen["k"])
 
 
 def live(edges: DataFrame, moves: list[tuple[int, str, int]], finals: list[int], most: int, scratch: Scratch) -> list[DataFrame]:

@@ -89,7 +89,7 @@ class PathQuery:
         if key not in self._held:
             edges = self.graph.edges.where(F.col("label").isin(labels))
             found = twins(edges, Scratch(edges.sparkSession, "twins"), self.strategy.twin_edges // share)
-            self._held[key] = found and (found, PathQuery(Graph(found.edges), self.language, self.start, self.strategy))
+            self._held[key] = found and (found, PathQuery(Graph(found.edges), self.language, self.start, self.strategy, _held={"edges": found.size}))
         return self._held[key]
 
     def _all(self, program: Program, a: Annotation, sources: DataFrame | None = None) -> DataFrame:
@@ -109,6 +109,8 @@ class PathQuery:
         most = self.strategy.local_edges
         if most <= 0 or self.graph.part is not None:
             return most > 0
+        if self._held.get("edges", most + 1) <= most:  # a graph of classes was counted as it was made
+            return True
         return self.graph.edges.where(F.col("label").isin(program.labels)).limit(most + 1).count() <= most
 
     @property

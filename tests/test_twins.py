@@ -120,3 +120,17 @@ def test_classes_come_before_tasks(spark, ask):
     if ask == "sources":
         want = {p: n for p, n in want.items() if p[0] in (1, 101)}
     assert sorted(map(tuple, found.collect())) == sorted((*p, n) if ask == "shortest" else p for p, n in want.items())
+
+
+def test_few_sources_are_dealt_by_themselves(spark, monkeypatch):
+    """Tasks and lists are as many as the asked sources take, not as all members of their classes would."""
+    monkeypatch.setattr(twins, "CHUNK", 16)
+    monkeypatch.setattr(twins, "TASK_ROWS", 100)
+    e = [(k, "in", -1) for k in range(200)] + [(-1, "in_r", k) for k in range(200)]
+    t = twins.twins(Graph.from_frame(spark.createDataFrame(e, "src long, label string, dst long")).edges, Scratch(spark, "t"), 1)
+    found = spark.createDataFrame([(0, 0)], "src long, dst long")
+    sources = spark.createDataFrame([(25 * k,) for k in range(8)] + [(None,), (-1,), (999,)], "v int")
+    out = t.expanded(found, sources=sources)
+    assert out.rdd.getNumPartitions() == 17
+    assert rows(out) == rows(spark.createDataFrame([(25 * k, y) for k in range(8) for y in range(200)], "src long, dst long"))
+    assert spark.read.parquet(t.scratch.path("sources")).where("size(members) > 1").count() == 1
