@@ -447,13 +447,13 @@ def solve_parts(edges: DataFrame, program: Program, a: Annotation, sources: Data
         own = sources.select(F.col(v).cast(vertex).alias("src")).where(F.col("src").isNotNull()).distinct()
         own = ends.join(own, "src", "left_semi") if part else own.withColumn("__part", F.lit(0))
         rows = rows.unionByName(own.select("__part", "src", F.lit(None).cast("string").alias("label"), F.col("src").alias("dst")))
-    rows = scratch.table(rows, "parts")
     if part or sources is not None:
+        rows = scratch.table(rows, "parts")
         # parts are counted without being gathered
         large = scratch.table(rows.groupBy("__part").count().where(F.col("count") > strategy.local_edges).select(F.col("__part").alias("large")), "large")
         small = rows.join(large, rows["__part"].eqNullSafe(large["large"]), "left_anti")
     else:
-        # the caller has counted the edges
+        # the caller has counted the edges; the task reads them where they are
         large, small = rows.select(F.col("__part").alias("large")).where(F.lit(False)), rows
     schema = T.StructType([*fact_schema(vertex, a).fields, T.StructField("__part", rows.schema["__part"].dataType)])
     kinds = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])

@@ -134,3 +134,15 @@ def test_few_sources_are_dealt_by_themselves(spark, monkeypatch):
     assert out.rdd.getNumPartitions() == 17
     assert rows(out) == rows(spark.createDataFrame([(25 * k, y) for k in range(8) for y in range(200)], "src long, dst long"))
     assert spark.read.parquet(t.scratch.path("sources")).where("size(members) > 1").count() == 1
+
+
+def test_a_counted_graph_is_not_written_again_for_its_task(spark, graph, monkeypatch):
+    """The graph of classes is a table and was counted as it was made, so the task that solves it reads it there."""
+    names, write = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name: names.append(name) or write(self, df, name))
+    same = "S -> in S in_r | in in_r"
+    found = PathQuery(graph, same, strategy=CLASSES).reach()
+    assert "local" in names and "parts" not in names
+    outgrown = PathQuery(graph, same, strategy=Strategy(local_edges=40, twin_edges=1, local_facts=5)).reach()
+    assert "round-0" in names and "parts" not in names
+    assert rows(found) == rows(outgrown) == rows(PathQuery(graph, same, strategy=PLAIN).reach())
