@@ -3,6 +3,8 @@
 1. *Order.*  Shingles that several distinct sets of an input split share are counted over all splits; the
    ``max_heavy`` commonest come last in the global order (by count), all others first, by hash.  Any fixed order gives right
    results; this one keeps common passages out of prefixes.  The broadcast order is bounded by ``max_heavy`` entries.
+   The first prefixes are looked at once before any pair is made: shingles that two groups share there are marked in a bitmap and come after all unmarked ones, so texts
+   that only chance phrases bind, whose pairs grow with the square of the input, seldom meet.  The bitmap has at most ``mark_bits`` bits; a fuller one marks too much and results stay the same.
 2. *Groups.*  Documents of one set are one class; classes of one size and one prefix are one group (its hash is computed in place,
    and each split emits a group once, so copies are collapsed before anything is shuffled).
 3. *Candidates.*  Prefix tokens travel as packed arrays to token buckets; groups that share a token are candidates if
@@ -10,7 +12,8 @@
    clusters, and a cluster's sets meet once in one task, where an inverted index compares each set with all others at once, and only sets that no link has reached yet need that.  So many
    near copies cost their number, not its square.  A cluster of more than ``cluster_shingles`` is not held in a task: its lists are compared by pairs, with
    their centres first and in rounds after that, for groups that are still in different components.  No pair that could join two components is skipped.
-4. *Verification.*  Group pairs expand to classes; the classes' sets are rebuilt from the texts and compared exactly (64-bit shingle hashes).
+4. *Verification.*  Group pairs expand to classes; the classes' sets are rebuilt from the texts and compared exactly (64-bit shingle hashes).  Of the texts only those that a bitmap
+   of the wanted rows lets through are shuffled.
 5. *Components* of the verified links, carried back to every document of a class.
 
 A document's set: distinct shingles of ``words`` words (runs of anything but space and 0x09-0x0D, A-Z lower-cased); with fewer words, the whole sequence as one;
@@ -21,7 +24,7 @@ an empty table gives no rows; extra columns aren't read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,6 +49,8 @@ class JoinParams:
     short_list: int = 24
     #: text per token bucket
     bucket_bytes: int = 32 << 20
+    #: most bits of the bitmaps of shared shingles and of wanted rows
+    mark_bits: int = 1 << 28
     #: shingles of a cluster that one task may hold
     cluster_shingles: int = 16_000_000
     #: prefix tokens that a task holds before it packs them
@@ -62,6 +67,51 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - overlap_needed(n, percent) + 1, 0)
 
 
+#: bits of a bitmap that travel together
+PART = 1 << 19
+
+
+def _bits(least: int, most: int) -> int:
+    """Size of a bitmap: a power of two, of one part at least."""
+    return max(PART, min(1 << max(0, least - 1).bit_length(), 1 << max(1, most).bit_length() - 1))
+
+
+def _places(place: np.ndarray) -> pa.RecordBatch:
+    """(part, places) of distinct places in a bitmap, packed by its parts."""
+    place = np.unique(place.astype(np.uint64))
+    part, cut = np.unique(place // tk.U64(PART), return_index=True)
+    within = (place % tk.U64(PART)).astype(np.uint32)
+    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([x.tobytes() for x in np.split(within, cut[1:])] if len(part) else [], pa.binary())], names=["part", "places"])
+
+
+def _bitmap(places: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of packed ``places``: parts are put together by tasks, the driver gets ``bits`` bits at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, np.zeros(PART, bool)
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], names=["part", "places"])
+        for batch in batches:
+            for part, blob in zip(*(x.to_pylist() for x in batch.columns)):
+                if part != now and now is not None:
+                    yield done()
+                    own[:] = False
+                now = part
+                own[np.frombuffer(blob, np.uint32)] = True
+        if now is not None:
+            yield done()
+        tk.give_back()
+
+    out = np.zeros(bits // 8, np.uint8)
+    dealt = places.repartition("part").sortWithinPartitions("part").mapInArrow(run, "part int, places binary")
+    for row in dealt.collect():
+        out[row["part"] * (PART // 8) : (row["part"] + 1) * (PART // 8)] = np.frombuffer(row["places"], np.uint8)
+    return out
+
+
+def _marked(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bitmap[(place >> tk.U64(3)).astype(np.int64)] >> (place & tk.U64(7)).astype(np.uint8)) & 1 == 1
+
+
 def _set_key(h: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(h.tobytes())
 
@@ -131,12 +181,18 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 INDEX = "row_key long, doc_id long, n long, class binary, grp long, bucket int, blob binary"
 
 
-def _index(docs: DataFrame, heavy, buckets: int, p: JoinParams) -> DataFrame:
-    """Rows of documents (bucket null) and of packed prefix tokens (bucket set)."""
+def _token_place(token: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """Place in the bitmap of shared shingles, from what a bucket keeps of a token."""
+    return token % (tk.U64(buckets) << tk.U64(32)) % tk.U64(bits)
+
+
+def _index(docs: DataFrame, heavy, shared, buckets: int, p: JoinParams) -> DataFrame:
+    """Rows of documents (bucket null) and of packed prefix tokens (bucket set); without ``shared``, the bitmap of shared shingles, only the latter."""
     schema = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.binary()), ("grp", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = heavy.value
+        bitmap = shared.value if shared else None
         done: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
@@ -162,13 +218,14 @@ def _index(docs: DataFrame, heavy, buckets: int, p: JoinParams) -> DataFrame:
                 weight = np.zeros(len(h), np.int64)
                 if len(common) and len(h):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                    weight = np.where(common[at] == h, rank[at], 0)
+                    weight = np.where(common[at] == h, rank[at] + 1, 0)
+                if bitmap is not None and len(h):
+                    weight = np.maximum(weight, _marked(bitmap, _token_place(h, buckets, 8 * len(bitmap))))
                 order = np.lexsort((h, weight, owner))
                 place = np.arange(len(h)) - np.repeat(cut[:-1], n)
                 keep = place < np.repeat(prefix_length(n, p.percent), n)
                 token, own = h[order][keep], owner[keep]
                 tcut = np.searchsorted(own, np.arange(rows + 1))
-                classes = [_set_key(h[cut[r] : cut[r + 1]]) if n[r] else None for r in range(rows)]
                 group = np.array([xxhash.xxh3_64_intdigest(token[tcut[r] : tcut[r + 1]].tobytes(), int(n[r])) for r in range(rows)], np.uint64)
                 fresh = np.zeros(rows, bool)
                 for r, g in enumerate(group.tolist()):
@@ -178,10 +235,12 @@ def _index(docs: DataFrame, heavy, buckets: int, p: JoinParams) -> DataFrame:
                 pick = fresh[own]
                 held.append((token[pick], group[own[pick]], n[own[pick]]))
                 size += int(pick.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, rows), batch.column(1).slice(first, rows), pa.array(n.astype(np.int64)), pa.array(classes, pa.binary()), pa.array(group.view(np.int64)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
-                    schema=schema,
-                )
+                if bitmap is not None:
+                    classes = [_set_key(h[cut[r] : cut[r + 1]]) if n[r] else None for r in range(rows)]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(first, rows), batch.column(1).slice(first, rows), pa.array(n.astype(np.int64)), pa.array(classes, pa.binary()), pa.array(group.view(np.int64)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
+                        schema=schema,
+                    )
                 if size > p.held_tokens:
                     yield flush()
                     held, size = [], 0
@@ -193,6 +252,41 @@ def _index(docs: DataFrame, heavy, buckets: int, p: JoinParams) -> DataFrame:
     return docs.select("row_key", "doc_id", "text").mapInArrow(run, INDEX)
 
 
+def _by_bucket(index: DataFrame, buckets: int, finish: Callable[[int, list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``finish`` makes of each bucket and its packed tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blobs = None, []
+        for batch in batches:
+            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if b != now and blobs:
+                    yield from finish(now, blobs)
+                    blobs = []
+                now = b
+                blobs.append(blob)
+        if blobs:
+            yield from finish(now, blobs)
+        blobs.clear()
+        tk.give_back()
+
+    packed = index.where(F.col("bucket").isNotNull()).select("bucket", "blob")
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
+def _shared(index: DataFrame, buckets: int, p: JoinParams) -> np.ndarray:
+    """Bitmap of the tokens that several groups have in their prefixes."""
+    bits = _bits(buckets << 19, p.mark_bits)
+
+    def finish(bucket: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        token, group, _ = (np.concatenate(x) for x in zip(*map(_unpack, blobs)))
+        order = np.lexsort((group, token))
+        token, group = token[order], group[order]
+        several = token[1:][(token[1:] == token[:-1]) & (group[1:] != group[:-1])]
+        yield _places(_token_place(tk.U64(bucket) + tk.U64(buckets) * several.astype(np.uint64), buckets, bits))
+
+    return _bitmap(_by_bucket(index, buckets, finish, "part int, places binary"), bits)
+
+
 def _pairs(token: np.ndarray, group: np.ndarray, n: np.ndarray, p: JoinParams) -> tuple[list[np.ndarray], list[list]]:
     """Distinct candidate pairs (group, group, size, size, tokens) of the short lists of one bucket, and its distinct long lists (groups, sizes, tokens), sorted by size."""
     order = np.lexsort((group, n, token))
@@ -242,7 +336,7 @@ def _candidates(index: DataFrame, buckets: int, p: JoinParams, cap: int = 8192)
     def as_list(g: np.ndarray, n: np.ndarray) -> list[dict]:
         return [{"g": x, "n": y} for x, y in zip(g.view(np.int64).tolist(), n.tolist())]
 
-    def finish(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def finish(_: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         token, group, n = (np.concatenate(x) for x in zip(*map(_unpack, blobs)))
         pairs, lists = _pairs(token, group, n, p)
         for x in pairs:
@@ -254,22 +348,26 @@ def _candidates(index: DataFrame, buckets: int, p: JoinParams, cap: int = 8192)
                 for y in parts[i + 1 :] if len(parts) > 1 else [slice(0, 0)]:
                     yield pa.RecordBatch.from_arrays([void, void, void, void, pa.array([times]), pa.array([as_list(np.concatenate([g[x], g[y]]), np.concatenate([m[x], m[y]]))], kind)], schema=schema)
 
+    return _by_bucket(index, buckets, finish, CANDIDATES)
+
+
+def _let_through(docs: DataFrame, wanted: DataFrame, p: JoinParams) -> DataFrame:
+    """The rows of ``docs`` whose row_key ``wanted`` may hold: all that it holds, and about a sixteenth of the others while the bitmap has room."""
+    bits = _bits(16 * wanted.count(), p.mark_bits)
+    place = lambda x: x.to_numpy().view(np.uint64) % tk.U64(bits)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _places(place(batch.column(0)))
+
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("row_key").mapInArrow(places, "part int, places binary"), bits))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blobs = None, []
         for batch in batches:
-            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if b != now and blobs:
-                    yield from finish(blobs)
-                    blobs = []
-                now = b
-                blobs.append(blob)
-        if blobs:
-            yield from finish(blobs)
-        blobs.clear()
+            yield batch.filter(pa.array(_marked(bitmap.value, place(batch.column(0)))))
         tk.give_back()
 
-    packed = index.where(F.col("bucket").isNotNull()).select("bucket", "blob")
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, CANDIDATES)
+    return docs.select("row_key", "text").mapInArrow(run, "row_key long, text string")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, p: JoinParams) -> DataFrame:
@@ -290,7 +388,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, p: JoinParams) -> DataFrame:
                 if own:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own), (pa.binary(), pa.int64(), pa.binary()))], names=["class", "cluster", "set"])
 
-    return docs.join(wanted, "row_key").select("text", "class", "cluster").mapInArrow(run, "class binary, cluster long, set binary")
+    return _let_through(docs, wanted, p).join(wanted, "row_key").select("text", "class", "cluster").mapInArrow(run, "class binary, cluster long, set binary")
 
 
 #: entries that a step beside a cluster's index looks at together
@@ -465,7 +563,9 @@ def link(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-int(total) // p.bucket_bytes))
     heavy = spark.sparkContext.broadcast(_heavy(base, p))
-    index = scratch.table(_index(base, heavy, buckets, p), "index")
+    shared = spark.sparkContext.broadcast(_shared(_index(base, heavy, None, buckets, p), buckets, p))
+    release(spark)
+    index = scratch.table(_index(base, heavy, shared, buckets, p), "index")
     found = scratch.table(_candidates(index, buckets, p), "candidates")
     release(spark)
 
@@ -500,7 +600,7 @@ def link(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
 
     # one pass over the texts gives the sets of whatever is compared now or in a later round
     compared = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(member.join(cluster, "grp", "left_semi").select("class")).distinct()
-    wanted = classes.select("class", "grp", "row_key").join(compared, "class", "left_semi").join(small, "grp", "left").select("row_key", "class", "cluster")
+    wanted = scratch.table(classes.select("class", "grp", "row_key").join(compared, "class", "left_semi").join(small, "grp", "left").select("row_key", "class", "cluster"), "wanted")
     sets = scratch.table(_sets(base.select("row_key", "text"), wanted, p), "sets")
     release(spark)
     links = scratch.table(_verify(pairs, sets, p).unionByName(_clustered(sets.where(F.col("cluster").isNotNull()), p)), "links-0")

@@ -75,6 +75,38 @@ def test_ngram_join(spark, docs, rows, params):
     assert sorted((tuple(r) for r in found.collect()), key=str) == brute_components(rows)
 
 
+def test_ngram_join_chance_phrases_seldom_meet(spark, monkeypatch):
+    """Texts that share only phrases that any text may have make few candidates, and near copies are found still."""
+    from pathloom.llm.scratch import Scratch
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=9))
+    phrases = [[word() for _ in range(6)] for _ in range(100)]
+    texts = [" ".join(w for _ in range(20) for w in (*(word() for _ in range(12)), *rng.choice(phrases))) for _ in range(60)]
+    texts += [texts[0] + " more", texts[1] + " words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    p, made, write = ngram_join.JoinParams(max_heavy=0), {}, Scratch.table
+
+    def table(self, df, name):
+        out = write(self, df, name)
+        if name == "candidates":
+            made[name] = out.where("list is null").select("a", "b").distinct().count()
+        return out
+
+    monkeypatch.setattr(Scratch, "table", table)
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.query(df, p).collect()}
+    assert found == {k: {60: 0, 61: 1}.get(k, k) for k in range(62)}
+    assert 2 <= made["candidates"] < 300  # by hash alone over 1,000 of 1,891
+
+
+def test_ngram_join_shuffles_compared_texts_only(spark):
+    df = spark.range(20000).selectExpr("xxhash64(id) AS row_key", "concat('text ', id) AS text")
+    wanted = df.limit(50)
+    passed = ngram_join._let_through(df, wanted, ngram_join.JoinParams())
+    assert passed.count() < 2000 and passed.join(wanted, "row_key", "left_semi").count() == 50
+    assert ngram_join._let_through(df, wanted.limit(0), ngram_join.JoinParams()).count() == 0
+
+
 def test_ngram_join_keeps_one(spark, docs, rows):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
